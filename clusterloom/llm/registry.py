@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import source_mix
+from clusterloom.llm import host_rules, source_mix
 
 
 def queries() -> dict:
-    return {"op2_source_mix": source_mix.op2_source_mix}
+    return {"op2_source_mix": source_mix.op2_source_mix, "op8_host_rules": host_rules.op8_host_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": source_mix.OP2_SQL}
+    return {"op2_source_mix": source_mix.OP2_SQL, "op8_host_rules": host_rules.OP8_SQL}
