@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import host_rules, source_mix
+from clusterloom.llm import host_rules, simhash, source_mix
 
 
 def queries() -> dict:
-    return {"op2_source_mix": source_mix.op2_source_mix, "op8_host_rules": host_rules.op8_host_rules}
+    return {
+        "op2_source_mix": source_mix.op2_source_mix,
+        "op5_simhash": simhash.op5_simhash,
+        "op8_host_rules": host_rules.op8_host_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
