@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import host_rules, simhash, source_mix
+from clusterloom.llm import host_rules, simhash, source_mix, subword_quality
 
 
 def queries() -> dict:
     return {
         "op2_source_mix": source_mix.op2_source_mix,
         "op5_simhash": simhash.op5_simhash,
+        "op7_subword_quality": subword_quality.op7_subword_quality,
         "op8_host_rules": host_rules.op8_host_rules,
     }
 
