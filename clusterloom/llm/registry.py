@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import host_rules, simhash, source_mix, subword_quality
+from clusterloom.llm import decontaminate, host_rules, simhash, source_mix, subword_quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op7_subword_quality": subword_quality.op7_subword_quality,
         "op8_host_rules": host_rules.op8_host_rules,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 

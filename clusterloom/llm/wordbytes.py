@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: everything in ASCII but letters and digits; other bytes belong to letters of more than one byte
+NO_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -46,8 +48,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             at = stop
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """All words of `texts` (null: none); `lower` folds A-Z only."""
+def words(texts: pa.Array, lower: bool = False, between: np.ndarray = _BLANK) -> Words:
+    """All words of `texts` (null: none), cut at the bytes in `between` (line feed is one); `lower` folds A-Z only."""
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     closed = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
     offsets = np.frombuffer(closed.buffers()[1], np.int64, len(closed) + 1, closed.offset * 8)
@@ -56,7 +58,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     bounds = offsets - offsets[0]
     if lower:
         data = _LOWER[data]
-    blank = _BLANK[data]
+    blank = between[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(texts) + 1, np.int64))
