@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from clusterloom.llm import decontaminate, host_rules, simhash, source_mix, subword_quality
+from clusterloom.llm import decontaminate, host_rules, simhash, source_mix, subword_quality, token_store
 
 
 def queries() -> dict:
     return {
         "op2_source_mix": source_mix.op2_source_mix,
+        "op4_token_store": token_store.op4_token_store,
         "op5_simhash": simhash.op5_simhash,
         "op7_subword_quality": subword_quality.op7_subword_quality,
         "op8_host_rules": host_rules.op8_host_rules,
