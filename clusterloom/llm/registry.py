@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from clusterloom.llm import decontaminate, host_rules, simhash, source_mix, subword_quality, token_store
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op2_source_mix": source_mix.op2_source_mix,
         "op4_token_store": token_store.op4_token_store,
         "op5_simhash": simhash.op5_simhash,
@@ -17,4 +19,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": source_mix.OP2_SQL, "op8_host_rules": host_rules.OP8_SQL}
+    found = {"op2_source_mix": source_mix.OP2_SQL, "op8_host_rules": host_rules.OP8_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
