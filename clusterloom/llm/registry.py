@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clusterloom.llm import decontaminate, host_rules, simhash, source_mix, subword_quality, token_store
+from clusterloom.llm import decontaminate, host_rules, simhash, source_mix, subword_quality, token_store, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op7_subword_quality": subword_quality.op7_subword_quality,
         "op8_host_rules": host_rules.op8_host_rules,
+        "op9_url_filter": url_filter.op9_url_filter,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
