@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clusterloom.llm import decontaminate, host_rules, simhash, source_mix, subword_quality, token_store, url_filter
+from clusterloom.llm import chat_format, decontaminate, host_rules, simhash, source_mix, subword_quality, token_store, url_filter
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op2_source_mix": source_mix.op2_source_mix,
+        "op3_chat_format": chat_format.op3_chat_format,
         "op4_token_store": token_store.op4_token_store,
         "op5_simhash": simhash.op5_simhash,
         "op7_subword_quality": subword_quality.op7_subword_quality,
