@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clusterloom.llm import chat_format, decontaminate, host_rules, simhash, source_mix, subword_quality, token_store, url_filter
+from clusterloom.llm import chat_format, decontaminate, host_rules, html_extract, simhash, source_mix, subword_quality, token_store, url_filter
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_html_extract": html_extract.op1_html_extract,
         "op2_source_mix": source_mix.op2_source_mix,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_token_store": token_store.op4_token_store,
