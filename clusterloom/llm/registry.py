@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clusterloom.llm import chat_format, decontaminate, host_rules, html_extract, simhash, source_mix, subword_quality, token_store, url_filter
+from clusterloom.llm import chat_format, decontaminate, host_rules, html_extract, simhash, source_mix, subword_quality, token_store, toxic_compression, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_token_store": token_store.op4_token_store,
         "op5_simhash": simhash.op5_simhash,
+        "op6_toxic_compression": toxic_compression.op6_toxic_compression,
         "op7_subword_quality": subword_quality.op7_subword_quality,
         "op8_host_rules": host_rules.op8_host_rules,
         "op9_url_filter": url_filter.op9_url_filter,
