@@ -30,8 +30,8 @@ BLOCK_IDS = 1 << 19
 #: ids in a shard, about
 SHARD_IDS = 1 << 26
 MAGIC = 0x314B4C42
-#: words whose ids a worker keeps
-KNOWN_WORDS = 300_000
+#: pieces whose ids a worker keeps; beyond, those that only one batch has used are forgotten first
+KNOWN_WORDS = 600_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -65,6 +65,22 @@ class Encoder:
         self.places: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.stops = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the pieces that two batches or more have used, if that frees half of the memory; else none."""
+        kept = np.flatnonzero(self.uses >= 2)
+        if 2 * len(kept) > self.most:
+            self.clear()
+            return
+        often = set(kept.tolist())
+        names = sorted((place, piece) for piece, place in self.places.items() if place in often)
+        sizes = np.diff(self.stops)[kept]
+        stops = np.cumsum(sizes)
+        where = np.arange(int(sizes.sum())) + np.repeat(self.stops[kept] - (stops - sizes), sizes)
+        self.places = {piece: k for k, (_, piece) in enumerate(names)}
+        self.ids, self.uses = self.ids[where], np.ones(len(kept), np.int32)
+        self.stops = np.concatenate([[0], stops])
 
     def _learn(self, pieces: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
@@ -74,6 +90,7 @@ class Encoder:
         stops = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) + self.stops[-1]
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32)])
         self.stops = np.concatenate([self.stops, stops])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's END_ID behind them, and the number of ids per text."""
@@ -81,10 +98,11 @@ class Encoder:
         coded = pieces.dictionary_encode()
         values = coded.dictionary.to_pylist()
         if len(self.places) + len(values) > self.most:
-            self.clear()
+            self._forget()
         if new := [v for v in values if v not in self.places]:
             self._learn(new)
         place = np.fromiter((self.places[v] for v in values), np.int64, len(values))
+        self.uses[place] += 1
         place = place[coded.indices.to_numpy(zero_copy_only=False)]
         begin, sizes = self.stops[place], np.diff(self.stops)[place]
         per = wordbytes.sums(sizes, first) + 1
