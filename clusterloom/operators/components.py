@@ -27,7 +27,7 @@ def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return hung.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
     `edges` has columns u and v of type bigint; direction, repetition and loops do not matter (a
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_r
     one aggregation with map-side combine and one equi-join that AQE can split where a hub is hot,
     so no node's neighbours meet in one task.  Every step's result is written to the shared folder.
     """
-    scratch = scratch or Scratch(edges.sparkSession, "components")
+    scratch = Scratch(edges.sparkSession, "components")
     linked = edges.select("u", "v").where("u <> v")
     now = scratch.save(linked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _fingerprint(now)
@@ -51,6 +51,8 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_r
                 break
         else:
             raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+    for done in ("near", "large"):
+        scratch.drop(done)
     # A settled table holds one edge from each node to its root.
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -38,7 +38,7 @@ def density_labels(points: DataFrame, pairs: DataFrame, min_pts: int, scratch: S
     core = scratch.save(core_points(pairs, min_pts), "core")
     mine = pairs.join(core.withColumnRenamed("row_id", "v"), "v", "left_semi")  # pairs with a core neighbour
     between = mine.join(core.withColumnRenamed("row_id", "u"), "u", "left_semi").where("u < v")
-    found = connected_components(between, scratch)
+    found = connected_components(between)
     named = core.join(found.withColumnRenamed("node", "row_id"), "row_id", "left")
     named = scratch.save(named.select("row_id", F.coalesce("component", "row_id").alias("label")), "named")
     border = mine.join(core.withColumnRenamed("row_id", "u"), "u", "left_anti")
