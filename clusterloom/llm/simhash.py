@@ -211,13 +211,13 @@ def components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, fixed: i
     prints = scratch.save(fingerprints(docs), "prints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = scratch.save(links(distinct.select("fp"), scratch, radius, tile, fixed), "links")
-    joined = scratch.save(connected_components(found, scratch).withColumnRenamed("node", "fp"), "joined")
+    joined = scratch.save(connected_components(found).withColumnRenamed("node", "fp"), "joined")
     least = joined.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     least = scratch.save(least, "least")
     linked = scratch.save(joined.join(least, "component").select("fp", "component_id"), "linked")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     named = scratch.save(named, "named")
-    for done in ("placed", "large", "links", "joined", "least", "linked", "distinct", "edges", "near"):
+    for done in ("placed", "large", "links", "joined", "least", "linked", "distinct"):
         scratch.drop(done)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
