@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.llm import wordbytes
-from clusterloom.llm.tables import table
+from clusterloom.llm.tables import fresh, table
 
 K1, B = 1.2, 0.75
 #: share of an item's own BM25 score that a passage must reach to be looked at
@@ -273,14 +273,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that hold a test item; columns stay as they are and nothing is shuffled."""
     columns = docs.columns
-    out = docs.withColumn("__text", F.col("text").cast("string"))
+    (name,) = fresh(columns, "searched_text")
+    out = docs.withColumn(name, F.col("text").cast("string"))
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in wordbytes.slices(batches, "__text"):
+            for batch in wordbytes.slices(batches, name):
                 clean = np.ones(batch.num_rows, bool)
-                clean[[hit[0] for hit in search(shared.value, batch.column("__text"))]] = False
+                clean[[hit[0] for hit in search(shared.value, batch.column(name))]] = False
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, out.schema)

@@ -18,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from clusterloom.llm import wordbytes
 from clusterloom.llm.html_blocks import Block, blocks
 from clusterloom.llm.page_samples import MARK, sample
-from clusterloom.llm.tables import table
+from clusterloom.llm.tables import fresh, table
 
 PATH_SLOTS, WORD_SLOTS = 4096, 2048
 PATH_SIZE, WORD_SIZE, NUMBERS = 32, 12, 9
@@ -248,23 +249,24 @@ def article(model: Model, pages: list[list[Block]]) -> list[str]:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """`pages` without the column `html`, plus text and n_chars, one row per row.
+    """`pages` without the column `html`, plus text and n_chars (in place of columns so named), one row per row.
 
     A null or empty page, and one without an article, has the empty text.  Pages are read where they
     lie, whole, a few megabytes at a time.
     """
     shared = pages.sparkSession.sparkContext.broadcast(train())  # fixed in size by its slots
-    rest = [c for c in pages.columns if c != html]
-    given = pages.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{html}`").cast("string").alias("__html"))
+    rest = [c for c in pages.columns if c.lower() not in (html.lower(), "text", "n_chars")]
+    (name,) = fresh(rest, "read_html")
+    kept = pages.select(*(F.col(f"`{c}`") for c in rest))
+    given = pages.select(*kept.columns, F.col(f"`{html}`").cast("string").alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wordbytes.slices(batches, "__html", 2 << 20):
-            texts = article(shared.value, [blocks(x) for x in batch.column("__html").to_pylist()])
+        for batch in wordbytes.slices(batches, name, 2 << 20):
+            texts = article(shared.value, [blocks(x) for x in batch.column(name).to_pylist()])
             columns = [*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*rest, "text", "n_chars"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*rest).schema)
-    return given.mapInArrow(run, f"{fields}text string, n_chars long")
+    return given.mapInArrow(run, StructType([*kept.schema, StructField("text", StringType()), StructField("n_chars", LongType())]))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterloom.llm import wordbytes
-from clusterloom.llm.tables import table
-from clusterloom.operators.components import connected_components
+from clusterloom.llm.tables import fresh, table
+from clusterloom.operators.components import connected_components, merge_classes
 from clusterloom.plans.scratch import Scratch
 
 SHINGLE = 4
@@ -88,20 +88,6 @@ def bucket_keys(fp: Column, radius: int = RADIUS, fixed: int = 1) -> Column:
     return F.array(*keys)
 
 
-def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Join the classes of i and j; root[x] is the smallest member of x's class."""
-    while len(i):
-        a, b = root[i], root[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        if not len(i):
-            break
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(up := root[root], root):
-            root = up
-    return root
-
-
 def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within `left`, or between `left` and `right`, as pairs of fingerprints.
 
@@ -123,7 +109,7 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS
         if begin < stop:
             close = np.bitwise_count(left[part, None] ^ other[None, begin:stop]) <= radius
             i, j = np.nonzero(close)
-            root = _merge(root, i + low, j + begin + shift)
+            root = merge_classes(root, i + low, j + begin + shift)
     linked = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[linked], nodes[root[linked]]
 
@@ -230,14 +216,15 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = Scratch(docs.sparkSession, "keep-one").save(components(docs, radius), "classes")
     chosen = found.groupBy("component_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n"))
-    chosen = chosen.where("component_id is not null").withColumnRenamed("component_id", "__chosen")
-    kept = docs.join(chosen, docs["doc_id"] == F.col("__chosen"), "left").where(F.col("__chosen").isNotNull() | F.col("doc_id").isNull())
+    name, many_of, rank = fresh(docs.columns, "chosen", "n_chosen", "rank")
+    chosen = chosen.where("component_id is not null").select(F.col("component_id").alias(name), F.col("n").alias(many_of))
+    kept = docs.join(chosen, F.col("doc_id") == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull())
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if chosen.where("n > 1").isEmpty():
+    if chosen.where(F.col(many_of) > 1).isEmpty():
         return kept.select(*columns)
     first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    many = kept.where("n > 1").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    return kept.where("n = 1 or n is null").select(*columns).unionByName(many.select(*columns))
+    many = kept.where(F.col(many_of) > 1).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return kept.where((F.col(many_of) == 1) | F.col(many_of).isNull()).select(*columns).unionByName(many.select(*columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clusterloom.llm.tables import WORD, table
+from clusterloom.llm.tables import WORD, fresh, table
 from clusterloom.plans.scratch import Scratch
 
 #: Weights given to the sources in code point order, repeating; a null source comes last.
@@ -84,11 +84,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     kept = Scratch(docs.sparkSession, "mix").save(docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("size")), "sizes")
     rates = targets(kept, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = rates.select(F.col("source").alias("__of_source"), rate.alias("__rate"))
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("__of_source")))
-    whole = F.floor("__rate")
-    copies = whole + (draw(F.col("doc_id"), seed) < F.col("__rate") - whole).cast("long")
-    repeated = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    of_source, its_rate, copy = fresh(docs.columns, "of_source", "rate", "copy")
+    rates = rates.select(F.col("source").alias(of_source), rate.alias(its_rate))
+    joined = docs.join(rates, F.col("source").eqNullSafe(F.col(of_source)))
+    whole = F.floor(its_rate)
+    copies = whole + (draw(F.col("doc_id"), seed) < F.col(its_rate) - whole).cast("long")
+    repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

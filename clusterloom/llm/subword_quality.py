@@ -10,7 +10,7 @@ Scoring is linear up to the softmax, so the learned vectors fold into one number
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,10 +18,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clusterloom.llm import wordbytes
 from clusterloom.llm.labelled import fold, labelled_rows
-from clusterloom.llm.tables import table
+from clusterloom.llm.tables import fresh, table
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.7
@@ -179,29 +180,25 @@ def _thinned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(text=texts)[["doc_id", "label", "text"]]
 
 
-def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
-        for batch in wordbytes.slices(batches, "__text"):
-            rest = [(c, batch.column(c)) for c in batch.schema.names if c != "__text"]
-            scores = pa.array(score(batch.column("__text"), known))
-            yield pa.RecordBatch.from_arrays([*(x for _, x in rest), scores], [*(c for c, _ in rest), "__score"])
-
-    return run
-
-
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """`keep` columns and __score of every row of `docs`; texts go to the scorer once and do not come back unless kept."""
+    """`keep` columns and, last, the score of every row of `docs`; texts come back only if kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    given = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return given.mapInArrow(_scorer(shared), f"{fields}, __score double")
+    text, own = fresh(list(keep), "scored_text", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in wordbytes.slices(batches, text):
+            rest = [c for c in batch.schema.names if c != text]
+            scores = pa.array(score(batch.column(text), shared.value))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scores], [*rest, own])
+
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    return docs.select(*kept.columns, F.col("text").cast("string").alias(text)).mapInArrow(run, StructType([*kept.schema, StructField(own, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that score `threshold` or more, with their columns."""
     found = scored(docs, train(docs, labels), *docs.columns)
-    return found.where(F.col("__score") >= threshold).select(*docs.columns)
+    return found.where(F.col(found.columns[-1]) >= threshold).select(*docs.columns)
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +207,6 @@ def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col("score").alias("score"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -26,10 +26,11 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clusterloom.llm import wordbytes
 from clusterloom.llm.labelled import fold, labelled_rows
-from clusterloom.llm.tables import table
+from clusterloom.llm.tables import fresh, table
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
@@ -229,21 +230,22 @@ _values: dict[str, Values] = {}
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """`keep` columns and __score of every row of `docs`; texts are read where they lie and nothing is shuffled."""
+    """`keep` columns and, last, the score of every row of `docs`; texts are read where they lie and nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    text, own = fresh(list(keep), "scored_text", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if model.key not in _values:
             _values.clear()
             _values[model.key] = Values(model.toxic, model.ordinary)
-        for batch in wordbytes.slices(batches, "__text"):
-            rest = [c for c in batch.schema.names if c != "__text"]
-            scores = pa.array(score(batch.column("__text"), model, _values[model.key]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scores], [*rest, "__score"])
+        for batch in wordbytes.slices(batches, text):
+            rest = [c for c in batch.schema.names if c != text]
+            scores = pa.array(score(batch.column(text), model, _values[model.key]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scores], [*rest, own])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{fields}, __score double")
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    return docs.select(*kept.columns, F.col("text").cast("string").alias(text)).mapInArrow(run, StructType([*kept.schema, StructField(own, DoubleType())]))
 
 
 def op6_toxic_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +254,6 @@ def op6_toxic_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col("score").alias("score"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
