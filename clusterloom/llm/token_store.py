@@ -10,6 +10,7 @@ A document begins on a byte and lies in one block.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -59,6 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), known
+        suffix = json.loads(self.tokenizer.model.__getstate__())["end_of_word_suffix"]
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -83,15 +89,39 @@ class Encoder:
         self.stops = np.concatenate([[0], stops])
 
     def _learn(self, pieces: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        lists = [x.ids for x in found]
-        for piece in pieces:
-            self.places[piece] = len(self.places)
-        stops = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) + self.stops[-1]
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32)])
-        self.stops = np.concatenate([self.stops, stops])
+        """Encode new pieces; those of letters alone go many at a time, parted by blanks.
+
+        A run of letters is one unit of the tokenizer, and a unit's last id is one of a word's end, so
+        the ends tell the pieces apart.  Where there are more ends than pieces (a letter whose lower case
+        is more than a letter), the group is encoded piece by piece.
+        """
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        alone = [k for k, t in enumerate(texts) if self.ends is None or not t.isalpha()]
+        whole = [k for k, t in enumerate(texts) if self.ends is not None and t.isalpha()]
+        order, found, sizes = [], [self.ids], []
+        for low in range(0, len(whole), 512):
+            group = whole[low : low + 512]
+            ids = np.array(self._batch([" ".join(texts[k] for k in group)])[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group):
+                order += group
+                found.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
+            else:
+                alone += group
+        for k, x in zip(alone, self._batch([texts[k] for k in alone]), strict=True):
+            order.append(k)
+            found.append(np.array(x.ids, np.uint32))
+            sizes.append([len(x.ids)])
+        for k in order:
+            self.places[pieces[k]] = len(self.places)
+        self.ids = np.concatenate(found)
+        self.stops = np.concatenate([self.stops, np.cumsum(np.concatenate(sizes)) + self.stops[-1]])
         self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int32)])
 
+    def _batch(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's END_ID behind them, and the number of ids per text."""
         pieces, first = _pieces(texts)
@@ -101,17 +131,18 @@ class Encoder:
             self._forget()
         if new := [v for v in values if v not in self.places]:
             self._learn(new)
-        place = np.fromiter((self.places[v] for v in values), np.int64, len(values))
+        place = np.fromiter(map(self.places.__getitem__, values), np.int32, len(values))
         self.uses[place] += 1
-        place = place[coded.indices.to_numpy(zero_copy_only=False)]
-        begin, sizes = self.stops[place], np.diff(self.stops)[place]
-        per = wordbytes.sums(sizes, first) + 1
-        where = np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
-        out = np.full(int(per.sum()), END_ID, np.uint32)
-        inside = np.ones(len(out), bool)
-        inside[np.cumsum(per) - 1] = False
-        out[inside] = self.ids[where]
-        return out, per
+        # The end id is a piece of its own, put behind the pieces of each text.
+        begin = np.append(self.stops[place], self.stops[-1]).astype(np.int32)
+        sizes = np.append(self.stops[place + 1] - self.stops[place], 1).astype(np.int32)
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], len(values))
+        size = sizes[codes]
+        stops = np.cumsum(size, dtype=np.int64)
+        where = np.repeat(begin[codes] - (stops - size).astype(np.int32), size)
+        where += np.arange(len(where), dtype=np.int32)
+        per = np.diff(stops[first[1:] + np.arange(len(texts))], prepend=0)
+        return np.append(self.ids, np.uint32(END_ID))[where], per
 
 
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
