@@ -233,6 +233,13 @@ tree(seen, u, v, w) AS (
   SELECT list_append(t.seen, n.b), n.u, n.v, n.w FROM tree t, LATERAL (
     SELECT b, u, v, w FROM both_ways WHERE list_contains(t.seen, a) AND NOT list_contains(t.seen, b) ORDER BY w, u, v LIMIT 1) n)
 SELECT u, v, round(w, 6) AS w FROM tree WHERE u IS NOT NULL""",
+        "dendrogram": _hierarchy_sql(reach(2), 3)
+        + """SELECT -k AS node, CASE WHEN l = 0 THEN u ELSE -l END AS "left", CASE WHEN r = 0 THEN v ELSE -r END AS "right", size, round(density, 6) AS density,
+  round(parent_density, 6) AS parent_density, round(own, 6) AS own, round(best, 6) AS best, stable FROM nodes""",
+        "hdbscan_labels": _hierarchy_sql(reach(2), 3)
+        + f""", highest AS (SELECT i.p, max(i.k) AS k FROM inside i JOIN nodes n ON n.k = i.k AND n.stable GROUP BY i.p),
+named AS (SELECT k, row_number() OVER (ORDER BY min(p)) - 1 AS cluster_id FROM highest GROUP BY k HAVING count(*) >= 3)
+SELECT s.row_id, coalesce(n.cluster_id, -1)::INTEGER AS cluster_id FROM ({SUPPLIERS}) s LEFT JOIN highest h ON h.p = s.row_id LEFT JOIN named n ON n.k = h.k""",
         "connected_components": f"""
 WITH RECURSIVE edges AS MATERIALIZED (SELECT a.row_id AS u, b.row_id AS v FROM ({CUSTOMERS}) a JOIN ({CUSTOMERS}) b ON a.row_id <> b.row_id AND {SQUARED} <= 0.25),
 lab(id, label) USING KEY (id) AS (
@@ -251,6 +258,51 @@ SELECT id AS node, label AS component FROM lab""",
     }
 
 
+def _hierarchy_sql(reach: str, least: int) -> str:
+    """CTEs up to nodes(k, u, v, l, r, size, ..., own, best, stable), inside(k, p) and ranked tree edges.
+
+    Merge k of the sorted tree edges holds the points whose path to its edge uses edges up to k only, and
+    its parts are the merges of the largest edges used before it.
+    """
+    return f"""
+WITH RECURSIVE e AS MATERIALIZED ({reach}),
+ends AS MATERIALIZED (SELECT u AS a, v AS b, u, v, w FROM e UNION ALL SELECT v, u, u, v, w FROM e),
+grown(seen, u, v, w) AS (
+  SELECT [min(u)], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM e
+  UNION ALL
+  SELECT list_append(t.seen, n.b), n.u, n.v, n.w FROM grown t, LATERAL (
+    SELECT b, u, v, w FROM ends WHERE list_contains(t.seen, a) AND NOT list_contains(t.seen, b) ORDER BY w, u, v LIMIT 1) n),
+tree AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w, u, v) AS k, u, v, w FROM grown WHERE u IS NOT NULL),
+steps AS MATERIALIZED (SELECT k, u AS a, v AS b FROM tree UNION ALL SELECT k, v, u FROM tree),
+path(p, prev, q, m) AS (
+  SELECT DISTINCT a, a, a, 0::BIGINT FROM steps
+  UNION ALL
+  SELECT t.p, t.q, s.b, greatest(t.m, s.k) FROM path t JOIN steps s ON s.a = t.q AND s.b <> t.prev),
+paths AS MATERIALIZED (SELECT p, q, m FROM path),
+inside AS MATERIALIZED (SELECT t.k, x.q AS p FROM tree t JOIN paths x ON x.p = t.u AND x.m <= t.k),
+parts AS MATERIALIZED (
+  SELECT t.k, t.u, t.v, t.w, max(CASE WHEN x.p = t.u THEN x.m END) AS l, max(CASE WHEN x.p = t.v THEN x.m END) AS r,
+    count(*) FILTER (x.p = t.u) AS nl, count(*) FILTER (x.p = t.v) AS nr
+  FROM tree t JOIN paths x ON x.p IN (t.u, t.v) AND x.m < t.k GROUP BY ALL),
+dense AS MATERIALIZED (SELECT *, nl + nr AS size, CASE WHEN w > 1e-12 THEN 1 / w ELSE {fn.MOST_DENSITY!r} END AS density FROM parts),
+lives AS MATERIALIZED (
+  SELECT d.*, coalesce(up.density, 0) AS parent_density, up.k IS NULL OR up.nl >= {least} AND up.nr >= {least} AS top,
+    (greatest(d.density, coalesce(up.density, 0)) - coalesce(up.density, 0)) * d.size AS life
+  FROM dense d LEFT JOIN dense up ON d.k IN (up.l, up.r)),
+worth(k, owns, bests) AS (
+  SELECT 0::BIGINT, []::DOUBLE[], []::DOUBLE[]
+  UNION ALL
+  SELECT n.k, list_append(t.owns, n.life + CASE WHEN nl >= {least} AND nr >= {least} THEN 0 WHEN nl >= {least} THEN coalesce(owns[l], 0) WHEN nr >= {least} THEN coalesce(owns[r], 0) ELSE 0 END),
+    list_append(t.bests, CASE
+      WHEN nl >= {least} AND nr >= {least} THEN greatest(coalesce(owns[l], 0), coalesce(bests[l], 0)) + greatest(coalesce(owns[r], 0), coalesce(bests[r], 0))
+      WHEN nl >= {least} THEN coalesce(bests[l], 0) WHEN nr >= {least} THEN coalesce(bests[r], 0) ELSE 0 END)
+  FROM worth t JOIN lives n ON n.k = t.k + 1),
+nodes AS MATERIALIZED (
+  SELECT n.*, t.owns[n.k] AS own, t.bests[n.k] AS best, n.top AND t.owns[n.k] > t.bests[n.k] AS stable
+  FROM lives n, (SELECT owns, bests FROM worth ORDER BY k DESC LIMIT 1) t)
+"""
+
+
 def flagship(spark: SparkSession, sf_dir: str, eps: float = 4.0) -> DataFrame:
     """Customers clustered, with their payload and cluster number."""
     labels = dbscan(customers(spark, sf_dir), eps, PLAIN[1], PLAIN[2], geo=False)

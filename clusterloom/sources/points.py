@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from clusterloom.functions.points import parse_millis, parse_number
 from clusterloom.params import ClusterParams
@@ -16,13 +15,29 @@ def numbered(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """`df` plus row_id from 0, dense.
 
     With `order`, by those columns (one sort, for tables that come without a place of their own); else
-    in the order of partitions and rows, by one count per partition and no shuffle.
+    in the order of partitions and rows, without a shuffle of rows.
     """
     if order:
         return df.select((F.row_number().over(W.orderBy(*order)) - 1).cast("long").alias("row_id"), "*")
-    spark = df.sparkSession
-    schema = StructType([StructField("row_id", LongType(), False), *df.schema])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    return _in_place(df.withColumn("__group", F.spark_partition_id()))
+
+
+def _in_place(df: DataFrame) -> DataFrame:
+    """Number the rows group by group (column __group), each group being a run of rows of one partition.
+
+    The driver reads one row per group, its size and first place; rows then find their number through a
+    broadcast of as many rows.
+    """
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    groups = placed.groupBy("__group").agg(F.min("__place").alias("first"), F.count("*").alias("n")).orderBy("__group").collect()
+    offsets, total = [], 0
+    for g in groups:
+        offsets.append((g["__group"], total - g["first"]))
+        total += g["n"]
+    kind = dict(df.dtypes)["__group"]
+    found = placed.join(F.broadcast(df.sparkSession.createDataFrame(offsets, f"__group {kind}, __offset long")), "__group")
+    rest = [c for c in df.columns if c != "__group"]
+    return found.select((F.col("__place") + F.col("__offset")).alias("row_id"), *(F.col(f"`{c}`") for c in rest))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +45,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
     if not read.columns:
         raise ValueError("File is empty")
-    return numbered(read)
+    # Files of quoted line ends are not split, so a file's rows are one run.
+    return _in_place(read.select("*", F.col("_metadata.file_path").alias("__group")))
 
 
 def parsed(rows: DataFrame, params: ClusterParams) -> DataFrame:
