@@ -226,7 +226,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, scratch: Scratch, shard_
     lengths = code.lengths[symbols] if len(symbols) else symbols
     spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "id long, length int").coalesce(1).write.parquet(f"{folder}/codes")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // shard_ids)) if len(counts) else 1
-    cuts = ids.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 else []
+    cuts = ids.approxQuantile("doc_id", [i / shards for i in range(1, shards)], max(0.1 / shards, 1e-5)) if shards > 1 else []
     shared = spark.sparkContext.broadcast((code, np.unique(np.array(cuts, np.int64))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
