@@ -5,7 +5,8 @@ from __future__ import annotations
 import logging
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from clusterloom.operators import result
 from clusterloom.operators.dbscan import dbscan, st_dbscan
@@ -62,11 +63,17 @@ def cluster(source: DataFrame | str, params: ClusterParams, spark: SparkSession
     spark = rows.sparkSession
     scratch = Scratch(spark, "cluster")
     rows = scratch.save(rows, "rows")
-    found = scratch.save(points(rows, params), "points")
-    labels = scratch.save(labels_of(found, params), "labels")
+    seen = Observation()
+    found = scratch.save(points(rows, params).observe(seen, F.count(F.lit(1)).alias("n")), "points")
+    _log.info("%s points from %s", seen.get["n"], params)
+    seen = Observation()
+    noise = F.count_if(F.col("cluster_id") == result.NOISE).alias("noise")
+    last = F.max("cluster_id").alias("last")
+    labels = scratch.save(labels_of(found, params).observe(seen, last, noise), "labels")
+    _log.info("%s clusters, %s points of noise", (seen.get["last"] if seen.get["last"] is not None else -1) + 1, seen.get["noise"])
     kept = rows.join(labels.select("row_id"), "row_id", "left_semi")
     key = _cache(spark).put(result.attach(kept, labels))
-    _log.info("%s clustered with %s: result %s", params.kind, params, key)
+    _log.info("result %s", key)
     return ClusterResult(kept, labels, key)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.functions.metrics import Euclidean, Haversine, Metric
+
 #: kilometres per degree of latitude (fixed value)
 KM_PER_DEGREE = 111.32
 
@@ -17,6 +19,11 @@ def looks_geo(points: DataFrame, columns: list[str]) -> bool:
     return first is not None and abs(first[0]) <= 180 and abs(first[1]) <= 90
 
 
+def auto_metric(points: DataFrame, columns: list[str]) -> Metric:
+    """Haversine where the first row looks like longitude and latitude, else Euclidean; for unprojected points."""
+    return Haversine() if looks_geo(points, columns) else Euclidean()
+
+
 def project_km(points: DataFrame, lng: str = "x", lat: str = "y") -> DataFrame:
     """`points` with both columns replaced by kilometres on a plane around the mean latitude of all rows.
 

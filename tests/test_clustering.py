@@ -11,6 +11,7 @@ from clusterloom.operators.dbscan import dbscan, st_dbscan
 from clusterloom.operators.hdbscan import hdbscan
 from clusterloom.operators.joins import knn_join, range_join
 from clusterloom.operators.mst import boruvka, mst, with_core
+from clusterloom.operators.project import auto_metric
 from clusterloom.plans.scratch import Scratch
 
 
@@ -111,6 +112,7 @@ def test_three_dimensions_and_metrics(spark):
     own = PythonMetric(lambda a, b: abs(a[0] - b[0]) + abs(a[1] - b[1]))
     got = {(r.u, r.v) for r in range_join(flat, 0.7, metric=own).collect()}
     assert got == {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if abs(a[0] - b[0]) + abs(a[1] - b[1]) <= 0.7}
+    assert isinstance(auto_metric(flat, ["x", "y"]), Haversine) and not isinstance(auto_metric(points(spark, [(500.0, 0.0)]), ["x", "y"]), Haversine)
     # at 60 degrees north 0.015 degrees of longitude are within a kilometre
     north = points(spark, [(10.0, 60.0), (10.015, 60.0)])
     assert range_join(north, 1.0, metric=Haversine()).count() == 4

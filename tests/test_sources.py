@@ -11,7 +11,7 @@ from clusterloom.api import cluster, download
 from clusterloom.operators import result
 from clusterloom.params import ClusterParams
 from clusterloom.plans.scratch import Scratch
-from clusterloom.sources.points import read_csv, rejects, write_csv
+from clusterloom.sources.points import numbered, read_csv, rejects, write_csv
 from clusterloom.streaming.micro_batches import recluster
 
 TEXT = """id,lng,lat,timestamp,name
@@ -96,6 +96,15 @@ def test_empty_result(spark):
     assert document["clusters"] == [] and document["noisePointsList"] == []
 
 
+def test_rows_of_several_files_in_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text("n,text\n" + "".join(f'{10 * k + i},"a\nb"\n' for i in range(k, 4)))
+    rows = read_csv(spark, str(tmp_path / "*.csv")).orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == list(range(9)) and [int(r.n) for r in rows] == [0, 1, 2, 3, 11, 12, 13, 22, 23]
+    spread = numbered(spark.range(100).repartition(5))
+    assert sorted(r.row_id for r in spread.collect()) == list(range(100)) and spread.columns == ["row_id", "id"]
+
+
 def test_stream(spark, tmp_path):
     rows = [(i, 1000.0 + i * 0.1, 1000.0, i * 1000) for i in range(6)]
     for k in range(2):
