@@ -103,9 +103,9 @@ def build(rows: list[tuple[int, str | None]], df: Counter | None = None, n_items
         where, weights = (list(x) for x in zip(*postings[t], strict=True))
         cuts = range(0, len(where), BLOCK)
         lists.append((where, weights, [where[min(c + BLOCK, len(where)) - 1] for c in cuts], [max(weights[c : c + BLOCK]) for c in cuts]))
-        for bound_of in (bounds, fine):
-            per = max(1, -(-len(items) // bound_of.shape[1]))
-            np.maximum.at(bound_of[k], np.array(where) // per, np.array(weights, np.float32))
+        for each in (bounds, fine):
+            per = max(1, -(-len(items) // each.shape[1]))
+            np.maximum.at(each[k], np.array(where) // per, np.array(weights, np.float32))
     longest = max((len(words) for _, _, words in kept), default=0)
     return Index(items, terms, lists, bounds, fine, max(LEAST_PASSAGE // 2, longest))
 

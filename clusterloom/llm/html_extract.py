@@ -45,7 +45,7 @@ class Model(NamedTuple):
 
 @lru_cache(1 << 16)
 def _path_slots(path: tuple[str, ...]) -> np.ndarray:
-    """Slots of the marks above a block, of the innermost tag, and of the count of nested lists and the like."""
+    """Slots of the marks above a block, each once, and of the innermost tag."""
     tags = [m for m in path if m[0] != "."]
     marks = [*dict.fromkeys(path), f"leaf:{tags[-1] if tags else ''}"]
     return np.array([zlib.crc32(m.encode()) % PATH_SLOTS for m in marks], np.int64)
