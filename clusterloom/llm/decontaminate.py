@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm import wordbytes
 from clusterloom.llm.tables import fresh, table
+from clusterloom.plans.scratch import Scratch
 
 K1, B = 1.2, 0.75
 #: share of an item's own BM25 score that a passage must reach to be looked at
@@ -59,6 +60,15 @@ class Index(NamedTuple):
     half: int
 
 
+class Statistics(NamedTuple):
+    """Of all items with a term: how many hold each term, their number, their words and the longest's."""
+
+    df: dict[str, int]
+    items: int
+    words: int
+    longest: int
+
+
 def terms_of(text: str | None) -> list[str]:
     found = wordbytes.words(pa.array([(text or "").lower()]), between=wordbytes.NO_WORD)
     return [x.decode() for x in wordbytes.as_array(found).to_pylist()]
@@ -77,15 +87,17 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(found[:cut]), " ".join(found[cut:])
 
 
-def build(rows: list[tuple[int, str | None]], df: Counter | None = None, n_items: int | None = None) -> Index:
+def build(rows: list[tuple[int, str | None]], whole: Statistics | None = None) -> Index:
     """The inverted index of (item_id, text) rows; items without a term can't match and are left out.
 
-    `df` and `n_items` give the statistics of all items where this index holds a part of them.
+    `whole` has the statistics of all items where this index holds a part of them; its df needs the
+    terms of these rows only.
     """
     kept = [(i, text, words) for i, text in rows if (words := terms_of(text))]
-    df = df if df is not None else Counter(t for _, _, words in kept for t in set(words))
-    n = n_items or len(kept)
-    mean = sum(len(words) for _, _, words in kept) / max(1, len(kept))
+    if whole is None:
+        lengths = [len(words) for _, _, words in kept]
+        whole = Statistics(Counter(t for _, _, words in kept for t in set(words)), len(kept), sum(lengths), max(lengths, default=0))
+    df, n, mean = whole.df, whole.items, whole.words / max(1, whole.items)
     items, postings = [], {}
     for place, (item_id, text, words) in enumerate(kept):
         question, answer = split_item(text)
@@ -106,8 +118,7 @@ def build(rows: list[tuple[int, str | None]], df: Counter | None = None, n_items
         for each in (bounds, fine):
             per = max(1, -(-len(items) // each.shape[1]))
             np.maximum.at(each[k], np.array(where) // per, np.array(weights, np.float32))
-    longest = max((len(words) for _, _, words in kept), default=0)
-    return Index(items, terms, lists, bounds, fine, max(LEAST_PASSAGE // 2, longest))
+    return Index(items, terms, lists, bounds, fine, max(LEAST_PASSAGE // 2, whole.longest))
 
 
 def wand(index: Index, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
@@ -218,23 +229,54 @@ def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, flo
                     yield row, place, score, asked, answered
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, items, words, longest) per term of a batch; the null term stands for all its items."""
+    for batch in wordbytes.slices(batches, "text"):
+        df, lengths = Counter(), []
+        for text in batch.column("text").to_pylist():
+            if words := terms_of(text):
+                df.update(set(words))
+                lengths.append(len(words))
+        if lengths:
+            none = [None] * len(df)
+            columns = [[None, *df], [len(lengths), *df.values()], [sum(lengths), *none], [max(lengths), *none]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3), strict=True)], ["term", "items", "words", "longest"])
+
+
 def indexes(benchmark: DataFrame, most_bytes: int = INDEX_BYTES) -> Iterator[Index]:
     """Indexes of all items, of about `most_bytes` of text each; null and empty items are passed over.
 
     Only one index is on the driver at a time.  Items are read in order of item_id through
-    toLocalIterator, so a large benchmark never arrives whole.  Term statistics are those of the items
-    in the same index.
+    toLocalIterator, so a large benchmark never arrives whole.  Term statistics are those of all items,
+    counted on the executors; the driver gets the counts of one index's terms, so results do not
+    depend on where the items are cut.
     """
+    spark = benchmark.sparkSession
+    given = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    counted = given.select("text").mapInArrow(_count_terms, "term string, items long, words long, longest long")
+    counted = counted.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    scratch = Scratch(spark, "decontaminate")
+    counted = scratch.save(counted, "terms")
+    total = counted.where("term is null").first()
+
+    def part(rows: list[tuple[int, str]]) -> Index:
+        terms = sorted({t for _, text in rows for t in terms_of(text)})
+        if not terms:
+            return build(rows)
+        wanted = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
+        df = {r.term: r["items"] for r in counted.join(wanted, "term", "left_semi").select("term", "items").toLocalIterator()}
+        return build(rows, Statistics(df, total["items"], total.words, total.longest))
+
     rows, size = [], 0
-    ordered = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text")
-    for item_id, text in ordered.toLocalIterator():
+    for item_id, text in given.orderBy("item_id", "text").toLocalIterator():
         rows.append((item_id, text))
-        size += len(text)
+        size += len(text.encode())
         if size >= most_bytes:
-            yield build(rows)
+            yield part(rows)
             rows, size = [], 0
     if rows:
-        yield build(rows)
+        yield part(rows)
+    scratch.drop("terms")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

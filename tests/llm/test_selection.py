@@ -182,3 +182,26 @@ def test_several_indexes(spark, sf, monkeypatch):
     small = list(decontaminate.indexes(bench, most_bytes=3000))
     monkeypatch.setattr(decontaminate, "indexes", lambda b: iter(small))
     assert len(small) > 1 and {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == whole
+
+
+def test_cuts_leave_results_alone(spark, sf, monkeypatch):
+    """Items of one template, then a lone one, then others: a cut changes neither weights nor passages."""
+    rng = random.Random(3)
+    rows = [(k, f"In the year of the survey how many sheep grazed near farm{k} by the river? There were {k} sheep there.") for k in range(40)]
+    rows += [(50, "Name the alloy of copper and tin. Bronze"), (51, " ".join(f"long{k}" for k in range(300)) + ". The end of it"), (52, "..."), (52, None)]
+    rows += [(60 + k, " ".join(rng.choices([f"v{x}" for x in range(200)], k=20)) + f". Answer number{k} is given") for k in range(40)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+
+    def weights(found):
+        return {(x.items[i].item_id, t): w for x in found for t, each in zip(x.terms, x.lists, strict=True) for i, w in zip(*each[:2], strict=True)}
+
+    whole, parts = (list(decontaminate.indexes(bench, most_bytes=n)) for n in (1 << 20, 600))
+    assert len(whole) == 1 and len(parts) > 5 and {x.half for x in parts} == {whole[0].half}
+    assert weights(whole) == weights(parts) == weights([decontaminate.build(rows)])
+    texts = [text for _, text in rows if text]
+    docs = [(k, " ".join(rng.choices([f"filler{x}" for x in range(99)], k=60) + [w for w in t.split() if rng.random() < 0.8])) for k, t in enumerate(texts * 4)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = [sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))]
+    monkeypatch.setattr(decontaminate, "indexes", lambda b: iter(parts))
+    found.append(sorted(map(tuple, decontaminate.leaks(docs, bench).collect())))
+    assert found[0] and [x[:2] for x in found[0]] == [x[:2] for x in found[1]]
