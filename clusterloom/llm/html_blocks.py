@@ -10,6 +10,15 @@ from typing import NamedTuple
 SKIPPED = frozenset("script style noscript template svg math iframe object head title select button textarea datalist audio video canvas".split())
 #: skipped contents that hold raw text: only their own end tag closes them
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: what may stand in a head; any other tag, and text, closes one that is open
+_HEAD = frozenset("head base basefont bgsound link meta noscript script style template title".split())
+#: skipped contents that can't hold themselves: a second start tag closes the first
+_SINGLE = frozenset("button select datalist audio video".split())
+#: tags at which skipped contents end if their own end tag is missing
+_FLOW = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 #: tags that stay within a block
 INLINE = frozenset(
@@ -61,7 +70,9 @@ def blocks(page: str | None) -> list[Block]:
     Character references are decoded, and white space within a block is one space.  Unclosed and
     misplaced tags are put right as far as block bounds go: an opening block tag closes an open
     paragraph, items and cells close the ones before, an end tag closes what is open inside it, and an
-    end tag without a start is ignored.
+    end tag without a start is ignored.  An open head ends at the first text or tag that can't stand in
+    one.  Other skipped contents that turn out to have no end tag of their own are read again, and end
+    at the first block tag; raw text without an end tag goes on to the end of the page.
     """
     if not page:
         return []
@@ -69,6 +80,12 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     linked, in_link, skipping = 0, 0, 0
+    outer: tuple | None = None  # a skipped tag that should have an end tag: its place in the stack, and what to go back to
+    back = False
+    inner: list[tuple[int, int]] = []  # place and position of the skipped tags open in that one
+    unclosed: set[int] = set()  # positions of those that were open when it was gone back to
+    loose: list[int] = []  # places in the stack of skipped tags without an end tag
+    last: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -79,8 +96,18 @@ def blocks(page: str | None) -> list[Block]:
             held.clear()
         linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal in_link, skipping
+    def pop(to: int, own: bool = False) -> None:
+        """Close the tags from place `to` on; `own`: for the end tag of the one there."""
+        nonlocal in_link, skipping, outer, back
+        if outer and to <= outer[0]:
+            back = not (own and to == outer[0])
+            if back:
+                return
+            outer = None
+        while loose and loose[-1] >= to:
+            loose.pop()
+        while inner and inner[-1][0] >= to:
+            inner.pop()
         if any(name not in INLINE for name, _ in stack[to:]):
             flush()
         for name, _ in stack[to:]:
@@ -96,15 +123,31 @@ def blocks(page: str | None) -> list[Block]:
             if stack[k][0] in bound:
                 return
 
+    def has_end(name: str, at: int) -> bool:
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(rf"</{name}", page, re.IGNORECASE)), default=-1)
+        return last[name] >= at
+
     at, end = 0, len(page)
-    while at < end:
+    while at < end or outer:
+        if back or at >= end:
+            place, at, kept, in_link, skipping = outer
+            stack[:] = kept
+            held.clear()
+            loose.append(place)
+            unclosed.update(x for _, x in inner)
+            inner.clear()
+            outer, linked, back = None, 0, False
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
+        if stack and stack[-1][0] == "head" and page[at:stop].strip():
+            pop(len(stack) - 1)
         if stop > at and not skipping:
             held.append(page[at:stop])
             linked += (stop - at) * (in_link > 0)
         if not m:
-            break
+            at = end
+            continue
         at = max(m.end(), m.start() + 1)
         name = (m[2] or "").lower()
         if not name:
@@ -112,18 +155,26 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    pop(k)
+                    pop(k, own=True)
                     break
             else:
                 if name not in INLINE:
                     flush()
             continue
+        if stack and stack[-1][0] == "head" and name not in _HEAD:
+            pop(len(stack) - 1)
         if name == "br":
             held.append(" ")
         if name in VOID:
             if name not in INLINE:
                 flush()
             continue
+        if name in _FLOW and loose and not outer:
+            pop(loose[0])
+            if stack and stack[-1][0] == "head":
+                pop(len(stack) - 1)
+        if name in _SINGLE:
+            close(frozenset([name]), _P_BOUND)
         if name not in INLINE and name not in ("html", "body"):
             close(frozenset(["p"]), _P_BOUND)
         if name in _CLOSES:
@@ -141,7 +192,14 @@ def blocks(page: str | None) -> list[Block]:
             closing = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             pop(len(stack) - 1)
             at = closing.end() if closing else end
-        elif len(stack) > 400:  # deeper tags have no part in the path; their text stays
+        elif name in SKIPPED and name != "head":
+            if outer:
+                inner.append((len(stack) - 1, at))
+            elif at not in unclosed and has_end(name, at):
+                outer = (len(stack) - 1, at, list(stack), in_link, skipping)
+            else:
+                loose.append(len(stack) - 1)
+        elif len(stack) > 400 and not skipping:  # deeper tags have no part in the path; their text stays
             flush()
             del stack[200:399]
             in_link, skipping = sum(n == "a" for n, _ in stack), sum(n in SKIPPED for n, _ in stack)

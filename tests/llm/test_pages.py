@@ -22,6 +22,22 @@ def test_blocks():
     assert [b.text for b in blocks("<div>" * 3000 + "deep")] == ["deep"]
 
 
+def test_unclosed_skipped_tags():
+    def texts(page):
+        return [b.text for b in blocks(page)]
+
+    assert texts("<html><head><meta charset=utf-8><title>t</title><script>x</script><body><p>a<p>b</body></html>") == ["a", "b"]
+    assert texts("<head><title>t</title> <p>a</p>") == texts("<head><title>t</title>a<p>") == texts("<head><template><i>t</i><body><p>a") == ["a"]
+    assert texts("<head><title>t</title></head><p>a") == texts("<head><noscript><p>t</p></noscript><h1>a</h1>") == ["a"]
+    for tag in "button select svg math object template datalist audio video canvas".split():
+        assert texts(f"<div>a<{tag}>t</{tag}>b<{tag}><i>t</i><p>c</p></div><p>d") == ["a", "b", "c", "d"]
+        assert texts(f"<p>a<{tag}>t<div>b</div><{tag}>t</{tag}>c") == ["a", "b", "c"]
+        assert texts(f"a<{tag}><div><p>t</p></div></{tag}><p>b<{tag}><{tag}>t") == ["a", "b"]
+    assert texts("<ul><li><button>t<li>a</ul><object><video><p>t</p></video><p>b") == ["a", "b"]
+    assert texts("<select><option>t<option>t<p>a</p><select><option>t</select>b") == ["a", "b"]
+    assert texts("<canvas>" * 2000 + "<p>t</p></canvas>" + "<button>" * 2000 + "<p>a") == ["a"]
+
+
 def test_held_out_pages(model):
     """Made-up pages that the training has not seen."""
     right = total = 0
