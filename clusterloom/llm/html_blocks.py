@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: contents that are no text of the page
@@ -41,6 +42,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: open tags that a path spells out; with more, it has their marks once each
+DEEP = 400
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -58,7 +61,7 @@ def _marks(name: str, attributes: str) -> tuple[str, ...]:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role", "itemprop", "aria-label", "data-role", "data-component"):
-                marks += [f".{x.lower()}" for x in _NAMES.findall(value)[:12]]
+                marks += [f".{x.lower()}" for x in _NAMES.findall(value)]
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                 marks.append(".hidden")
     return tuple(marks)
@@ -77,7 +80,9 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Name, marks and, for tags beyond DEEP, the marks of all open tags.
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []
+    opened: Counter = Counter()
     held: list[str] = []
     linked, in_link, skipping = 0, 0, 0
     outer: tuple | None = None  # a skipped tag that should have an end tag: its place in the stack, and what to go back to
@@ -92,7 +97,8 @@ def blocks(page: str | None) -> list[Block]:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
             if text:
-                out.append(Block(text, tuple(m for _, marks in stack for m in marks), linked))
+                deep = stack[-1][2] if stack else ()
+                out.append(Block(text, (*deep, stack[-1][0]) if deep else tuple(m for _, marks, _ in stack for m in marks), linked))
             held.clear()
         linked = 0
 
@@ -108,15 +114,16 @@ def blocks(page: str | None) -> list[Block]:
             loose.pop()
         while inner and inner[-1][0] >= to:
             inner.pop()
-        if any(name not in INLINE for name, _ in stack[to:]):
+        if any(name not in INLINE for name, _, _ in stack[to:]):
             flush()
-        for name, _ in stack[to:]:
+        for name, _, _ in stack[to:]:
+            opened[name] -= 1
             in_link -= name == "a"
             skipping -= name in SKIPPED
         del stack[to:]
 
     def close(names: frozenset, bound: frozenset) -> None:
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1 if any(opened[x] for x in names) else -1, -1, -1):
             if stack[k][0] in names:
                 pop(k)
                 return
@@ -133,6 +140,7 @@ def blocks(page: str | None) -> list[Block]:
         if back or at >= end:
             place, at, kept, in_link, skipping = outer
             stack[:] = kept
+            opened = Counter(x for x, _, _ in stack)
             held.clear()
             loose.append(place)
             unclosed.update(x for _, x in inner)
@@ -153,7 +161,7 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if opened[name] else -1, -1, -1):
                 if stack[k][0] == name:
                     pop(k, own=True)
                     break
@@ -185,7 +193,12 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
-        stack.append((name, _marks(name, m[3])))
+        marks, deep = _marks(name, m[3]), ()
+        if len(stack) >= DEEP:
+            deep = stack[-1][2] or tuple(dict.fromkeys(x for _, above, _ in stack for x in above))
+            deep += tuple(x for x in dict.fromkeys(marks) if x not in deep)
+        stack.append((name, marks, deep))
+        opened[name] += 1
         in_link += name == "a"
         skipping += name in SKIPPED
         if name in RAW:
@@ -199,9 +212,5 @@ def blocks(page: str | None) -> list[Block]:
                 outer = (len(stack) - 1, at, list(stack), in_link, skipping)
             else:
                 loose.append(len(stack) - 1)
-        elif len(stack) > 400 and not skipping:  # deeper tags have no part in the path; their text stays
-            flush()
-            del stack[200:399]
-            in_link, skipping = sum(n == "a" for n, _ in stack), sum(n in SKIPPED for n, _ in stack)
     flush()
     return out

@@ -38,6 +38,15 @@ def test_unclosed_skipped_tags():
     assert texts("<canvas>" * 2000 + "<p>t</p></canvas>" + "<button>" * 2000 + "<p>a") == ["a"]
 
 
+def test_marks_of_all_words_and_tags():
+    many = " ".join(f"word{'abcdefghijklmnopqrst'[k]}" for k in range(20))
+    (block,) = blocks(f'<div class="{many} comment">a</div>')
+    assert block.path == ("div", *(f".{x}" for x in many.split()), ".comment")
+    found = blocks("<main>" + "<div>" * 300 + "<div class=comment>" + "<div>" * 300 + "<b>a</b><p>b" + "</div>" * 601 + "c</main>d")
+    assert [b.text for b in found] == ["a", "b", "c", "d"] and [b.path for b in found[2:]] == [("main",), ()]
+    assert all({"main", "div", ".comment"} <= set(b.path) for b in found[:2]) and found[1].path[-1] == "p"
+
+
 def test_held_out_pages(model):
     """Made-up pages that the training has not seen."""
     right = total = 0
