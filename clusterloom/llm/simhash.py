@@ -185,13 +185,14 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int =
     return ready.select("bucket", "a", "b", "side", "fp").mapInArrow(_tile_batches, "u long, v long")
 
 
-def components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, fixed: int | None = None) -> DataFrame:
+def components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, fixed: int | None = None, rooted: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id of the documents reachable over links.  Documents without
     words share fingerprint zero and link like any other; rows that share a doc_id are separate
     documents with that id; a null doc_id counts as larger than any id and gives null only where a
-    whole class has none.  An empty table gives an empty result.
+    whole class has none.  An empty table gives an empty result.  `rooted` adds the column root: a
+    fingerprint of the class, the same for all its rows, which tells classes apart that share an id.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs), "prints")
@@ -200,31 +201,52 @@ def components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, fixed: i
     joined = scratch.save(connected_components(found).withColumnRenamed("node", "fp"), "joined")
     least = joined.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     least = scratch.save(least, "least")
-    linked = scratch.save(joined.join(least, "component").select("fp", "component_id"), "linked")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    root = [F.col("component").alias("root")] if rooted else []
+    linked = scratch.save(joined.join(least, "component").select("fp", "component_id", *root), "linked")
+    root = [F.coalesce("root", "fp").alias("root")] if rooted else []
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), *root)
     named = scratch.save(named, "named")
     for done in ("placed", "large", "links", "joined", "least", "linked", "distinct"):
         scratch.drop(done)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", *(["root"] if rooted else []))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`docs` without near-duplicates: of each class the row with the smallest doc_id stays.
 
-    Where rows share that doc_id, one of them stays (the one with the least text by hash).  Rows of
-    a class without any doc_id stay.
+    A null doc_id counts as larger than any.  Where rows of the class share that doc_id, or have none,
+    one of them stays: the one with the least fingerprint, then the least text by hash.  A row without
+    doc_id and text is a copy of nothing but other such rows; one of them stays.
+
+    An id that one row has is enough to find the row; only rows with other chosen ids get their
+    fingerprint once more.
     """
-    found = Scratch(docs.sparkSession, "keep-one").save(components(docs, radius), "classes")
-    chosen = found.groupBy("component_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n"))
-    name, many_of, rank = fresh(docs.columns, "chosen", "n_chosen", "rank")
-    chosen = chosen.where("component_id is not null").select(F.col("component_id").alias(name), F.col("n").alias(many_of))
-    kept = docs.join(chosen, F.col("doc_id") == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull())
+    found = Scratch(docs.sparkSession, "keep-one").save(components(docs, radius, rooted=True), "classes")
+    ids, prints, rows_of, fp, blank, rank = fresh([*docs.columns, "doc_id", "text"], "chosen", "chosen_fp", "n_chosen", "fp", "blank", "rank")
+    of_class = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("fp")))
+    chosen = found.groupBy("root").agg(F.min("component_id").alias(ids), of_class.alias(prints)).drop("root")
+    sharing = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rows_of)).where(F.col(rows_of) > 1)
+    several = Scratch(docs.sparkSession, "keep-one").save(sharing.select(F.col("doc_id").alias(rows_of)), "several")
+    named = chosen.where(F.col(ids).isNotNull())
+    alone = named.join(several, F.col(ids) == F.col(rows_of), "left_anti").select(ids)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if chosen.where(F.col(many_of) > 1).isEmpty():
-        return kept.select(*columns)
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    many = kept.where(F.col(many_of) > 1).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
-    return kept.where((F.col(many_of) == 1) | F.col(many_of).isNull()).select(*columns).unionByName(many.select(*columns))
+    kept = docs.join(alone, F.col("doc_id") == F.col(ids)).select(*columns)
+    nameless = found.where("doc_id is null").isEmpty()
+    if nameless and several.isEmpty():
+        return kept
+    doubtful = docs.where("doc_id is null").unionByName(docs.join(several, F.col("doc_id") == F.col(rows_of), "left_semi"))
+    doubtful = doubtful.withColumn(blank, F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in wordbytes.slices(batches, blank):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints_of(batch.column(blank)).view(np.int64))], [*batch.schema.names, fp])
+
+    doubtful = doubtful.mapInArrow(run, doubtful.withColumn(fp, F.lit(0).cast("long")).schema)
+    doubtful = doubtful.withColumn(blank, F.col("doc_id").isNull() & F.col(blank).isNull())
+    of_row = F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(fp) == F.col(prints)) & ~F.col(blank)
+    picked = doubtful.join(chosen, of_row, "left").where(F.col(blank) | F.col(prints).isNotNull())
+    first = W.partitionBy("doc_id", blank, fp).orderBy(F.xxhash64("text"), F.xxhash64(*columns))
+    return kept.unionByName(picked.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

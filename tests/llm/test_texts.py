@@ -102,6 +102,17 @@ def test_simhash_edge_cases(spark):
     assert simhash.components(docs.where("false")).count() == 0 and simhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_keep_one_without_ids(spark):
+    """One row of each class stays, whether ids are missing, shared by classes or both."""
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcdef"]
+    a, b, c, d, e, f = texts
+    rows = [(None, a), (None, a), (None, a), (None, b), (None, b), (1, b), (1, b), (3, c), (3, d), (3, d), (2, d), (None, d), (3, e), (4, f), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, fp long")
+    kept = simhash.keep_one(docs)
+    want = [("1", b), ("2", d), ("3", c), ("3", e), ("4", f), ("None", a), ("None", None)]
+    assert kept.columns == docs.columns and sorted(((str(r.doc_id), r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def chat_digests(rows):
     talks = collections.defaultdict(list)
     for conv, turn, role, text in rows:
