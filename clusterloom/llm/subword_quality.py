@@ -28,8 +28,6 @@ FOLDS, HELD = 4, 2
 THRESHOLD = 0.7
 #: labelled rows that the fit takes of either class
 PER_CLASS = 2000
-#: words that a labelled row gives to the fit, spread evenly over its text; scoring uses all words
-FIT_WORDS = 1000
 BUCKETS = 1 << 17
 DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
@@ -114,27 +112,31 @@ def score(texts: pa.Array, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(value / np.maximum(size, 1) + model.bias, -30, 30)))
 
 
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that the features of a whole text fall into, and the share of each."""
+    vocabulary, codes, first = _coded(pa.array([text]))
+    buckets, counts = features(vocabulary)
+    uses = np.bincount(codes, minlength=len(vocabulary))
+    ids, place = np.unique(buckets, return_inverse=True)
+    share = np.bincount(place, weights=np.repeat(uses, counts), minlength=len(ids))
+    ids, share = np.append(ids, _SAME), np.append(share, _repeats(codes, first).sum())
+    used = share > 0
+    return ids[used].astype(np.int32), (share[used] / max(1.0, share.sum())).astype(np.float32)
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+    return fit_shares([shares(text) for text in texts], labels, seed)
+
+
+def fit_shares(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
     """Learn bucket vectors and the output layer by stochastic gradient descent on the softmax loss.
 
     Rows are shuffled each epoch with a fixed seed, and the step falls linearly to zero.  Classes are
     not reweighted, so that scores stay probabilities.  One class only: the bias decides.
     """
-    if not len(texts):
+    if not rows:
         return Model(np.zeros(BUCKETS), 0.0)
     rng = np.random.default_rng(seed)
-    rows = []
-    for text in texts:
-        vocabulary, codes, first = _coded(pa.array([text]))
-        same = _repeats(codes, first)
-        take = np.linspace(0, len(codes) - 1, min(len(codes), FIT_WORDS)).astype(np.int64)
-        buckets, counts = features(vocabulary)
-        uses = np.bincount(codes[take], minlength=len(vocabulary))
-        ids, place = np.unique(buckets, return_inverse=True)
-        share = np.bincount(place, weights=np.repeat(uses, counts), minlength=len(ids))
-        ids, share = np.append(ids, _SAME), np.append(share, same[take].sum())
-        used = share > 0
-        rows.append((ids[used], (share[used] / max(1.0, share.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -161,23 +163,19 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = PER_CLASS, folds: int = FOLDS, held: int = HELD) -> Model:
     """A model of `labels`.`target`, fitted on the driver to a sample of 2 * per_class labelled rows."""
     rows = labelled_rows(docs, labels, target, folds, held, per_class)
-    sample = rows.mapInPandas(_thinned, "doc_id long, label int, text string").toPandas()
-    sample = sample.sort_values(["doc_id", "text"], kind="stable")
-    return fit(sample["text"].tolist(), sample["label"].to_numpy())
+    sample = rows.mapInPandas(_shares_of, "doc_id long, label int, ids binary, share binary").toPandas()
+    for column in ("ids", "share"):
+        sample[column] = [bytes(x) for x in sample[column]]
+    sample = sample.sort_values(["doc_id", "ids", "share"], kind="stable")
+    pairs = zip(sample["ids"], sample["share"], strict=True)
+    return fit_shares([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for i, x in pairs], sample["label"].to_numpy())
 
 
-def _thinned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of words from all over a long text, so that the driver gets FIT_WORDS a row at most."""
+def _shares_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shares of whole texts, so that the driver gets BUCKETS numbers a row at most, however long its text."""
     for frame in frames:
-        texts = []
-        for text in frame["text"]:
-            found = text.split()
-            if len(found) > FIT_WORDS:
-                run = 50
-                starts = np.linspace(0, len(found) - run, FIT_WORDS // run).astype(int)
-                text = " ".join(" ".join(found[a : a + run]) for a in starts)
-            texts.append(text)
-        yield frame.assign(text=texts)[["doc_id", "label", "text"]]
+        found = [shares(text) for text in frame["text"]]
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "ids": [i.tobytes() for i, _ in found], "share": [x.tobytes() for _, x in found]})
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

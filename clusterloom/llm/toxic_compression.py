@@ -34,9 +34,8 @@ from clusterloom.llm.tables import fresh, table
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
-#: labelled rows that the fit takes of either class, and words of one row, spread evenly over it
+#: labelled rows that the fit takes of either class
 PER_CLASS = 3000
-FIT_WORDS = 4000
 #: parts of the labelled rows; each is calibrated with dictionaries made from the others
 PARTS = 3
 #: windows go into the toxic dictionary if so many toxic rows hold them, and so many times as often as ordinary rows
@@ -89,19 +88,25 @@ def _coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.first
 
 
-def features(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per document: one, the highest value, the means of the highest two and three, and counts of hits, whole and per word."""
+def features(values: np.ndarray, first: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Per document: one, the highest value, the means of the highest two and three, and counts of hits, whole and per word.
+
+    `times` says how often each value stands there; once if not given.
+    """
     docs = len(first) - 1
     owner = np.repeat(np.arange(docs), np.diff(first))
+    times = np.ones(len(values), np.int64) if times is None else times
     hint = np.flatnonzero(values >= HINT)
+    hint = np.repeat(hint, np.minimum(times[hint], 3))
     order = hint[np.lexsort((-values[hint], owner[hint]))]
     who = owner[order]
     rank = np.arange(len(who)) - np.searchsorted(who, who, "left")
     top = np.zeros((docs, 3))
     early = rank < 3
     top[who[early], rank[early]] = values[order[early]]
-    hits = np.bincount(owner[hint][values[hint] >= HIT], minlength=docs)
-    share = hits / np.maximum(np.diff(first), 1)
+    hit = np.flatnonzero(values >= HIT)
+    hits = np.bincount(owner[hit], weights=times[hit], minlength=docs)
+    share = hits / np.maximum(np.bincount(owner, weights=times, minlength=docs), 1)
     return np.stack([np.ones(docs), top[:, 0], top[:, :2].mean(axis=1), top.mean(axis=1), np.log1p(hits), np.log1p(1000 * share) / 3], axis=1)
 
 
@@ -186,44 +191,50 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float, strength: float = 0.03
     return w
 
 
-def fit(rows: list[list[bytes]], labels: np.ndarray, prior: float) -> Model:
+def fit(rows: list[list[bytes] | Counter], labels: np.ndarray, prior: float) -> Model:
     """Dictionaries from all rows, and a calibration in which no row meets dictionaries it helped to make.
 
+    A row is its words, or how often it has each.
+
     One class only, or no rows: the prior decides.
     """
     kept = distinct_rows(rows)
-    rows, labels = [rows[k] for k in kept], labels[kept]
+    rows, labels = [Counter(rows[k]) for k in kept], labels[kept]
     part = np.arange(len(rows)) % PARTS
     x, y = [], []
     for k in range(PARTS):
         values = Values(*dictionaries([r for r, p in zip(rows, part, strict=True) if p != k], labels[part != k]))
         held = [r for r, p in zip(rows, part, strict=True) if p == k]
         flat = np.fromiter((values.of(w) for r in held for w in r), np.float64)
-        x.append(features(flat, np.concatenate([[0], np.cumsum([len(r) for r in held])]).astype(np.int64)))
+        times = np.fromiter((n for r in held for n in r.values()), np.int64)
+        x.append(features(flat, np.concatenate([[0], np.cumsum([len(r) for r in held])]).astype(np.int64), times))
         y.append(labels[part == k].astype(float))
     toxic, ordinary = dictionaries(rows, labels)
     return Model(toxic, ordinary, calibrate(np.concatenate(x), np.concatenate(y), prior), hashlib.md5(toxic + b"|" + ordinary).hexdigest())
 
 
 def _words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of whole texts, and how often each stands there."""
     for frame in frames:
-        rows = []
+        words, times = [], []
         for text in frame["text"]:
             vocabulary, codes, _ = _coded(pa.array([text]))
-            if len(codes) > FIT_WORDS:
-                codes = codes[np.linspace(0, len(codes) - 1, FIT_WORDS).astype(int)]
-            rows.append(b" ".join(vocabulary[k] for k in codes.tolist()))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "words": rows})
+            words.append(b" ".join(vocabulary))
+            times.append(np.bincount(codes, minlength=len(vocabulary)).astype(np.int64).tobytes())
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "words": words, "times": times})
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = PER_CLASS, folds: int = FOLDS, held: int = HELD) -> Model:
     """A model of `labels`.`target`, fitted on the driver to the words of a sample of 2 * per_class labelled rows."""
-    rows = labelled_rows(docs, labels, target, folds, held, per_class).mapInPandas(_words_of, "doc_id long, label int, words binary").toPandas()
-    rows = rows.sort_values(["doc_id", "words"], kind="stable")
+    rows = labelled_rows(docs, labels, target, folds, held, per_class).mapInPandas(_words_of, "doc_id long, label int, words binary, times binary").toPandas()
+    for column in ("words", "times"):
+        rows[column] = [bytes(x) for x in rows[column]]
+    rows = rows.sort_values(["doc_id", "words", "times"], kind="stable")
     usable = labels.where((fold(F.col("doc_id"), folds) != held) & F.col(target).isin(0, 1))
     prior = usable.agg(F.avg(F.col(target).cast("double"))).first()[0]
     rows = pd.concat([rows[rows["label"] == c] for c in (0, 1)])  # every part gets its share of both
-    return fit([bytes(w).split() for w in rows["words"]], rows["label"].to_numpy(), 0.0 if prior is None else float(prior))
+    counted = [Counter(dict(zip(w.split(b" ") if w else (), np.frombuffer(n, np.int64).tolist(), strict=True))) for w, n in zip(rows["words"], rows["times"], strict=True)]
+    return fit(counted, rows["label"].to_numpy(), 0.0 if prior is None else float(prior))
 
 
 _values: dict[str, Values] = {}

@@ -129,6 +129,19 @@ def test_classifier_edge_cases(spark, module):
     assert module.scored(docs.where("false"), module.train(docs, none), "doc_id").count() == 0
 
 
+def test_fits_read_whole_texts(spark):
+    """Words of long rows count wherever they stand."""
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+
+    def docs(word, at, n):
+        rows = [(k, " ".join(word if k % 2 and i in at else f"r{k}w{i}" for i in range(n))) for k in range(60)]
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    assert toxic_compression._twice(b"grawlix") in toxic_compression.train(docs("grawlix", {2}, 6000), labels).toxic
+    one, other = (subword_quality.train(docs(w, range(60, 100), 3000), labels) for w in ("quokka", "wombat"))
+    assert not np.array_equal(one.weight, other.weight)
+
+
 def test_wand_equals_scoring_all(spark, sf):
     rows = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
     index = decontaminate.build(rows)
