@@ -1,13 +1,16 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window is one word with its boundaries, in lower case.  It is compressed with either dictionary; its
-value is the share of the bytes it takes with the ordinary dictionary that the toxic one saves.  A
-document's score comes from its windows of highest value and from how many pass thresholds, through a
-logistic calibration on labelled documents that the dictionaries have not seen.
-
-zstandard stores very short inputs as they are, and a match costs about three bytes whatever it
-replaces.  So that single words show a difference, every byte of a window is written twice and a run
-of one byte goes in front; both dictionaries see the same.
+A text is cut into overlapping windows of several words.  Each window is compressed twice: with the
+ordinary dictionary, and with the toxic one in front of the same ordinary one, so that ordinary words
+cost the same bytes on both sides and the difference is what toxic text explains better.  A
+document's score comes from the bytes that its windows save, through thresholds and a logistic
+calibration on labelled documents that the dictionaries have not seen.
+
+Toxic text is mostly ordinary words, so its dictionary is trained in rounds: first on all windows of
+toxic documents, then on those that the dictionary of other toxic documents compresses better than
+nearly all ordinary windows.  Documents that it does not tell apart yet give the next stage's windows
+(other languages, other ways).  Ordinary windows that a toxic dictionary compresses better by mistake
+go into the ordinary dictionary.  No window meets a dictionary that its own document helped to train.
 """
 
 from __future__ import annotations
@@ -15,12 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -35,17 +36,22 @@ from clusterloom.llm.tables import fresh, table
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 #: labelled rows that the fit takes of either class
-PER_CLASS = 3000
+PER_CLASS = 1500
+#: words in a window and from one window to the next, for training and for scoring
+TRAINED, SCORED = (6, 1), (12, 6)
 #: parts of the labelled rows; each is calibrated with dictionaries made from the others
-PARTS = 3
-#: windows go into the toxic dictionary if so many toxic rows hold them, and so many times as often as ordinary rows
-LEAST_ROWS, LEAST_RATIO = 3, 4.0
-TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 64 << 10
-LEVEL = 6
-LEAD = b"~" * 64
-#: values below this are no hint; values from the second on are counted
-HINT, HIT = 0.3, 0.6
-KNOWN_WORDS = 300_000
+PARTS = 5
+#: stages of the toxic dictionary, and rounds of training in each
+STAGES, ROUNDS = 4, 2
+#: bytes of the first ordinary dictionary, of what a stage adds to it, and of a stage's toxic dictionary
+ORDINARY_BYTES, MISTAKEN_BYTES, TOXIC_BYTES = 512 << 10, 8 << 10, 4 << 10
+#: share of ordinary windows that a window's saving must exceed to be trained on, and of ordinary rows that a row must to be told apart
+WINDOW_QUANTILE, ROW_QUANTILE = 0.99, 0.995
+#: dictionaries are made of segments of so many bytes, valued by their runs of so many
+SEGMENT, RUN = 32, 8
+LEVEL = 9
+#: bytes saved from which on a window is a hit (in scoring) or a mistake (in training)
+HIT, MISTAKE = 3, 2
 
 
 class Model(NamedTuple):
@@ -55,102 +61,89 @@ class Model(NamedTuple):
     key: str
 
 
-def _twice(word: bytes) -> bytes:
-    return np.repeat(np.frombuffer(b" " + word + b" ", np.uint8), 2).tobytes()
+class Windows(NamedTuple):
+    """Window k is data[start[k]:stop[k]], a blank at both ends, of text owner[k]."""
 
+    data: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    owner: np.ndarray
 
-class Values:
-    """The value of each word under a pair of dictionaries, remembered for the last KNOWN_WORDS words."""
+    def take(self, which: np.ndarray) -> Windows:
+        return Windows(self.data, self.start[which], self.stop[which], self.owner[which])
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        made = []
-        for content in (toxic, ordinary):
-            held = zstandard.ZstdCompressionDict(content or b"~" * 64, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.toxic, self.ordinary = made
-        self.lead = len(self.ordinary.compress(LEAD))
-        self.known: dict[bytes, float] = {}
 
-    def of(self, word: bytes) -> float:
-        if (found := self.known.get(word)) is None:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            window = LEAD + _twice(word)
-            plain = len(self.ordinary.compress(window))
-            found = self.known[word] = (plain - len(self.toxic.compress(window))) / max(1, plain - self.lead)
-        return found
+def windows(texts: pa.Array, size: int, step: int) -> Windows:
+    """All windows of whole texts, in lower case; a text of fewer words is one window, one without words has none.
 
-
-def _coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    found = wordbytes.words(pc.utf8_lower(pc.fill_null(texts, "")), between=wordbytes.NO_WORD)
-    coded = wordbytes.as_array(found).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.first
-
-
-def features(values: np.ndarray, first: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
-    """Per document: one, the highest value, the means of the highest two and three, and counts of hits, whole and per word.
-
-    `times` says how often each value stands there; once if not given.
+    The last window of a text ends with its last word, so every word lies in a window.
     """
-    docs = len(first) - 1
-    owner = np.repeat(np.arange(docs), np.diff(first))
-    times = np.ones(len(values), np.int64) if times is None else times
-    hint = np.flatnonzero(values >= HINT)
-    hint = np.repeat(hint, np.minimum(times[hint], 3))
-    order = hint[np.lexsort((-values[hint], owner[hint]))]
-    who = owner[order]
-    rank = np.arange(len(who)) - np.searchsorted(who, who, "left")
-    top = np.zeros((docs, 3))
-    early = rank < 3
-    top[who[early], rank[early]] = values[order[early]]
-    hit = np.flatnonzero(values >= HIT)
-    hits = np.bincount(owner[hit], weights=times[hit], minlength=docs)
-    share = hits / np.maximum(np.bincount(owner, weights=times, minlength=docs), 1)
-    return np.stack([np.ones(docs), top[:, 0], top[:, :2].mean(axis=1), top.mean(axis=1), np.log1p(hits), np.log1p(1000 * share) / 3], axis=1)
-
-
-def score(texts: pa.Array, model: Model, values: Values) -> np.ndarray:
+    found = wordbytes.words(pc.utf8_lower(pc.fill_null(texts, "")))
+    counts = np.diff(found.first)
+    per = np.where(counts > 0, np.maximum(-(-(counts - size) // step), 0) + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), per)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    first = found.first[:-1][owner] + np.minimum(k * step, np.maximum(counts[owner] - size, 0))
+    last = np.minimum(first + size, found.first[1:][owner]) - 1
+    return Windows(np.concatenate([np.array([0x20], np.uint8), found.text]), found.start[first], found.end[last] + 2, owner)
+
+
+class Sizes:
+    """Compressed sizes of windows under one dictionary."""
+
+    def __init__(self, content: bytes, threads: int = 0):
+        held = zstandard.ZstdCompressionDict(content.rjust(64), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=LEVEL)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.threads = threads
+
+    def of(self, given: Windows, at_once: int = 1 << 17) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for low in range(0, len(given.start), at_once):
+            start, stop = given.start[low : low + at_once], given.stop[low : low + at_once]
+            base = int(start.min())
+            spans = np.stack([start - base, stop - start], axis=1).astype(np.uint64)
+            held = zstandard.BufferWithSegments(given.data[base : int(stop.max())].tobytes(), spans.tobytes())
+            made = self.compressor.multi_compress_to_buffer(held, threads=self.threads)
+            out.append(np.fromiter((len(made[k]) for k in range(len(made))), np.int64, len(made)))
+        return np.concatenate(out)
+
+
+def features(saved: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """Per text: one, the bytes saved per window and per root of windows, and the number and share of hits."""
+    n = np.maximum(np.bincount(owner, minlength=rows), 1)
+    total, hits = np.bincount(owner, weights=saved, minlength=rows), np.bincount(owner[saved >= HIT], minlength=rows)
+    return np.stack([np.ones(rows), 10 * np.clip(total / n, -0.2, 0.6), np.clip(total / np.sqrt(n), -1, 4), np.log1p(hits), 5 * np.sqrt(hits / n)], axis=1)
+
+
+def score(texts: pa.Array, model: Model, sides: tuple[Sizes, Sizes] | None = None) -> np.ndarray:
     """Probability of label 1 for each text; null and empty texts have no windows and get the intercept's."""
-    vocabulary, codes, first = _coded(texts)
-    each = np.fromiter(map(values.of, vocabulary), np.float64, len(vocabulary))
-    odds = features(each[codes] if len(codes) else np.zeros(0), first) @ model.weights
+    ordinary, toxic = sides or _sides(model)
+    given = windows(texts, *SCORED)
+    odds = features(ordinary.of(given) - toxic.of(given), given.owner, len(texts)) @ model.weights
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def dictionaries(rows: list[list[bytes]], labels: np.ndarray) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary, from the words of each row.
+def _sides(model: Model) -> tuple[Sizes, Sizes]:
+    return Sizes(model.ordinary), Sizes(model.toxic + model.ordinary)
 
-    Toxic text is mostly ordinary words, so only windows that toxic rows hold significantly more often go
-    into its dictionary (by a likelihood ratio test, stricter the more words are tested), the most telling
-    ones last, where they are cheapest to refer to.  The ordinary one takes the windows that most ordinary
-    rows hold.
-    """
-    bad, good = Counter(), Counter()
-    for words, label in zip(rows, labels.tolist(), strict=True):
-        (bad if label else good).update(set(words))
-    n_bad = int(labels.sum())
-    n_good = len(labels) - n_bad
-    if not n_bad or not n_good:
-        return b"", b""
-
-    def ratio(w: bytes) -> float:
-        return (bad[w] + 0.5) / (n_bad + 1) / ((good[w] + 0.5) / (n_good + 1))
 
-    def g(w: bytes) -> float:
-        a, b, n = bad[w], good[w], n_bad + n_good
-        return 2 * sum(x * math.log(x * n / ((a + b) * of)) for x, of in ((a, n_bad), (b, n_good)) if x)
+def dictionary(given: Windows, which: np.ndarray, size: int) -> bytes:
+    """What zstandard trains from these windows, up to a third of their bytes; empty where they are too few for it.
 
-    tested = [w for w in bad if bad[w] >= LEAST_ROWS]
-    least = 2 * math.log(max(2, len(tested)))
-    telling = sorted((g(w), w) for w in tested if ratio(w) >= LEAST_RATIO and g(w) >= least)
-    usual = sorted((n, w) for w, n in good.items() if ratio(w) <= 1.5)[-ORDINARY_BYTES // 4 :]
-    toxic, ordinary = (b"".join(_twice(w) for _, w in part)[-size:] for part, size in ((telling, TOXIC_BYTES), (usual, ORDINARY_BYTES)))
-    return toxic, ordinary
+    It goes through the samples part by part and ends early at a long run of parts that it has covered, so
+    they come in a fixed random order and not text by text.
+    """
+    which = np.random.default_rng(3).permutation(which)
+    samples = [given.data[a:z].tobytes() for a, z in zip(given.start[which].tolist(), given.stop[which].tolist(), strict=True)]
+    try:
+        return zstandard.train_dictionary(max(256, min(size, sum(map(len, samples)) // 3)), samples, k=SEGMENT, d=RUN, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # its way to refuse few or short samples
+        return b""
 
 
-def distinct_rows(rows: list[list[bytes]], bands: int = 8, per_band: int = 3) -> list[int]:
-    """Places of the rows that are no near copy of an earlier one.
+def distinct_rows(rows: list[set[bytes]], bands: int = 8, per_band: int = 3) -> list[int]:
+    """Places of the rows with words that are no near copy of an earlier one.
 
     Copies of one document would make all its words look telling.  Rows count as copies if the smallest
     hashes of their words agree in one of `bands` groups of `per_band` (likely from a similarity of 0.8 on).
@@ -162,7 +155,7 @@ def distinct_rows(rows: list[list[bytes]], bands: int = 8, per_band: int = 3) ->
     for k, words in enumerate(rows):
         if not words:
             continue
-        base = np.fromiter((zlib.crc32(w) for w in set(words)), np.uint64)
+        base = np.fromiter(map(zlib.crc32, words), np.uint64)
         least = ((base[None, :] + np.uint64(1)) * a >> np.uint64(20)).min(axis=1).reshape(bands, per_band)
         marks = {(b, *x) for b, x in enumerate(least.tolist())}
         if marks.isdisjoint(seen):
@@ -191,68 +184,97 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float, strength: float = 0.03
     return w
 
 
-def fit(rows: list[list[bytes] | Counter], labels: np.ndarray, prior: float) -> Model:
-    """Dictionaries from all rows, and a calibration in which no row meets dictionaries it helped to make.
+class _Fold:
+    """The dictionaries made without part k (k None: from all parts)."""
+
+    def __init__(self, k: int | None, given: Windows, part: np.ndarray, plain: np.ndarray):
+        self.given, self.k = given, k
+        self.others = np.ones(len(part), bool) if k is None else part != k
+        self.mine = np.flatnonzero(~self.others)
+        self.toxic, self.ordinary = b"", dictionary(given, np.flatnonzero(plain & self.others), ORDINARY_BYTES)
+
+    def plain_sizes(self, sizes: np.ndarray) -> None:
+        sizes[self.mine] = Sizes(self.ordinary, -1).of(self.given.take(self.mine))
 
-    A row is its words, or how often it has each.
+    def saved(self, sizes: np.ndarray, toxic: bytes, which: np.ndarray, out: np.ndarray) -> None:
+        mine = self.mine[which[self.mine]]
+        out[mine] = sizes[mine] - Sizes(toxic + self.ordinary, -1).of(self.given.take(mine))
+
+
+def fit(texts: list[str], labels: np.ndarray, prior: float) -> Model:
+    """Dictionaries from all rows, and a calibration in which no row meets dictionaries it helped to make.
 
     One class only, or no rows: the prior decides.
     """
-    kept = distinct_rows(rows)
-    rows, labels = [Counter(rows[k]) for k in kept], labels[kept]
-    part = np.arange(len(rows)) % PARTS
-    x, y = [], []
-    for k in range(PARTS):
-        values = Values(*dictionaries([r for r, p in zip(rows, part, strict=True) if p != k], labels[part != k]))
-        held = [r for r, p in zip(rows, part, strict=True) if p == k]
-        flat = np.fromiter((values.of(w) for r in held for w in r), np.float64)
-        times = np.fromiter((n for r in held for n in r.values()), np.int64)
-        x.append(features(flat, np.concatenate([[0], np.cumsum([len(r) for r in held])]).astype(np.int64), times))
-        y.append(labels[part == k].astype(float))
-    toxic, ordinary = dictionaries(rows, labels)
-    return Model(toxic, ordinary, calibrate(np.concatenate(x), np.concatenate(y), prior), hashlib.md5(toxic + b"|" + ordinary).hexdigest())
-
-
-def _words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words of whole texts, and how often each stands there."""
-    for frame in frames:
-        words, times = [], []
-        for text in frame["text"]:
-            vocabulary, codes, _ = _coded(pa.array([text]))
-            words.append(b" ".join(vocabulary))
-            times.append(np.bincount(codes, minlength=len(vocabulary)).astype(np.int64).tobytes())
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "words": words, "times": times})
+    found = wordbytes.words(pc.utf8_lower(pa.array(texts, pa.string())))
+    spelt = wordbytes.as_array(found)
+    kept = distinct_rows([set(spelt.slice(a, z - a).to_pylist()) for a, z in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)])
+    chosen, y = pa.array([texts[k] for k in kept], pa.string()), labels[kept].astype(int)
+    part = np.zeros(len(y), int)
+    for c in (0, 1):
+        part[y == c] = np.arange((y == c).sum()) % PARTS
+    if len(set(y.tolist())) < 2:
+        return Model(b"", b"", calibrate(features(np.zeros(0), np.zeros(0, int), len(y)), y.astype(float), prior), "")
+    given = windows(chosen, *TRAINED)
+    of_part, ordinary = part[given.owner], y[given.owner] == 0
+    apart = np.arange(len(given.start)) % (TRAINED[0] // TRAINED[1]) == 0  # windows that share no word
+    folds = [_Fold(k, given, of_part, ordinary & apart) for k in [*range(PARTS), None]]
+    last = folds[-1]
+    sizes, saved = np.zeros(len(apart)), np.zeros(len(apart))
+    per_row = np.maximum(np.bincount(given.owner, minlength=len(y)), 1)
+    open_rows = y == 1
+    for _ in range(STAGES):
+        for f in folds[:-1]:
+            f.plain_sizes(sizes)
+        wanted = open_rows[given.owner]
+        picked = wanted
+        for _ in range(ROUNDS):
+            made = [dictionary(given, np.flatnonzero(picked & f.others), TOXIC_BYTES) for f in folds[:-1]]
+            for f, toxic in zip(folds[:-1], made, strict=True):
+                f.saved(sizes, toxic, wanted | ordinary & apart, saved)
+            picked = wanted & (saved > np.quantile(saved[ordinary & apart], WINDOW_QUANTILE))
+        for f, toxic in zip(folds, [*made, dictionary(given, np.flatnonzero(picked), TOXIC_BYTES)], strict=True):
+            f.toxic = toxic + f.toxic
+            f.saved(sizes, f.toxic, np.ones(len(apart), bool), saved)
+        means = np.bincount(given.owner, weights=saved, minlength=len(y)) / per_row
+        open_rows = (y == 1) & (means <= np.quantile(means[y == 0], ROW_QUANTILE))
+        mistaken = ordinary & apart & (saved >= MISTAKE)
+        for f in folds:
+            f.ordinary = dictionary(given, np.flatnonzero(mistaken & f.others), MISTAKEN_BYTES) + f.ordinary
+    given = windows(chosen, *SCORED)
+    saved = np.zeros(len(given.start))
+    for f in folds[:-1]:
+        mine = np.flatnonzero(part[given.owner] == f.k)
+        part_of = given.take(mine)
+        saved[mine] = Sizes(f.ordinary, -1).of(part_of) - Sizes(f.toxic + f.ordinary, -1).of(part_of)
+    weights = calibrate(features(saved, given.owner, len(y)), y.astype(float), prior)
+    return Model(last.toxic, last.ordinary, weights, hashlib.md5(last.toxic + b"|" + last.ordinary + weights.tobytes()).hexdigest())
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = PER_CLASS, folds: int = FOLDS, held: int = HELD) -> Model:
-    """A model of `labels`.`target`, fitted on the driver to the words of a sample of 2 * per_class labelled rows."""
-    rows = labelled_rows(docs, labels, target, folds, held, per_class).mapInPandas(_words_of, "doc_id long, label int, words binary, times binary").toPandas()
-    for column in ("words", "times"):
-        rows[column] = [bytes(x) for x in rows[column]]
-    rows = rows.sort_values(["doc_id", "words", "times"], kind="stable")
+    """A model of `labels`.`target`, fitted on the driver to the whole texts of a sample of 2 * per_class labelled rows."""
+    rows = labelled_rows(docs, labels, target, folds, held, per_class).toPandas().sort_values(["label", "doc_id"], kind="stable")
     usable = labels.where((fold(F.col("doc_id"), folds) != held) & F.col(target).isin(0, 1))
     prior = usable.agg(F.avg(F.col(target).cast("double"))).first()[0]
-    rows = pd.concat([rows[rows["label"] == c] for c in (0, 1)])  # every part gets its share of both
-    counted = [Counter(dict(zip(w.split(b" ") if w else (), np.frombuffer(n, np.int64).tolist(), strict=True))) for w, n in zip(rows["words"], rows["times"], strict=True)]
-    return fit(counted, rows["label"].to_numpy(), 0.0 if prior is None else float(prior))
+    return fit(rows["text"].tolist(), rows["label"].to_numpy(), 0.0 if prior is None else float(prior))
 
 
-_values: dict[str, Values] = {}
+_known: dict[str, tuple[Sizes, Sizes]] = {}
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """`keep` columns and, last, the score of every row of `docs`; texts are read where they lie and nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
     text, own = fresh(list(keep), "scored_text", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if model.key not in _values:
-            _values.clear()
-            _values[model.key] = Values(model.toxic, model.ordinary)
+        if model.key not in _known:
+            _known.clear()
+            _known[model.key] = _sides(model)
         for batch in wordbytes.slices(batches, text):
             rest = [c for c in batch.schema.names if c != text]
-            scores = pa.array(score(batch.column(text), model, _values[model.key]))
+            scores = pa.array(score(batch.column(text), model, _known[model.key]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scores], [*rest, own])
 
     kept = docs.select(*(F.col(f"`{c}`") for c in keep))
@@ -260,6 +282,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def op6_toxic_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every row of `documents`, whole texts: see `scored` for nulls and empty texts, `fit` for missing labels."""
     docs = table(spark, sf_dir, "documents")
     found = scored(docs, train(docs, table(spark, sf_dir, "labels")), "doc_id")
     return found.select(

@@ -9,6 +9,7 @@ import pytest
 from oracle import rows_of, rows_of_sql
 
 from clusterloom.llm import decontaminate, host_rules, registry, source_mix, subword_quality, toxic_compression
+from clusterloom.llm.labelled import labelled_rows
 from clusterloom.llm.tables import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,16 +106,38 @@ def test_quality_held_out(spark):
     assert (score[y[held] == 0] < subword_quality.THRESHOLD).mean() > 0.9
 
 
-def test_toxic_held_out(spark):
+@pytest.fixture(scope="module")
+def toxic_model(spark):
     docs, y, held = labelled(spark, "toxic", 3, 1)
-    words = []
-    for text in docs.text:
-        vocabulary, codes, _ = toxic_compression._coded(pa.array([text]))
-        words.append([vocabulary[k] for k in codes.tolist()])
     rows = np.flatnonzero(~held)
-    model = toxic_compression.fit([words[k] for k in rows], y[rows], float(y[rows].mean()))
-    score = toxic_compression.score(pa.array(docs.text[held]), model, toxic_compression.Values(model.toxic, model.ordinary))
-    assert auc(y[held], score) > 0.88 and (score[y[held] == 0] < toxic_compression.THRESHOLD).mean() > 0.99
+    return toxic_compression.fit(docs.text[rows].tolist(), y[rows], float(y[rows].mean()))
+
+
+def test_toxic_held_out(spark, toxic_model):
+    """Held-out documents at the threshold, by language; most toxic ones are English in the tables of this size."""
+    docs, y, held = labelled(spark, "toxic", 3, 1)
+    score, y, lang = toxic_compression.score(pa.array(docs.text[held]), toxic_model), y[held], docs.lang[held].to_numpy()
+    hit, english = score >= toxic_compression.THRESHOLD, lang == "en"
+    assert hit[english & (y == 1)].mean() > 0.85 and hit[y == 1].mean() > 0.5 and auc(y, score) > 0.82
+    assert all(hit[(y == 0) & (lang == x)].mean() < 0.01 for x in set(lang))
+
+
+def test_toxic_score_is_of_windows(spark, toxic_model):
+    """The same words in another order, so in other company, mostly have another score (few bytes saved can be equal)."""
+    docs, y, held = labelled(spark, "toxic", 3, 1)
+    texts = [t for t in docs.text[held & (y == 1) & (docs.lang == "en").to_numpy()] if 100 < len(t.split()) < 500]
+    rng = random.Random(4)
+    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]
+    one, other = (toxic_compression.score(pa.array(x), toxic_model) for x in (texts, mixed))
+    assert len(texts) > 20 and (np.abs(one - other) > 1e-6).mean() > 0.5
+
+
+def test_toxic_windows():
+    texts = ["", None, "a", "A b c d e f g", " ".join(map(str, range(40)))]
+    found = toxic_compression.windows(pa.array(texts), 4, 3)
+    spelt = [bytes(found.data[a:z]).decode() for a, z in zip(found.start, found.stop)]
+    assert spelt[:4] == [" a ", " a b c d ", " d e f g ", " 0 1 2 3 "] and found.owner.tolist()[:3] == [2, 3, 3]
+    assert spelt[-1] == " 36 37 38 39 " and {w for x in spelt for w in x.split()} == {w for t in texts for w in (t or "").lower().split()}
 
 
 @pytest.mark.parametrize("module", [subword_quality, toxic_compression])
@@ -137,11 +160,21 @@ def test_fits_read_whole_texts(spark):
         rows = [(k, " ".join(word if k % 2 and i in at else f"r{k}w{i}" for i in range(n))) for k in range(60)]
         return spark.createDataFrame(rows, "doc_id long, text string")
 
-    assert toxic_compression._twice(b"grawlix") in toxic_compression.train(docs("grawlix", {2}, 6000), labels).toxic
+    model = toxic_compression.train(docs("grawlix", range(5900, 6000, 7), 6000), labels)
+    assert b"grawlix" in model.toxic and b"grawlix" not in model.ordinary
     one, other = (subword_quality.train(docs(w, range(60, 100), 3000), labels) for w in ("quokka", "wombat"))
     assert not np.array_equal(one.weight, other.weight)
 
 
+def test_sample_is_bounded_under_repeats(spark):
+    """A doc_id counts once, whatever its number of labels and documents."""
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(300)] + [(3, "a"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 3, k % 3 % 2) for k in range(60)] + [(3, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, toxic int")
+    found = labelled_rows(docs, labels, "toxic", 3, 99, 50).collect()
+    assert sorted(map(tuple, found)) == [(0, "text 0", 0), (1, "text 1", 1), (2, "text 101", 0)]
+    assert labelled_rows(docs, labels.where("doc_id < 3"), "toxic", 3, 99, 1).count() == 2
+
+
 def test_wand_equals_scoring_all(spark, sf):
     rows = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
     index = decontaminate.build(rows)
