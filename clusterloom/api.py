@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -50,14 +51,31 @@ def _cache(spark: SparkSession) -> result.ResultCache:
     return _caches[key]
 
 
-def cluster(source: DataFrame | str, params: ClusterParams, spark: SparkSession | None = None) -> ClusterResult:
-    """Cluster a table (any DataFrame; row_id is added if missing) or a CSV file.
+def answer(call: Callable[[], object]) -> tuple[int, object]:
+    """What a service would answer for `call`: its result with 200, or a message.
+
+    400 and the message for a bad parameter or file, 404 for an unknown result, else 500 and no details,
+    which go to the log.
+    """
+    try:
+        return 200, call()
+    except KeyError:
+        return 404, {"error": "Result not found"}
+    except ValueError as said:
+        return 400, {"error": str(said)}
+    except Exception:
+        _log.exception("failed")
+        return 500, {"error": "Internal server error"}
+
+
+def cluster(source: DataFrame | str, params: ClusterParams, spark: SparkSession | None = None, multi_line: bool = True) -> ClusterResult:
+    """Cluster a table (any DataFrame; row_id is added if missing, and to be unique if not) or a CSV file (see `read_csv`).
 
     Rows without usable role columns are left out.  The result rows are kept for `download`.
     """
     params.check()
     if isinstance(source, str):
-        rows = read_csv(spark or SparkSession.active(), source)
+        rows = read_csv(spark or SparkSession.active(), source, multi_line)
     else:
         rows = source if "row_id" in source.columns else numbered(source)
     spark = rows.sparkSession

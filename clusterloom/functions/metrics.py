@@ -1,11 +1,14 @@
 """Distances between points, as column expressions.
 
 A metric offers ``distance`` (in its unit), ``comparable`` (a cheaper number in the same order) and
-``threshold`` (a distance turned into that number).
+``threshold`` (a distance turned into that number).  If a grid of cells can prune it, ``axes`` gives
+coordinates whose Euclidean distance is never above the metric's, up to ``slack``; ``spread`` gives
+the greatest distance that goes with such a Euclidean one, and ``straight`` is its inverse.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Protocol
 
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: mean radius of the earth in kilometres (fixed value)
 EARTH_KM = 6371.0
+#: dimensions that a grid cuts; distances use all
+GRID_DIMENSIONS = 3
 
 
 def squared_euclidean(a: list[Column], b: list[Column]) -> Column:
@@ -41,16 +46,19 @@ def haversine_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colu
 class Metric(Protocol):
     #: `comparable` is the square of `distance`
     squared: bool
-    #: equal coordinates bound the distance from below, so a grid of cells can prune
-    grid: bool
+    #: rounding of `axes`, in the metric's unit; None if no grid can prune
+    slack: float | None
 
     def distance(self, a: list[Column], b: list[Column]) -> Column: ...
     def comparable(self, a: list[Column], b: list[Column]) -> Column: ...
     def threshold(self, eps: float) -> float: ...
+    def axes(self, a: list[Column]) -> list[Column]: ...
+    def spread(self, straight: Column) -> Column: ...
+    def straight(self, eps: float) -> float: ...
 
 
 class Euclidean:
-    squared, grid = True, True
+    squared, slack = True, 0.0
 
     def distance(self, a: list[Column], b: list[Column]) -> Column:
         return F.sqrt(squared_euclidean(a, b))
@@ -61,11 +69,20 @@ class Euclidean:
     def threshold(self, eps: float) -> float:
         return eps * eps
 
+    def axes(self, a: list[Column]) -> list[Column]:
+        return a
+
+    def spread(self, straight: Column) -> Column:
+        return straight
+
+    def straight(self, eps: float) -> float:
+        return eps
+
 
 class Haversine:
     """Great-circle kilometres between (longitude, latitude) in degrees."""
 
-    squared, grid = False, False
+    squared, slack = False, 1e-8
 
     def distance(self, a: list[Column], b: list[Column]) -> Column:
         return haversine_km(a[0], a[1], b[0], b[1])
@@ -75,14 +92,32 @@ class Haversine:
     def threshold(self, eps: float) -> float:
         return eps
 
+    def axes(self, a: list[Column]) -> list[Column]:
+        """The place in space: a chord is never longer than its arc, at the poles and across the date line too."""
+        lng, lat = F.radians(a[0]), F.radians(a[1])
+        return [EARTH_KM * F.cos(lat) * F.cos(lng), EARTH_KM * F.cos(lat) * F.sin(lng), EARTH_KM * F.sin(lat)]
+
+    def spread(self, straight: Column) -> Column:
+        return F.lit(2.0 * EARTH_KM) * F.asin(F.least(straight / F.lit(2.0 * EARTH_KM), F.lit(1.0)))
+
+    def arc(self, straight: float) -> float:
+        return 2 * EARTH_KM * math.asin(min(straight / (2 * EARTH_KM), 1.0))
+
+    def straight(self, eps: float) -> float:
+        return 2 * EARTH_KM * math.sin(min(eps / (2 * EARTH_KM), math.pi / 2))
+
 
 class PythonMetric:
-    """A distance given as a function of two lists of numpy columns, run over Arrow batches."""
+    """A distance given as a function of two lists of numpy columns, run over Arrow batches.
+
+    Nothing is known of it that could prune, so a join by it compares all pairs: for up to `most_points`
+    points, which the caller answers for.
+    """
 
-    squared, grid = False, False
+    squared, slack = False, None
 
-    def __init__(self, function: Callable):
-        self.function = function
+    def __init__(self, function: Callable, most_points: int = 20_000):
+        self.function, self.most_points = function, most_points
 
     def distance(self, a: list[Column], b: list[Column]) -> Column:
         function, n = self.function, len(a)

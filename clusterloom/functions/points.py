@@ -20,10 +20,6 @@ def coordinate(coords: Column, k: int) -> Column:
     return F.coalesce(F.get(coords, F.lit(k)), F.lit(0.0))
 
 
-def effective(projected: Column, raw: Column) -> Column:
-    return F.coalesce(projected, raw)
-
-
 def parse_number(text: Column) -> Column:
     """A double, null where the text is none or is not finite."""
     value = text.try_cast("double")

@@ -70,30 +70,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = CHUNK) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
     `edges` has columns u and v of type bigint; direction, repetition and loops do not matter (a
     node with only loops is left out, as it is not linked to another one), rows with a null end are
     ignored.  An empty table gives an empty result.
 
-    Each task first contracts its own edges to stars.  Then large-star and small-star steps alternate until the edge table no longer changes.  Each step is
-    one aggregation with map-side combine and one equi-join that AQE can split where a hub is hot,
-    so no node's neighbours meet in one task.  Every step's result is written to the shared folder.
+    Each task first contracts its own edges to stars.  If no more than `one_task` edges are left, one more
+    task of that bounded size contracts them all.  Else large-star and small-star steps alternate until
+    the edge table no longer changes; each is one aggregation with map-side combine and one equi-join
+    that AQE can split where a hub is hot, so no node's neighbours meet in one task.  Every step's result
+    is written to the shared folder.
     """
     scratch = Scratch(edges.sparkSession, "components")
     linked = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     now = scratch.save(linked.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     mark = _fingerprint(now)
-    if mark[0]:
-        for _ in range(max_rounds):
+    if 0 < mark[0] <= min(one_task, CHUNK):
+        now = scratch.save(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "edges")
+    elif mark[0]:
+        was = None
+        while mark != was:
             now = scratch.save(_large_star(now), "large")
             now = scratch.save(_small_star(now), "edges")
             was, mark = mark, _fingerprint(now)
-            if mark == was:
-                break
-        else:
-            raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     scratch.drop("large")
     # A settled table holds one edge from each node to its root.
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -8,13 +8,17 @@ border points, and the rest are numbered from 0 in order of name.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clusterloom.functions.metrics import Metric
+from clusterloom.functions.metrics import GRID_DIMENSIONS, Euclidean, Metric
+from clusterloom.functions.points import within_time
+from clusterloom.operators.closest import least_edges
 from clusterloom.operators.components import connected_components
-from clusterloom.operators.joins import core_points, range_join
+from clusterloom.operators.joins import LAST_CELL, WIDER, cell, core_points, near_cells, plain, range_join
 from clusterloom.operators.project import to_plane
 from clusterloom.plans.scratch import Scratch
 
@@ -32,8 +36,8 @@ def renumber(labelled: DataFrame, min_cluster_size: int) -> DataFrame:
     return joined.select("row_id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"))
 
 
-def density_labels(points: DataFrame, pairs: DataFrame, min_pts: int, scratch: Scratch) -> DataFrame:
-    """(row_id, label) from the neighbour pairs (u, v), before any size filter; null is noise."""
+def pair_labels(points: DataFrame, pairs: DataFrame, min_pts: int, scratch: Scratch) -> DataFrame:
+    """(row_id, label) from the neighbour pairs (u, v), before any size filter; points that are noise are left out."""
     pairs = scratch.save(pairs.select("u", "v"), "pairs")
     core = scratch.save(core_points(pairs, min_pts), "core")
     mine = pairs.join(core.withColumnRenamed("row_id", "v"), "v", "left_semi")  # pairs with a core neighbour
@@ -43,8 +47,51 @@ def density_labels(points: DataFrame, pairs: DataFrame, min_pts: int, scratch: S
     named = scratch.save(named.select("row_id", F.coalesce("component", "row_id").alias("label")), "named")
     border = mine.join(core.withColumnRenamed("row_id", "u"), "u", "left_anti")
     border = border.join(named.withColumnRenamed("row_id", "v"), "v").groupBy("u").agg(F.min("label").alias("label"))
-    labels = named.unionByName(border.select(F.col("u").alias("row_id"), "label"))
-    return points.select("row_id").join(labels, "row_id", "left")
+    return named.unionByName(border.select(F.col("u").alias("row_id"), "label"))
+
+
+def cell_labels(points: DataFrame, eps: float, min_pts: int, columns: list[str], metric: Metric, time_eps: int | None, scratch: Scratch) -> DataFrame:
+    """As `pair_labels`, without a table of neighbour pairs.
+
+    Points of one small cell are all neighbours of each other.  So a cell of min_pts points is core
+    without looking further, and the core points of a cell are one class.  Only points of cells with fewer
+    count their neighbours; what they meet grows with min_pts and not with the square of a crowd.
+    Classes are linked by `least_edges`, which compares their boundaries only.
+    """
+    timed = ["t"] if time_eps is not None else []
+    places = metric.axes([F.col(c) for c in columns])
+    axes = [f"a{k}" for k in range(len(places))]
+    side = metric.straight(eps) / len(axes) ** 0.5 * (2 - WIDER) - 2 * metric.slack
+    given = points.select("row_id", *columns, *timed, *(x.alias(n) for x, n in zip(places, axes, strict=True)))
+    far = reduce(lambda p, q: p | q, [F.abs(F.col(c) / side) >= LAST_CELL for c in axes])  # cells there may be larger: each such point alone
+    numbers = [cell(F.col(c), side).alias(f"n{k}") for k, c in enumerate(axes)]
+    numbers += [F.floor(F.col("t") / F.lit(time_eps)).alias("nt") for _ in timed]
+    placed = given.select("*", *numbers, far.alias("far"), F.when(far, F.col("row_id")).otherwise(F.lit(0)).alias("lone"))
+    keys = [c for c in placed.columns if c not in given.columns]
+    placed = scratch.save(placed.join(placed.groupBy(*keys).agg(F.count("*").alias("n")), keys), "placed")
+
+    def neighbours(some: DataFrame, others: DataFrame, *keep: str) -> DataFrame:
+        kept = ["row_id", *columns, *axes, *timed]
+        left = some.select(*(F.col(c).alias(f"u_{c}") for c in kept))
+        right = others.select(*(F.col(c).alias(f"v_{c}") for c in (*kept, *keep)))
+        ways = [[cell(F.col(f"{s}_{c}"), eps * WIDER + metric.slack) for c in axes] + [F.floor(F.col(f"{s}_t") / F.lit(time_eps)) for _ in timed] for s in "uv"]
+        a, b = ([F.col(f"{s}_{c}") for c in columns] for s in "uv")
+        close = metric.comparable(a, b) <= F.lit(metric.threshold(eps))
+        if time_eps is not None:
+            close = close & within_time(F.col("u_t"), F.col("v_t"), time_eps)
+        return near_cells(left, right, *ways, half=False).where(close)
+
+    sparse = placed.where(F.col("n") < min_pts)
+    counted = neighbours(sparse, placed).groupBy(F.col("u_row_id").alias("row_id")).agg(F.count("*").alias("near"))
+    known = scratch.save(placed.join(counted, "row_id", "left").withColumn("is_core", (F.col("n") >= min_pts) | (F.coalesce("near", F.lit(0)) >= min_pts)), "known")
+    core = known.where("is_core")
+    core = core.join(core.groupBy(*keys).agg(F.min("row_id").alias("label")), keys)
+    core = scratch.save(core.select("row_id", "label", F.lit(0.0).alias("core"), *columns, *axes, *timed), "core")
+    links = least_edges(core, eps, columns, axes, metric, scratch, time_eps=time_eps)
+    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "label")
+    named = scratch.save(core.join(found, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "named")
+    border = neighbours(known.where("not is_core and near > 1"), named, "label").groupBy(F.col("u_row_id").alias("row_id")).agg(F.min("v_label").alias("label"))
+    return named.select("row_id", "label").unionByName(border)
 
 
 def dbscan(
@@ -52,8 +99,10 @@ def dbscan(
 ) -> DataFrame:
     """(row_id, cluster_id), -1 for noise; points have row_id and `columns` (x, y by default), and t for `time_eps`.
 
-    With a metric of your own points are not projected.  Null coordinates are not allowed; an empty
-    table gives an empty result.
+    With a metric of your own points are not projected.  A row with a null, NaN or infinite coordinate, or
+    without a time where one is needed, is noise; row_ids are to be unique.  An empty table gives an empty
+    result.  Points of more than three dimensions, and metrics that no grid fits, go through a table of
+    all neighbour pairs.
     """
     if not eps > 0:
         raise ValueError("eps must be positive")
@@ -63,11 +112,17 @@ def dbscan(
         raise ValueError("minClusterSize must be at least 1")
     if time_eps is not None and time_eps <= 0:
         raise ValueError("timeEps must be positive")
-    columns = columns or ["x", "y"]
     scratch = Scratch(points.sparkSession, "dbscan")
-    given = points if metric else to_plane(points, columns, geo)
-    pairs = range_join(given, eps, columns, metric, time_eps)
-    return renumber(scratch.save(density_labels(points, pairs, min_pts, scratch), "labels"), min_cluster_size)
+    given, columns = plain(points, columns, ["t"] if time_eps is not None else [])
+    found = given if metric else to_plane(given, columns, geo)
+    metric = metric or Euclidean()
+    if metric.slack is not None and len(columns) <= GRID_DIMENSIONS and metric.straight(eps) > 1e3 * metric.slack:
+        labels = cell_labels(found, eps, min_pts, columns, metric, time_eps, scratch)
+    else:
+        labels = pair_labels(found, range_join(found, eps, columns, metric, time_eps), min_pts, scratch)
+    labels = scratch.save(points.select("row_id").join(labels, "row_id", "left"), "labels")
+    scratch.keep_only("labels")
+    return renumber(labels, min_cluster_size)
 
 
 def st_dbscan(points: DataFrame, eps: float, min_pts: int, min_cluster_size: int, time_eps: int, **more) -> DataFrame:

@@ -4,28 +4,64 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clusterloom.functions.metrics import Euclidean, Metric
+from clusterloom.functions.metrics import GRID_DIMENSIONS, Euclidean, Metric
 from clusterloom.functions.points import within_time
 from clusterloom.plans.scratch import Scratch
 
-#: dimensions that the grid cuts; the distance itself uses all
-GRID_DIMENSIONS = 3
+#: cells are numbered up to this far from zero; what lies beyond shares the last one
+LAST_CELL = float(1 << 30)
+#: how much wider than the radius cells are; covers the rounding of cell numbers up to LAST_CELL
+WIDER = 1 + 1e-6
+#: points of a sample from which `knn_join` chooses its first cells; its result does not depend on them
+TUNED_ON = 50_000
+#: where so few points are left, the next cells may be much wider
+FEW = 128
 
 
-def _cell(column: str, width: float) -> Column:
-    return F.floor(F.col(column) / F.lit(width))
+def cell(value: Column, width: float) -> Column:
+    """The number of the cell of `width` that holds `value`, any double."""
+    return F.floor(F.greatest(F.least(value / F.lit(width), F.lit(LAST_CELL)), F.lit(-LAST_CELL)))
 
 
-def _gridded(points: DataFrame, keys: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """`points` once per neighbouring cell, and once with its own cell."""
-    shifts = [F.struct(*(F.lit(s).alias(k) for k, s in zip(keys, shift, strict=True))) for shift in product((-1, 0, 1), repeat=len(keys))]
-    near = points.withColumn("__s", F.explode(F.array(*shifts)))
-    near = near.select("*", *((c + F.col(f"__s.{k}")).alias(k) for k, c in keys.items())).drop("__s")
-    return near, points.select("*", *(c.alias(k) for k, c in keys.items()))
+def shifts(n: int) -> list[tuple[int, ...]]:
+    """From a cell to itself and to one of each two opposite neighbours, so that all pairs of near cells come once."""
+    return [s for s in product((-1, 0, 1), repeat=n) if s >= (0,) * n]
+
+
+def usable(points: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose coordinates are all finite numbers; the others are near to nothing, themselves included."""
+    fine = F.lit(True)
+    for c in columns:
+        fine = fine & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return points.where(fine)
+
+
+def plain(points: DataFrame, columns: list[str] | None, more: list[str]) -> tuple[DataFrame, list[str]]:
+    """row_id, the coordinates under names of our own and `more`, of the rows where all but row_id are finite; and those names."""
+    columns = columns or ["x", "y"]
+    names = [f"c{k}" for k in range(len(columns))]
+    found = usable(points, [*columns, *more]).select("row_id", *(F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names, strict=True)), *more)
+    return found, names
+
+
+def near_cells(left: DataFrame, right: DataFrame, lefts: list[Column], rights: list[Column], half: bool) -> DataFrame:
+    """Rows of `left` joined with rows of `right` in the same or a neighbouring cell, as an equi-join on cell numbers.
+
+    With `half` every pair of cells meets once, from one side; column __same tells pairs within a cell.
+    """
+    n = len(lefts)
+    ways = shifts(n) if half else list(product((-1, 0, 1), repeat=n))
+    each = F.array(*(F.struct(*(F.lit(x).alias(f"s{k}") for k, x in enumerate(s)), F.lit(not any(s)).alias("same")) for s in ways))
+    far = left.select("*", *(c.alias(f"__c{k}") for k, c in enumerate(lefts))).withColumn("__s", F.explode(each))
+    keys = [f"__c{k}" for k in range(n)]
+    far = far.select(*left.columns, *((F.col(f"__c{k}") + F.col(f"__s.s{k}")).alias(f"__c{k}") for k in range(n)), F.col("__s.same").alias("__same"))
+    own = right.select("*", *(c.alias(f"__c{k}") for k, c in enumerate(rights)))
+    return far.join(own, keys).drop(*keys)
 
 
 def _sides(points: DataFrame, columns: list[str], extra: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -34,40 +70,53 @@ def _sides(points: DataFrame, columns: list[str], extra: list[str]) -> tuple[Dat
 
 
 def range_join(
-    points: DataFrame, eps: float, columns: list[str] | None = None, metric: Metric | None = None, time_eps: int | None = None, keep: list[str] | None = None
+    points: DataFrame, eps: float, columns: list[str] | None = None, metric: Metric | None = None, time_eps: int | None = None, keep: list[str] | None = None, both: bool = True
 ) -> DataFrame:
     """(u, v, distance) for all ordered pairs at most `eps` apart, each point with itself included.
 
     With `time_eps` the pairs also lie at most that many milliseconds apart in column t.  `keep` names
-    columns that come along as u_<name> and v_<name>.
+    columns that come along as u_<name> and v_<name>.  Without `both`, only the pairs with u < v.  A point
+    with a null or infinite coordinate, or no time where there is a `time_eps`, is near to nothing.
 
-    A grid turns the distance into an equi-join: cells are a hair wider than the radius, one side goes
-    to the 3^d cells around it, the other to its own, and the exact test is the residual.  So every pair
-    meets once, Catalyst picks the join, and AQE splits cells with very many points.  Only metrics that
-    no grid fits compare all pairs.
+    A grid turns the distance into an equi-join: cells are a hair wider than the radius, one side goes to
+    its cell and half of the cells around it, the other to its own, and the exact test is the residual.
+    So every pair meets once, and AQE splits the reading of cells with very many points.  A metric of
+    your own compares all pairs, of a bounded number of points (ValueError beyond it).
     """
     columns, metric, keep = columns or ["x", "y"], metric or Euclidean(), keep or []
     extra = [*keep, *(["t"] if time_eps is not None and "t" not in keep else [])]
+    points = usable(points, columns)
     sides = _sides(points, columns, extra)
     a, b = ([F.col(f"{side}_{c}") for c in columns] for side in ("u", "v"))
     close = metric.comparable(a, b) <= F.lit(metric.threshold(eps))
     if time_eps is not None:
         close = close & within_time(F.col("u_t"), F.col("v_t"), time_eps)
-    keys: dict[str, tuple[Column, Column]] = {}
-    if metric.grid:
-        width = eps * (1 + 1e-9)
-        for k, c in enumerate(columns[:GRID_DIMENSIONS]):
-            keys[f"__c{k}"] = (_cell(f"u_{c}", width), _cell(f"v_{c}", width))
-    if time_eps is not None:
-        keys["__ct"] = tuple(F.floor(F.col(f"{side}_t") / F.lit(time_eps)) for side in ("u", "v"))
-    if keys:
-        left, _ = _gridded(sides[0], {k: x[0] for k, x in keys.items()})
-        _, right = _gridded(sides[1], {k: x[1] for k, x in keys.items()})
-        joined = left.join(right, list(keys)).where(close)
+    if metric.slack is None:
+        most = getattr(metric, "most_points", 0)
+        if points.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} points for a metric that compares all pairs")
+        joined = sides[0].join(sides[1], close & (F.col("u_row_id") <= F.col("v_row_id")))
     else:
-        joined = sides[0].join(sides[1], close)
-    kept = [f"{side}_{c}" for side in ("u", "v") for c in keep]
-    return joined.select(F.col("u_row_id").alias("u"), F.col("v_row_id").alias("v"), metric.distance(a, b).alias("distance"), *kept)
+        width = eps * WIDER + metric.slack
+        cells = [[cell(x, width) for x in metric.axes(side)[:GRID_DIMENSIONS]] for side in (a, b)]
+        if time_eps is not None:
+            for at, side in zip(cells, "uv", strict=True):
+                at.append(F.floor(F.col(f"{side}_t") / F.lit(time_eps)))
+        joined = near_cells(*sides, *cells, half=True).where(close & (~F.col("__same") | (F.col("u_row_id") <= F.col("v_row_id"))))
+    pair = {side: [F.col(f"{side}_row_id"), *(F.col(f"{side}_{c}") for c in keep)] for side in ("u", "v")}
+    names = {side: [side, *(f"{side}_{c}" for c in keep)] for side in ("u", "v")}
+
+    def ordered(first: str, second: str) -> list[Column]:
+        return [x.alias(n) for side, to in ((first, "u"), (second, "v")) for x, n in zip(pair[side], names[to], strict=True)]
+
+    out = joined.withColumn("__d", metric.distance(a, b))
+    there, back = (F.struct(*ordered(*x)) for x in (("u", "v"), ("v", "u")))
+    small_first = F.col("u_row_id") < F.col("v_row_id")
+    if both:
+        found = out.select(F.explode(F.when(F.col("u_row_id") == F.col("v_row_id"), F.array(there)).otherwise(F.array(there, back))).alias("p"), F.col("__d").alias("distance"))
+    else:
+        found = out.where("u_row_id <> v_row_id").select(F.when(small_first, there).otherwise(back).alias("p"), F.col("__d").alias("distance"))
+    return found.select("p.u", "p.v", "distance", *(F.col(f"p.{side}_{c}") for side in ("u", "v") for c in keep))
 
 
 def neighbor_count(pairs: DataFrame) -> DataFrame:
@@ -79,49 +128,67 @@ def core_points(pairs: DataFrame, min_pts: int) -> DataFrame:
     return neighbor_count(pairs).where(F.col("n_neighbors") >= min_pts).select("row_id")
 
 
-def knn_join(points: DataFrame, k: int, columns: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+def _first_width(placed: DataFrame, axes: list[str], widest: float, n: int, k: int) -> float:
+    """The widest cells, a power of two below `widest`, in which a point is expected to meet about 2 k others.
+
+    Expectations come from pairs of a sample that share a cell, so they follow crowded places and not the
+    extent of the data.
+    """
+    share = min(1.0, TUNED_ON / max(n, 1))
+    sample = placed.select(*axes) if share == 1.0 else placed.select(*axes).sample(share, seed=1)
+    values = np.stack([np.asarray(c, float) for c in sample.toArrow().columns], axis=1) if n else np.zeros((0, len(axes)))
+    width = widest
+    for _ in range(48):
+        cells = np.floor(values / width)
+        _, counts = np.unique(cells, axis=0, return_counts=True)
+        if (counts * (counts - 1.0)).sum() / share <= 2.0 * k * max(1, len(values)):
+            break
+        width /= 2
+    return width
+
+
+def knn_join(points: DataFrame, k: int, columns: list[str] | None = None, scratch: Scratch | None = None, metric: Metric | None = None) -> DataFrame:
     """(row_id, neighbor, distance, rank): the k nearest points of each, itself included, by (distance, id).
 
-    Exact, without comparing all pairs: a grid whose cells hold about k points on average gives the
-    candidates of the 3^d cells around a point, which hold every point within a cell's width.  Points
-    whose k-th candidate lies within that width are done; the others, mostly outliers, go on with cells
-    twice as wide, until a cell is as wide as the data.  If there are fewer than k points, all are given.
+    Exact, without comparing all pairs: the cells around a point hold every point within a cell's width.
+    Points whose k-th candidate lies within that width are done; the others, mostly outliers, go on with
+    wider cells, until a cell is as wide as the data.  If there are fewer than k points, all are given.
+    Points without finite coordinates have no neighbours and are none.
     """
-    columns = columns or ["x", "y"]
+    columns, metric = columns or ["x", "y"], metric or Euclidean()
+    if metric.slack is None:
+        raise ValueError("nearest neighbours need a metric that a grid can prune")
     scratch = scratch or Scratch(points.sparkSession, "knn")
-    points = scratch.save(points.select("row_id", *columns), "points")
-    stats = points.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in columns), *(F.max(c).alias(f"hi_{c}") for c in columns)).first()
-    n = stats["n"]
-    extents = [stats[f"hi_{c}"] - stats[f"lo_{c}"] for c in columns] if n else [0.0]
-    widest = max(extents) or 1.0
-    grid = columns[:GRID_DIMENSIONS]
-    volume = 1.0
-    for e in extents[:GRID_DIMENSIONS]:
-        volume *= max(e, widest * 1e-6)
-    width = min(widest, (volume * max(k, 1) / max(n, 1)) ** (1 / len(grid)))
-    width = max(width, widest * 2.0**-40)
+    places = metric.axes([F.col(c) for c in columns])[:GRID_DIMENSIONS]
+    axes = [f"__a{j}" for j in range(len(places))]
+    kept = usable(points, columns).select("row_id", *columns)
+    placed = scratch.save(kept.select("*", *(x.alias(n) for x, n in zip(places, axes, strict=True))), "points")
+    stats = placed.agg(F.count("*").alias("n"), *((F.max(c) - F.min(c)).alias(c) for c in axes)).first()
+    widest = max([stats[c] or 0.0 for c in axes]) * WIDER + metric.slack or 1.0
+    width = _first_width(placed, axes, widest, stats["n"], k)
     best = W.partitionBy("u").orderBy("distance", "v")
-    waiting, parts = points, []
-    for step in range(64):
+    a, b = ([F.col(f"{side}_{c}") for c in columns] for side in ("u", "v"))
+    waiting, left, parts = placed, stats["n"], []
+    while left:
         last = width >= widest
-        a, b = ([F.col(f"{side}_{c}") for c in columns] for side in ("u", "v"))
-        left, _ = _gridded(_sides(waiting, columns, [])[0], {f"__c{j}": _cell(f"u_{c}", width * (1 + 1e-9)) for j, c in enumerate(grid)})
-        _, right = _gridded(_sides(points, columns, [])[1], {f"__c{j}": _cell(f"v_{c}", width * (1 + 1e-9)) for j, c in enumerate(grid)})
-        pairs = left.join(right, [f"__c{j}" for j in range(len(grid))])
-        pairs = pairs.select(F.col("u_row_id").alias("u"), F.col("v_row_id").alias("v"), Euclidean().distance(a, b).alias("distance"))
+        lefts, rights = ([cell(F.col(f"{side}_{c}"), width * WIDER + metric.slack) for c in axes] for side in ("u", "v"))
+        pairs = near_cells(_sides(waiting, columns, axes)[0], _sides(placed, columns, axes)[1], lefts, rights, half=False)
+        pairs = pairs.select(F.col("u_row_id").alias("u"), F.col("v_row_id").alias("v"), metric.distance(a, b).alias("distance"))
         if not last:
             pairs = pairs.where(F.col("distance") <= width)
         ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        ranked = scratch.save(ranked, f"ranked{step}")
+        ranked = scratch.save(ranked, f"ranked{len(parts)}")
         if last:
             parts.append(ranked)
             break
         done = ranked.where(F.col("rank") == k).select(F.col("u").alias("row_id"))
         parts.append(ranked.join(done.withColumnRenamed("row_id", "u"), "u", "left_semi"))
         waiting = scratch.save(waiting.join(done, "row_id", "left_anti"), "waiting")
-        if waiting.isEmpty():
-            break
-        width *= 2
+        left = waiting.count()
+        # A few outliers may look far: they meet FEW times the points at most.
+        width *= 2 if left > FEW else 16
+    if not parts:
+        return points.sparkSession.createDataFrame([], "row_id long, neighbor long, distance double, rank int")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.operators.dbscan import NOISE
+from clusterloom.plans.names import fresh
 
 POINT = "struct<coordinates:array<double>,extraData:map<string,string>,x:double,y:double>"
 
@@ -22,8 +23,17 @@ def summary(labels: DataFrame) -> DataFrame:
     return labels.agg(F.countDistinct(real).alias("total_clusters"), F.count("*").alias("total_points"), F.count_if(F.col("cluster_id") == NOISE).alias("noise_points"))
 
 
+def size_filter(labels: DataFrame, min_cluster_size: int) -> DataFrame:
+    """`labels` with the clusters below the least size turned to noise; ids keep their gaps (see `renumber`)."""
+    kept = cluster_sizes(labels).where(F.col("n_points") >= min_cluster_size).select("cluster_id", F.lit(True).alias("stays"))
+    return labels.join(kept, "cluster_id", "left").select("row_id", F.when(F.col("stays"), F.col("cluster_id")).otherwise(NOISE).alias("cluster_id"))
+
+
 def cluster_members(labels: DataFrame) -> DataFrame:
-    """(cluster_id, members): the row_ids of each cluster in order, noise left out."""
+    """(cluster_id, members): the row_ids of each cluster in order, noise left out.
+
+    A list is one value, so a cluster has to fit in a task here; `labels` has the same without that limit.
+    """
     return labels.where(F.col("cluster_id") != NOISE).groupBy("cluster_id").agg(F.sort_array(F.collect_list("row_id")).alias("members"))
 
 
@@ -34,8 +44,9 @@ def noise_points(labels: DataFrame) -> DataFrame:
 def attach(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """`rows` with the column clusterId as text, put last; a column of that name (in any case) is replaced."""
     rest = [c for c in rows.columns if c.lower() != "clusterid"]
-    joined = rows.join(labels, "row_id", "left")
-    return joined.select(*(F.col(f"`{c}`") for c in rest), F.coalesce("cluster_id", F.lit(NOISE)).cast("string").alias("clusterId"))
+    (own,) = fresh(rows.columns, "cluster_id")
+    joined = rows.join(labels.select("row_id", F.col("cluster_id").alias(own)), "row_id", "left")
+    return joined.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(own, F.lit(NOISE)).cast("string").alias("clusterId"))
 
 
 def download_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -57,7 +68,7 @@ def response(rows: DataFrame, labels: DataFrame, x: str = "x", y: str = "y", dow
     `cluster_members`.
     """
     known = attach(rows, labels)
-    coords = F.array(F.col(x).try_cast("double"), F.col(y).try_cast("double"))
+    coords = F.array(F.col(f"`{x}`").try_cast("double"), F.col(f"`{y}`").try_cast("double"))
     point = F.struct(coords.alias("coordinates"), extra_data(known).alias("extraData"), coords[0].alias("x"), coords[1].alias("y"))
     each = known.select("row_id", F.col("clusterId").cast("int").alias("cluster_id"), point.alias("p"))
 

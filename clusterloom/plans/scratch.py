@@ -7,6 +7,7 @@ follows starts at a scan.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process.
+
+    On a cluster a folder of the driver's machine is none of the executors', so there the setting is needed.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="clusterloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +58,11 @@ class Scratch:
         if path := self._paths.pop(name, None):
             self._delete(path)
 
+    def keep_only(self, *names: str) -> None:
+        """Drop all tables but these, once nothing else is read any more."""
+        for name in [n for n in self._paths if n not in names]:
+            self.drop(name)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -11,15 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterloom.api import cluster, download
 from clusterloom.functions import metrics
 from clusterloom.functions import points as fn
 from clusterloom.operators import hierarchy, joins, mst, project, result
 from clusterloom.operators.components import connected_components
-from clusterloom.operators.dbscan import dbscan, st_dbscan
+from clusterloom.operators.dbscan import dbscan, renumber, st_dbscan
 from clusterloom.operators.hdbscan import hdbscan
 from clusterloom.params import ClusterParams
 from clusterloom.plans.scratch import Scratch
-from clusterloom.sources.points import numbered, points, rejects
+from clusterloom.sources.points import numbered, points, read_csv, rejects, write_csv
 
 #: radius, least neighbours and least size for customers, and for events in kilometres
 PLAIN = (1.5, 4, 5)
@@ -98,6 +99,24 @@ def _mst(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
     return mst.mst(mst.with_core(suppliers(spark, d), 2, ["x", "y"], scratch), ["x", "y"], scratch=scratch)
 
 
+def _mst_large(spark: SparkSession, d: str) -> DataFrame:
+    """The tree by growing radii and boundaries, whatever the number of points."""
+    scratch = Scratch(spark, "mst-large")
+    cored = mst.with_core(customers(spark, d), 4, ["x", "y"], scratch)
+    return mst.mst(cored, ["x", "y"], scratch=scratch, dense_points=0).select("u", "v", F.round("w", 6).alias("w"))
+
+
+def _csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as CSV, clustered from the files in one call, downloaded as CSV and read again."""
+    scratch = Scratch(spark, "csv")
+    rows = customers(spark, d).join(_read(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), "c_name"), "row_id")
+    write_csv(rows.withColumn("lng", F.col("x")).withColumn("lat", F.col("y")).withColumn("key", F.col("row_id")).drop("x", "y"), scratch.path("in"), one_file=False)
+    params = ClusterParams(eps=PLAIN[0], min_pts=PLAIN[1], min_cluster_size=PLAIN[2], geo=False)
+    found = cluster(scratch.path("in"), params, spark, multi_line=False)
+    download(spark, found.download_id, scratch.path("out"))
+    return read_csv(spark, scratch.path("out")).select(F.col("key").cast("long").alias("key"), "c_name", "clusterId")
+
+
 def _dendrogram(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "dendrogram")
     found = hierarchy.dendrogram(scratch.save(_mst(spark, d, scratch), "tree"), 3)
@@ -119,7 +138,7 @@ def queries() -> dict[str, Query]:
         "coords_array_xy": lambda s, d: events(s, d)
         .withColumn("c", fn.coordinates(F.col("x"), F.col("y")))
         .select("row_id", fn.coordinate(F.col("c"), 0).alias("x"), fn.coordinate(F.col("c"), 1).alias("y"), fn.coordinate(F.col("c"), 2).alias("z")),
-        "point_text": lambda s, d: suppliers(s, d).select("row_id", fn.point_text(fn.coordinates(F.col("x")), F.lit(-1)).alias("text")),
+        "point_text": lambda s, d: suppliers(s, d).select("row_id", fn.point_text(fn.coordinates(F.col("x"), F.floor(F.col("y"))), F.lit(-1)).alias("text")),
         "geo_detect": _geo_detect,
         "project_km": lambda s, d: project.project_km(events(s, d)).select("row_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
         "dist_euclid": _distance("euclid"),
@@ -138,13 +157,18 @@ def queries() -> dict[str, Query]:
         "core_distance": lambda s, d: joins.core_distance(_knn(s, d), 5).select("row_id", F.round("core", 6).alias("core"), F.round(fn.density(F.col("core")), 6).alias("density")),
         "mutual_reachability": lambda s, d: mst.reachability_pairs(mst.with_core(suppliers(s, d), 3, ["x", "y"], Scratch(s, "q")), 2.0, ["x", "y"]).select("u", "v", F.round("w", 6).alias("w")),
         "mst_edges": lambda s, d: _mst(s, d, Scratch(s, "q")).select("u", "v", F.round("w", 6).alias("w")),
+        "mst_edges_large": _mst_large,
         "dendrogram": _dendrogram,
+        "stability": lambda s, d: _dendrogram(s, d).where("stable").select("node", "size", "own", "best"),
         "connected_components": lambda s, d: connected_components(joins.range_join(customers(s, d), 0.5).where("u < v").select("u", "v")),
         "dbscan_labels": _plain_labels,
         "dbscan_geo_labels": lambda s, d: dbscan(events(s, d), *GEO),
         "stdbscan_labels": lambda s, d: st_dbscan(events(s, d), *TIMED, time_eps=DAY),
         "hdbscan_labels": lambda s, d: hdbscan(suppliers(s, d), 2, 3, geo=False),
         "hdbscan_prim_labels": lambda s, d: hdbscan(suppliers(s, d), 2, 3, geo=False, tie_break="prim"),
+        "size_filter": lambda s, d: result.size_filter(_plain_labels(s, d), 20),
+        "renumber": lambda s, d: renumber(_plain_labels(s, d).select("row_id", F.when(F.col("cluster_id") >= 0, 1000 - F.col("cluster_id")).cast("long").alias("label")), 20),
+        "csv_round_trip": _csv_round_trip,
         "cluster_summary": lambda s, d: result.summary(_plain_labels(s, d)),
         "cluster_sizes": lambda s, d: result.cluster_sizes(_plain_labels(s, d)),
         "cluster_members": lambda s, d: result.cluster_members(_plain_labels(s, d)),
@@ -205,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "row_number_points": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey FROM customer",
         "coords_array_xy": f"SELECT row_id, x, y, 0.0::DOUBLE AS z FROM ({EVENTS})",
-        "point_text": f"SELECT row_id, 'Point{{coord0=' || x::VARCHAR || ', clusterId=-1}}' AS text FROM ({SUPPLIERS})",
+        "point_text": f"SELECT row_id, 'Point{{coord0=' || x::VARCHAR || ', coord1=' || floor(y)::VARCHAR || ', clusterId=-1}}' AS text FROM ({SUPPLIERS})",
         "geo_detect": f"SELECT 'events' AS name, abs(arg_min(x, row_id)) <= 180 AND abs(arg_min(y, row_id)) <= 90 AS geo FROM ({EVENTS}) "
         "UNION ALL SELECT 'part', abs(arg_min(p_retailprice, p_partkey)) <= 180 AND abs(arg_min(p_size, p_partkey)) <= 90 FROM part",
         "project_km": f"SELECT row_id, round(x, 6) AS x, round(y, 6) AS y FROM ({EVENTS_KM})",
@@ -233,6 +257,21 @@ tree(seen, u, v, w) AS (
   SELECT list_append(t.seen, n.b), n.u, n.v, n.w FROM tree t, LATERAL (
     SELECT b, u, v, w FROM both_ways WHERE list_contains(t.seen, a) AND NOT list_contains(t.seen, b) ORDER BY w, u, v LIMIT 1) n)
 SELECT u, v, round(w, 6) AS w FROM tree WHERE u IS NOT NULL""",
+        "mst_edges_large": f"""
+WITH RECURSIVE p AS MATERIALIZED ({CUSTOMERS}),
+d AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b, sqrt({SQUARED}) AS distance FROM p a JOIN p b ON true),
+core AS MATERIALIZED (SELECT a AS id, distance AS core FROM (SELECT a, distance, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM d) WHERE rank = 4),
+e AS MATERIALIZED (SELECT a, b, least(a, b) AS u, greatest(a, b) AS v, greatest(x.core, y.core, distance) AS w FROM d JOIN core x ON x.id = a JOIN core y ON y.id = b WHERE a <> b),
+grown(id, u, v, w, inside) USING KEY (id) AS (
+  SELECT row_id, NULL::BIGINT, NULL::BIGINT, CASE WHEN row_id = (SELECT min(row_id) FROM p) THEN -1.0::DOUBLE ELSE 'infinity'::DOUBLE END, false FROM p
+  UNION
+  (WITH next AS (SELECT id, u, v, w FROM recurring.grown WHERE NOT inside ORDER BY w, u, v, id LIMIT 1)
+  SELECT id, u, v, w, true FROM next
+  UNION ALL
+  SELECT r.id, e.u, e.v, e.w, false FROM next n JOIN e ON e.a = n.id JOIN recurring.grown r ON r.id = e.b
+  WHERE NOT r.inside AND (e.w < r.w OR e.w = r.w AND (r.u IS NULL OR e.u < r.u OR e.u = r.u AND e.v < r.v))))
+SELECT u, v, round(w, 6) AS w FROM grown WHERE u IS NOT NULL""",
+        "stability": _hierarchy_sql(reach(2), 3) + "SELECT -k AS node, size, round(own, 6) AS own, round(best, 6) AS best FROM nodes WHERE stable",
         "dendrogram": _hierarchy_sql(reach(2), 3)
         + """SELECT -k AS node, CASE WHEN l = 0 THEN u ELSE -l END AS "left", CASE WHEN r = 0 THEN v ELSE -r END AS "right", size, round(density, 6) AS density,
   round(parent_density, 6) AS parent_density, round(own, 6) AS own, round(best, 6) AS best, stable FROM nodes""",
@@ -248,6 +287,11 @@ lab(id, label) USING KEY (id) AS (
   SELECT e.u, min(l.label) FROM lab l JOIN edges e ON e.v = l.id JOIN recurring.lab r ON r.id = e.u WHERE l.label < r.label GROUP BY e.u)
 SELECT id AS node, label AS component FROM lab""",
         "dbscan_labels": plain + "SELECT row_id, cluster_id FROM out",
+        "size_filter": plain + "SELECT row_id, CASE WHEN cluster_id >= 0 AND count(*) OVER (PARTITION BY cluster_id) >= 20 THEN cluster_id ELSE -1 END::INTEGER AS cluster_id FROM out",
+        "renumber": plain
+        + ", large AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id DESC) - 1 AS id FROM out WHERE cluster_id >= 0 GROUP BY cluster_id HAVING count(*) >= 20) "
+        "SELECT row_id, coalesce(id, -1)::INTEGER AS cluster_id FROM out LEFT JOIN large USING (cluster_id)",
+        "csv_round_trip": plain + "SELECT c.c_custkey AS key, c.c_name, o.cluster_id::VARCHAR AS \"clusterId\" FROM customer c JOIN out o ON o.row_id = c.c_custkey",
         "dbscan_geo_labels": _labels_sql(EVENTS_KM, *GEO) + "SELECT row_id, cluster_id FROM out",
         "stdbscan_labels": _labels_sql(EVENTS_KM, *TIMED, DAY) + "SELECT row_id, cluster_id FROM out",
         "cluster_summary": plain + "SELECT count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS total_clusters, count(*) AS total_points, count(*) FILTER (cluster_id = -1) AS noise_points FROM out",

@@ -2,100 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.functions.points import parse_millis, parse_number
 from clusterloom.params import ClusterParams
+from clusterloom.plans.names import fresh
 from clusterloom.plans.scratch import Scratch
 
 
 def numbered(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """`df` plus row_id from 0, dense.
+    """`df` plus row_id from 0, dense; a column of that name is kept as _row_id.
 
-    With `order`, by those columns (one sort, for tables that come without a place of their own); else
-    in the order of partitions and rows, without a shuffle of rows.
+    With `order`, by those columns: the rows are sorted by ranges into the shared folder, so no task sees
+    them all.  Else in the order of partitions and rows, without a shuffle of rows.
     """
     if order:
-        return df.select((F.row_number().over(W.orderBy(*order)) - 1).cast("long").alias("row_id"), "*")
-    return _in_place(df.withColumn("__group", F.spark_partition_id()))
+        sorted_rows = Scratch(df.sparkSession, "numbered").save(df.orderBy(*order), "rows")
+        return _in_place(sorted_rows, F.struct("_metadata.file_path", "_metadata.file_block_start"))
+    return _in_place(df, F.struct(F.spark_partition_id()))
 
 
-def _in_place(df: DataFrame) -> DataFrame:
-    """Number the rows group by group (column __group), each group being a run of rows of one partition.
+def _in_place(df: DataFrame, group: Column) -> DataFrame:
+    """Number the rows group by group, in order of groups, each group being a run of rows of one partition.
 
     The driver reads one row per group, its size and first place; rows then find their number through a
     broadcast of as many rows.
     """
-    placed = df.withColumn("__place", F.monotonically_increasing_id())
-    groups = placed.groupBy("__group").agg(F.min("__place").alias("first"), F.count("*").alias("n")).orderBy("__group").collect()
+    of, place, offset, own = fresh(["row_id", *df.columns], "group", "place", "offset", "row_id")
+    rest = {c: own if c.lower() == "row_id" else c for c in df.columns}
+    placed = df.select(*(F.col(f"`{c}`").alias(n) for c, n in rest.items()), group.alias(of), F.monotonically_increasing_id().alias(place))
+    groups = placed.groupBy(of).agg(F.min(place).alias("first"), F.count("*").alias("n")).orderBy(of).collect()
     offsets, total = [], 0
     for g in groups:
-        offsets.append((g["__group"], total - g["first"]))
+        offsets.append((g[of], total - g["first"]))
         total += g["n"]
-    kind = dict(df.dtypes)["__group"]
-    found = placed.join(F.broadcast(df.sparkSession.createDataFrame(offsets, f"__group {kind}, __offset long")), "__group")
-    rest = [c for c in df.columns if c != "__group"]
-    return found.select((F.col("__place") + F.col("__offset")).alias("row_id"), *(F.col(f"`{c}`") for c in rest))
+    kind = dict(placed.dtypes)[of]
+    found = placed.join(F.broadcast(df.sparkSession.createDataFrame(offsets, f"{of} {kind}, {offset} long")), of)
+    return found.select((F.col(place) + F.col(offset)).alias("row_id"), *(F.col(f"`{n}`") for n in rest.values()))
+
 
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text, by the header row, plus row_id in the order of files and lines.
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, by the header row, plus row_id in the order of files and lines."""
-    read = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
+    A cell in quotes may hold line ends, so a file is read by one task; large files without such cells are
+    split and read in parallel with `multi_line` off.  A column of the file named row_id comes as _row_id.
+    ValueError for files without columns.
+    """
+    read = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
     if not read.columns:
         raise ValueError("File is empty")
-    # Files of quoted line ends are not split, so a file's rows are one run.
-    return _in_place(read.select("*", F.col("_metadata.file_path").alias("__group")))
+    # A file, or the block of it that a task reads, is one run of rows.
+    return _in_place(read, F.struct("_metadata.file_path", "_metadata.file_block_start"))
+
+
+class Parsed(NamedTuple):
+    """`rows` with x, y and t (null where `rows` have no time) and the reason why a row is no point, under names of their own."""
 
+    rows: DataFrame
+    x: str
+    y: str
+    t: str
+    reason: str
 
-def parsed(rows: DataFrame, params: ClusterParams) -> DataFrame:
-    """`rows` plus __x, __y (and __t for stdbscan), and __reason: why a row is no point, else null.
+
+def parsed(rows: DataFrame, params: ClusterParams) -> Parsed:
+    """`rows` plus their coordinates, their time for stdbscan, and a reason: why a row is no point, else null.
 
     Role columns are looked up by exact name.  A missing one makes every row unusable, as do values that
     are no finite number or no time.  Numbers and timestamps are taken as they are.
     """
     kinds = dict(rows.dtypes)
+    x, y, t, why = fresh(rows.columns, "x", "y", "t", "reason")
 
     def number(name: str):
         if name not in kinds:
             return F.lit(None).cast("double")
         return parse_number(F.col(f"`{name}`")) if kinds[name] == "string" else parse_number(F.col(f"`{name}`").cast("string"))
 
-    out = rows.withColumn("__x", number(params.lng_field)).withColumn("__y", number(params.lat_field))
+    out = rows.withColumn(x, number(params.lng_field)).withColumn(y, number(params.lat_field))
     missing = [f for f in (params.lng_field, params.lat_field) if f not in kinds]
-    reason = F.lit(f"no column {missing[0]}") if missing else F.when(F.col("__x").isNull() | F.col("__y").isNull(), F.lit("no coordinates"))
+    reason = F.lit(f"no column {missing[0]}") if missing else F.when(F.col(x).isNull() | F.col(y).isNull(), F.lit("no coordinates"))
+    time = F.lit(None).cast("long")
     if params.kind == "stdbscan":
         name = params.time_field
         if name not in kinds:
-            time, bad = F.lit(None).cast("long"), F.lit(f"no column {name}")
+            bad = F.lit(f"no column {name}")
         else:
             column = F.col(f"`{name}`")
             time = parse_millis(column) if kinds[name] == "string" else column.cast("long") if kinds[name] in ("bigint", "int") else F.unix_millis(column.cast("timestamp"))
-            bad = F.when(F.col("__t").isNull(), F.lit("no time"))
-        out = out.withColumn("__t", time)
+            bad = F.when(F.col(t).isNull(), F.lit("no time"))
         reason = F.coalesce(reason, bad)
-    return out.withColumn("__reason", reason)
+    return Parsed(out.withColumn(t, time).withColumn(why, reason), x, y, t, why)
 
 
 def points(rows: DataFrame, params: ClusterParams) -> DataFrame:
     """The usable rows, with x, y (and t) for the operators."""
-    found = parsed(rows, params).where("__reason is null")
-    renamed = {"__x": "x", "__y": "y", "__t": "t"}
-    return found.select("row_id", *(F.col(c).alias(n) for c, n in renamed.items() if c in found.columns))
+    found = parsed(rows, params)
+    timed = {found.t: "t"} if params.kind == "stdbscan" else {}
+    return found.rows.where(F.col(found.reason).isNull()).select("row_id", *(F.col(c).alias(n) for c, n in ({found.x: "x", found.y: "y"} | timed).items()))
 
 
 def rejects(rows: DataFrame, params: ClusterParams) -> DataFrame:
     """(row_id, reason) of the rows that are no points."""
-    return parsed(rows, params).where("__reason is not null").select("row_id", F.col("__reason").alias("reason"))
+    found = parsed(rows, params)
+    return found.rows.where(F.col(found.reason).isNotNull()).select("row_id", F.col(found.reason).alias("reason"))
+
 
+def write_csv(rows: DataFrame, path: str, one_file: bool = True) -> None:
+    """CSV with a header, in order of row_id, which is not written; missing values are empty.
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header, in order of row_id, which is not written; missing values are empty."""
+    One file, which one task writes, or without `one_file` as many as the sort has ranges, in order of name.
+    """
     rest = [c for c in rows.columns if c != "row_id"]
     texts = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rest)
-    rows.orderBy("row_id").select(*texts).coalesce(1).write.csv(path, header=True, escape='"', emptyValue="")
-
-
-def result_scratch(spark: SparkSession) -> Scratch:
-    return Scratch(spark, "results")
+    found = rows.orderBy("row_id").select(*texts)
+    (found.coalesce(1) if one_file else found).write.csv(path, header=True, escape='"', emptyValue="")

@@ -1,16 +1,20 @@
 """Label-exact fixtures, rules by brute force, and edge cases."""
 
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from clusterloom.functions.metrics import Haversine, PythonMetric
+from clusterloom.functions.metrics import Euclidean, Haversine, PythonMetric
 from clusterloom.operators.components import connected_components
 from clusterloom.operators.dbscan import dbscan, st_dbscan
 from clusterloom.operators.hdbscan import hdbscan
 from clusterloom.operators.joins import knn_join, range_join
-from clusterloom.operators.mst import boruvka, mst, with_core
+from clusterloom.operators import mst as trees
+from clusterloom.operators.closest import least_edges
+from clusterloom.operators.mst import grown, mst, with_core
 from clusterloom.operators.project import auto_metric
 from clusterloom.plans.scratch import Scratch
 
@@ -116,6 +120,8 @@ def test_three_dimensions_and_metrics(spark):
     # at 60 degrees north 0.015 degrees of longitude are within a kilometre
     north = points(spark, [(10.0, 60.0), (10.015, 60.0)])
     assert range_join(north, 1.0, metric=Haversine()).count() == 4
+    with pytest.raises(ValueError, match="more than 10 points"):
+        range_join(flat, 0.7, metric=PythonMetric(own.function, most_points=10))
 
 
 @pytest.mark.parametrize("k", [1, 4, 100])
@@ -130,13 +136,125 @@ def test_nearest_neighbours(spark, k):
     assert got == want
 
 
-def test_tree_both_ways(spark):
-    rng = random.Random(9)
-    p = points(spark, [(float(rng.randrange(6)), float(rng.randrange(6))) for _ in range(25)] + [(90.0, 90.0)])
+@pytest.mark.parametrize("seed", [9, 10])
+def test_tree_both_ways(spark, seed):
+    """One task, growing radii to the end, and their bounds from the start: the same tree, many ties included."""
+    rng = random.Random(seed)
+    rows = [(float(rng.randrange(6)), float(rng.randrange(6))) for _ in range(25)] + [(90.0, 90.0), (1e6, 0.0)] + [(30 + rng.random(), 40 + rng.random()) for _ in range(60)]
     scratch = Scratch(spark, "test")
-    cored = with_core(p, 3, ["x", "y"], scratch)
+    cored = with_core(points(spark, rows), 3, ["x", "y"], scratch)
     dense = sorted(map(tuple, mst(cored, ["x", "y"]).collect()))
-    assert len(dense) == 25 and dense == sorted(map(tuple, boruvka(cored, ["x", "y"], scratch).collect()))
+    assert len(dense) == len(rows) - 1 and dense == sorted(map(tuple, mst(cored, ["x", "y"], dense_points=0).collect()))
+    assert dense == sorted(map(tuple, grown(cored, ["x", "y"], scratch, Euclidean(), few_classes=0).collect()))
+
+
+def test_forest_in_parts(spark):
+    """Edges that several tasks thin out, and one task at once."""
+    rng = random.Random(2)
+    rows = [(a, b, a, b, float(rng.randrange(50))) for a in range(40) for b in range(a + 1, 40)]
+    edges = spark.createDataFrame(rows, "a long, b long, u long, v long, w double").repartition(6)
+    one, other = (sorted(map(tuple, trees.forest(edges, Scratch(spark, "test"), most).collect())) for most in (1 << 20, 30))
+    parent, want = list(range(40)), []
+    for a, b, u, v, w in sorted(rows, key=lambda r: (r[4], r[2], r[3])):
+        x, y = a, b
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        if x != y:
+            parent[x] = y
+            want.append((a, b, u, v, w))
+    assert one == other == sorted(want)
+
+
+def test_least_edges_of_crowds(spark):
+    """Two crowds and many copies of one place, cut until a few points are left."""
+    rng = random.Random(8)
+    rows = [(rng.random(), rng.random(), 0) for _ in range(120)] + [(1.2 + rng.random(), rng.random(), 1) for _ in range(120)] + [(0.5, 3.0, 2)] * 90 + [(0.5, 2.5, 3)] * 90
+    given = spark.createDataFrame([(k, x, y, c, 0.0) for k, (x, y, c) in enumerate(rows)], "row_id long, x double, y double, label long, core double")
+    want = {}
+    for i, p in enumerate(rows):
+        for j, q in enumerate(rows):
+            d = ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+            if p[2] < q[2] and d <= 2.0:
+                want[p[2], q[2]] = min(want.get((p[2], q[2]), (9.0, 0, 0)), (d, min(i, j), max(i, j)))
+    for few in (4, 100_000):
+        found = least_edges(given, 2.0, ["x", "y"], ["x", "y"], Euclidean(), Scratch(spark, "test"), few_pairs=few).collect()
+        assert {(r.a, r.b): (r.w, r.u, r.v) for r in found} == want
+
+
+def great_circle(a, b):
+    f, g = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+    return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+
+def test_on_the_globe(spark):
+    """Across the date line and near a pole, by cells in space: pairs, neighbours, both clusterings; no plan compares all pairs."""
+    rng = random.Random(4)
+    rows = [(rng.choice((179.9, -179.9)) + rng.uniform(-0.09, 0.09), rng.uniform(-0.3, 0.3)) for _ in range(30)]
+    rows += [(rng.uniform(-180, 180), 89.9 + rng.uniform(0, 0.1)) for _ in range(30)] + [(10.0, 50.0), (190.0 - 360.0, 50.0)]
+    p = points(spark, rows)
+    joined = range_join(p, 15.0, metric=Haversine())
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert {(r.u, r.v) for r in joined.collect()} == {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if great_circle(a, b) <= 15.0}
+    near = {(r.row_id, r["rank"]): r.distance for r in knn_join(p, 4, metric=Haversine()).collect()}
+    for i, a in enumerate(rows):
+        assert [near[i, k + 1] for k in range(4)] == pytest.approx(sorted(great_circle(a, b) for b in rows)[:4], abs=1e-6)
+    wanted = brute(rows, lambda a, b: great_circle(a, b) <= 15.0, 4, 3)
+    assert labels(dbscan(p, 15.0, 4, 3, metric=Haversine())) == wanted
+    assert -1 not in labels(hdbscan(p, 3, 3, metric=Haversine()))[:60]
+    scratch = Scratch(spark, "test")
+    found = mst(with_core(p, 3, ["x", "y"], scratch, Haversine()), ["x", "y"], metric=Haversine())
+    core = [sorted(great_circle(a, b) for b in rows)[2] for a in rows]
+    total, inside, best = 0.0, {0}, {j: max(core[0], core[j], great_circle(rows[0], rows[j])) for j in range(1, len(rows))}
+    while best:
+        k = min(best, key=best.get)
+        total += best.pop(k)
+        inside.add(k)
+        best = {j: min(w, max(core[k], core[j], great_circle(rows[k], rows[j]))) for j, w in best.items()}
+    assert sum(r.w for r in found.collect()) == pytest.approx(total)
+
+
+def test_crowded_cells_make_no_pairs(spark):
+    """20,000 points within the radius: what the plan joins grows with the points and not with their pairs."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    crowd = pd.DataFrame({"row_id": np.arange(20_003), "x": np.append(rng.random(20_000) * 0.5, [1.2, 1.9, 30.0]), "y": np.append(rng.random(20_000) * 0.5, [0.2, 0.2, 0.0])})
+    began = time.time()
+    found = dbscan(spark.createDataFrame(crowd), 1.0, 4, 2, geo=False)
+    assert labels(found.where("row_id >= 19999")) == [0, 0, 0, -1] and found.where("cluster_id = 0").count() == 20_002
+    assert time.time() - began < 60  # 400 million pairs take longer
+
+
+@pytest.mark.parametrize("far", [1e300, -1e300, 1e15, 3e9])
+def test_far_from_zero(spark, far):
+    rows = [(far, 0.0), (far, 0.5), (0.0, 0.0), (0.0, 0.5), (far, 0.9), (-far, 0.0)]
+    p = points(spark, rows)
+    assert labels(dbscan(p, 1.0, 2, 2, geo=False)) == [0, 0, 1, 1, 0, -1]
+    assert {(r.u, r.v) for r in range_join(p, 1.0).collect()} == {(i, j) for g in ((0, 1, 4), (2, 3), (5,)) for i in g for j in g}
+    if abs(far) < 1e100:  # squares of larger ones are no numbers
+        assert {r.neighbor for r in knn_join(p, 3).where("row_id = 4").collect()} == {0, 1, 4}
+
+
+def test_rows_without_coordinates(spark):
+    """Null, NaN and infinite coordinates are noise and near to nothing, in all algorithms; so are points without a time."""
+    rows = [(500.0, 0.0, 0), (500.1, 0.0, 0), (500.2, 0.0, 0), (None, 0.0, 0), (float("nan"), 0.0, 0), (float("inf"), 0.0, 0), (500.1, 0.1, None)]
+    p = points(spark, rows, "x", "y", "t")
+    assert labels(dbscan(p, 1.0, 1, 1, geo=False)) == [0, 0, 0, -1, -1, -1, 0]
+    assert labels(st_dbscan(p, 1.0, 1, 1, 5, geo=False)) == [0, 0, 0, -1, -1, -1, -1]
+    assert labels(hdbscan(p, 2, 2, geo=False)) == [0, 0, 0, -1, -1, -1, 0]
+    assert knn_join(p, 2).count() == 8 and {r.u for r in range_join(p, 1.0).collect()} == {0, 1, 2, 6}
+
+
+def test_names_of_coordinates(spark):
+    """Coordinates may have any name."""
+    rows = [(500.0, 0.0), (500.1, 0.0), (500.2, 0.0), (900.0, 0.0), (900.1, 0.0), (900.2, 0.0)]
+    p = points(spark, rows, "core", "label")
+    assert labels(dbscan(p, 1.0, 2, 2, ["core", "label"])) == labels(hdbscan(p, 2, 2, ["core", "label"])) == [0, 0, 0, 1, 1, 1]
 
 
 def test_components(spark):
@@ -156,5 +274,7 @@ def test_components(spark):
     frame = spark.createDataFrame(edges, "u long, v long").repartition(7)
     got = {r.node: r.component for r in connected_components(frame).collect()}
     assert got == {x: find(x) for x in linked}
+    # by rounds of stars, too
+    assert {r.node: r.component for r in connected_components(frame, one_task=0).collect()} == got
     assert connected_components(frame.where("false")).count() == 0
     assert connected_components(frame.where(F.col("u") == F.col("v"))).count() == 0

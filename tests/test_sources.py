@@ -2,15 +2,18 @@
 
 import csv
 import glob
+import importlib
+import importlib.util
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from clusterloom.api import cluster, download
+from clusterloom.api import answer, cluster, download
 from clusterloom.operators import result
 from clusterloom.params import ClusterParams
-from clusterloom.plans.scratch import Scratch
+from clusterloom.plans.scratch import Scratch, shared_dir
 from clusterloom.sources.points import numbered, read_csv, rejects, write_csv
 from clusterloom.streaming.micro_batches import recluster
 
@@ -116,3 +119,64 @@ def test_stream(spark, tmp_path):
     started = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     started.awaitTermination(120)
     assert tuple(seen[-1]) == (6, 0)
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns that carry names which the engine uses itself."""
+    names = "row_id,cluster_id,x,y,t,reason,group,place,offset,__x,__group,lng,lat"
+    (tmp_path / "in.csv").write_text(names + "\n" + "".join(f"a{k},b,c,d,e,f,g,h,i,j,k,{500 + k / 10},1\n" for k in range(4)))
+    found = cluster(str(tmp_path / "in.csv"), ClusterParams(eps=1.0, min_pts=2))
+    rows = download(spark, found.download_id).orderBy("row_id")
+    assert rows.columns == ["row_id", "_" + names.split(",")[0], *names.split(",")[1:], "clusterId"]
+    assert [(r._row_id, r.cluster_id, r.clusterId) for r in rows.collect()] == [(f"a{k}", "b", "0") for k in range(4)]
+    frame = spark.createDataFrame([(k, 500.0 + k / 10, 1.0, "b", 7) for k in range(4)], "row_id long, lng double, lat double, cluster_id string, __x int")
+    assert cluster(frame, ClusterParams(eps=1.0, min_pts=2)).summary().first().total_points == 4
+    assert cluster(frame.drop("row_id"), ClusterParams(eps=1.0, min_pts=2)).summary().first().total_points == 4
+
+
+def test_split_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("n,text\n" + "".join(f"{k},{'x' * 50}\n" for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = read_csv(spark, str(tmp_path / "in.csv"), multi_line=False)
+        assert rows.rdd.getNumPartitions() > 3
+        assert all(r.row_id == int(r.n) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    mixed = numbered(spark.range(500).repartition(5).withColumnRenamed("id", "n"), ["n"])
+    assert sorted((r.row_id, r.n) for r in mixed.collect()) == [(k, k) for k in range(500)]
+
+
+def test_answers(spark, path, tmp_path):
+    (tmp_path / "none.csv").write_text("")
+    good = ClusterParams(eps=1.0, min_pts=2)
+    assert answer(lambda: cluster(path, good).summary().first().total_points)[0] == 200
+    assert answer(lambda: cluster(str(tmp_path / "none.csv"), good)) == (400, {"error": "File is empty"})
+    assert answer(lambda: cluster(path, ClusterParams())) == (400, {"error": "eps must be positive"})
+    assert answer(lambda: download(spark, "unknown"))[0] == 404
+    assert answer(lambda: cluster(str(tmp_path / "missing.csv"), good)) == (500, {"error": "Internal server error"})
+
+
+def test_shared_folder_is_needed_off_local_masters(spark, monkeypatch):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)
+
+
+def test_entry_without_a_library(monkeypatch):
+    """The engine's queries are there where the others can't be imported."""
+    entry = importlib.util.spec_from_file_location("entry_alone", importlib.import_module("__spark_entry__").__file__)
+    for name in [n for n in sys.modules if n.startswith("clusterloom.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    module = importlib.util.module_from_spec(entry)
+    entry.loader.exec_module(module)
+    assert "dbscan_labels" in module.queries() and not any(n.startswith("op") for n in module.queries())
