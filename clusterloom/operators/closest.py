@@ -64,7 +64,8 @@ def least_edges(
     """(a, b, u, v, w), a < b: for each two classes with an edge of weight up to `radius` the least one by (w, u, v), u < v.
 
     `points` has row_id, label (the class), core, `columns` and `axes` (what `Metric.axes` makes of them),
-    all of them numbers; an edge weighs the mutual reachability.  `pairs` (a, b) names the classes to
+    all of them numbers; an edge weighs the mutual reachability.  The result is to be read before `scratch`
+    is used again.  `pairs` (a, b) names the classes to
     compare, each one box at first; by default they are found through cells of the radius.  With
     `time_eps`, an edge also spans at most that time in column t.  Flat boxes, all of whose points lie in
     one place, are compared by one point each.
@@ -114,6 +115,9 @@ def least_edges(
             (flat | (x("n") * y("n") <= few_pairs)).alias("few"),
         )
         held = scratch.save(held, "held")
+        if held.where("not few").isEmpty():
+            edges.append(_compared(held, boxed, columns, metric, radius, time_eps))
+            break
         bound = held.groupBy("a", "b").agg(F.min("high").alias("bound"))
         held = scratch.save(held.join(bound, ["a", "b"]).where("bound is null or low <= bound"), "open")
         edges.append(scratch.save(_compared(held.where("few"), boxed, columns, metric, radius, time_eps), f"found{step}"))
