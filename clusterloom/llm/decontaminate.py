@@ -39,8 +39,9 @@ BLOCK = 8
 #: ranges of items with a bound of their own, for all words of all passages and then for distinct words
 RANGES = 32
 FINE_RANGES = 512
-#: bytes of test items in one index; a larger set of items is taken in several indexes, one after another
-INDEX_BYTES = 16 << 20
+#: bytes of test items in one index, which bounds its memory: some 100 bytes for each word of the items, and
+#: 4 * RANGES for each distinct one; a larger set of items is taken in several indexes
+INDEX_BYTES = 8 << 20
 
 
 class Item(NamedTuple):
@@ -50,15 +51,28 @@ class Item(NamedTuple):
 
 
 class Index(NamedTuple):
-    """`lists`: per term (items, weights, last item of each block, largest weight of each block)."""
+    """`lists`: per term (items, weights, last item of each block, largest weight of each block).
+
+    `bounds` has the largest weight of each term in each of RANGES ranges of items; `fine` those in
+    FINE_RANGES ranges, where there is one: a term's are fine[first[term]:first[term + 1]] as (ranges,
+    weights), no more than it has postings.
+    """
 
     items: list[Item]
     terms: list[str]
     lists: list[tuple[list[int], list[float], list[int], list[float]]]
     bounds: np.ndarray
-    fine: np.ndarray
+    first: np.ndarray
+    fine: tuple[np.ndarray, np.ndarray]
     half: int
 
+    def most(self, query: np.ndarray) -> float:
+        """No item scores more than this for the distinct terms `query`."""
+        sizes = self.first[query + 1] - self.first[query]
+        stops = np.cumsum(sizes)
+        where = np.arange(int(sizes.sum())) + np.repeat(self.first[query] - (stops - sizes), sizes)
+        return float(np.bincount(self.fine[0][where], weights=self.fine[1][where], minlength=1).max())
+
 
 class Statistics(NamedTuple):
     """Of all items with a term: how many hold each term, their number, their words and the longest's."""
@@ -109,16 +123,21 @@ def build(rows: list[tuple[int, str | None]], whole: Statistics | None = None) -
             postings.setdefault(t, []).append((place, w / own))
     terms = sorted(postings)
     # The last row is for words of no item.
-    bounds, fine = (np.zeros((len(terms) + 1, ranges), np.float32) for ranges in (RANGES, FINE_RANGES))
-    lists = []
+    bounds = np.zeros((len(terms) + 1, RANGES), np.float32)
+    coarse, narrow = (max(1, -(-len(items) // n)) for n in (RANGES, FINE_RANGES))
+    lists, fine, first = [], ([], []), [0]
     for k, t in enumerate(terms):
         where, weights = (list(x) for x in zip(*postings[t], strict=True))
         cuts = range(0, len(where), BLOCK)
         lists.append((where, weights, [where[min(c + BLOCK, len(where)) - 1] for c in cuts], [max(weights[c : c + BLOCK]) for c in cuts]))
-        for each in (bounds, fine):
-            per = max(1, -(-len(items) // each.shape[1]))
-            np.maximum.at(each[k], np.array(where) // per, np.array(weights, np.float32))
-    return Index(items, terms, lists, bounds, fine, max(LEAST_PASSAGE // 2, whole.longest))
+        held = np.array(weights, np.float32)
+        np.maximum.at(bounds[k], np.array(where) // coarse, held)
+        ranges, starts = np.unique(np.array(where) // narrow, return_index=True)
+        fine[0].append(ranges)
+        fine[1].append(np.maximum.reduceat(held, starts))
+        first.append(first[-1] + len(ranges))
+    joined = (np.concatenate([np.zeros(0, np.int64), *fine[0]]), np.concatenate([np.zeros(0, np.float32), *fine[1]]))
+    return Index(items, terms, lists, bounds, np.array(first, np.int64), joined, max(LEAST_PASSAGE // 2, whole.longest))
 
 
 def wand(index: Index, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
@@ -218,7 +237,7 @@ def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, flo
             low, stop = int(halves[k]), min(z, int(halves[k]) + 2 * index.half)
             query = np.unique(codes[low:stop])
             query = query[query < len(index.terms)]
-            if index.fine[query].sum(axis=0).max() < THRESHOLD - 1e-3:
+            if index.most(query) < THRESHOLD - 1e-3:
                 continue
             passage = None
             for place, score in wand(index, query.tolist()):
@@ -283,33 +302,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row per document and item found in it.
 
     The best passage of a document stands for the pair.  Null and empty texts hold nothing; an empty
-    benchmark gives no rows.  Documents are scanned where they lie; only the pairs are shuffled.
+    benchmark gives no rows.  Documents are read once, where they lie: where there are several indexes,
+    a row goes from one search to the next, each of which holds one index.  Only the pairs are shuffled.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = []
-    for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    hit = "struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>"
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap"))]))
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.array().cast(f"array<{hit}>").alias("hits"))
+    shared_all = [spark.sparkContext.broadcast(index) for index in indexes(benchmark)]
+    for shared in shared_all:
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=shared is shared_all[-1]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in wordbytes.slices(batches, "text"):
-                ids = batch.column("doc_id")
-                hits = list(search(index, batch.column("text")))
-                if hits:
-                    rows, places, *numbers = (list(x) for x in zip(*hits, strict=True))
-                    columns = [ids.take(pa.array(rows)), pa.array([index.items[p].item_id for p in places], pa.int64()), *map(pa.array, numbers)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap"))]))
-
-        parts.append(given.mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    all_parts = parts[0]
-    for part in parts[1:]:
-        all_parts = all_parts.unionByName(part)
+                found: dict[int, list] = {}
+                for row, place, *numbers in search(index, batch.column("text")):
+                    found.setdefault(row, []).append((index.items[place].item_id, *numbers))
+                if found:
+                    hits = batch.column("hits").to_pylist()
+                    for row, more in found.items():
+                        hits[row] = [*(hits[row] or []), *(dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in more)]
+                    batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hits, kind)], ["doc_id", "text", "hits"])
+                if last:  # texts have done their work, and rows without a hit too
+                    batch = batch.filter(pc.greater(pc.list_value_length(batch.column("hits")), 0))
+                    batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.nulls(batch.num_rows, pa.string()), batch.column("hits")], ["doc_id", "text", "hits"])
+                yield batch
+
+        out = out.mapInArrow(run, f"doc_id long, text string, hits array<{hit}>")
+    each = out.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
-    return all_parts.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return each.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -331,4 +353,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items of `benchmark` in every row of `documents`, whole texts; see `leaks`."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -29,8 +29,8 @@ PATH_SLOTS, WORD_SLOTS = 4096, 2048
 PATH_SIZE, WORD_SIZE, NUMBERS = 32, 12, 9
 HIDDEN = 24
 TRAIN_PAGES, EPOCHS, BATCH, RATE = 2400, 6, 40, 0.015
-#: what the mean log-odds of the blocks under the same tags add to a block's own, and their bound
-ALIKE_WEIGHT, ALIKE_MOST = 2.0, 3.0
+#: what the mean log-odds of the blocks under the same tags, and of those in the same element, add to a block's own, and their bound
+ALIKE_WEIGHT, INSIDE_WEIGHT, ALIKE_MOST = 2.0, 2.0, 3.0
 
 
 class Model(NamedTuple):
@@ -226,21 +226,27 @@ def train(seed: int = 11, n_pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> M
     return model
 
 
+def _element(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The tags above the innermost one."""
+    return path[: max((k for k, m in enumerate(path) if m[0] != "."), default=0)]
+
+
 def labels(page: list[Block], p: np.ndarray) -> np.ndarray:
     """Which blocks are article, from their probabilities.
 
-    Blocks under the same tags are mostly of one kind, so a block's log-odds are joined by the mean of
-    those, weighted by the root of their lengths: a short line within an article goes with its neighbours.
+    Blocks under the same tags are mostly of one kind, and so are neighbours in one element whatever their
+    own tag.  A block's log-odds are joined by the means of both, weighted by the root of their lengths:
+    a short line within an article goes with its neighbours.
     """
     odds = np.clip(np.log(p + 1e-6) - np.log(1 - p + 1e-6), -8, 8)
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for block, x in zip(page, odds.tolist(), strict=True):
-        both = sums.setdefault(block.path, [0.0, 0.0])
-        weight = len(block.text) ** 0.5
-        both[0] += weight * x
-        both[1] += weight
-    means = np.array([sums[b.path][0] / sums[b.path][1] for b in page])
-    return odds + ALIKE_WEIGHT * np.clip(means, -ALIKE_MOST, ALIKE_MOST) >= 0
+    weight = np.sqrt([len(b.text) for b in page])
+    total = odds.copy()
+    for share, key in ((ALIKE_WEIGHT, [b.path for b in page]), (INSIDE_WEIGHT, [_element(b.path) for b in page])):
+        names = {x: k for k, x in enumerate(dict.fromkeys(key))}
+        which = np.array([names[x] for x in key])
+        means = np.bincount(which, weights=weight * odds) / np.bincount(which, weights=weight)
+        total += share * np.clip(means, -ALIKE_MOST, ALIKE_MOST)[which]
+    return total >= 0
 
 
 def article(model: Model, pages: list[list[Block]]) -> list[str]:
@@ -270,4 +276,5 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page, from the whole html; see `extract`."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -123,7 +123,7 @@ class _Maker:
         out = [f"<h1>{marked(2, 12)}</h1>"] if r.random() < 0.85 else []
         messy = r.random() < 0.35
         tiny = r.random() < 0.2
-        for _ in range(r.randint(1, 9) if r.random() < 0.85 else r.randint(9, 25)):
+        for _ in range(r.randint(1, 9) if r.random() < 0.85 else r.randint(9, 45)):
             kind = r.random()
             if messy and kind < 0.2:
                 out.append(f"<p><b>{marked(1, 3 if tiny else 40)}<br>")
@@ -146,6 +146,10 @@ class _Maker:
                 out.append(f"<figure><img><figcaption>{marked(2, 15)}</figcaption></figure>")
             else:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{marked(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>")
+        if r.random() < 0.08:  # a short line that comes again and again
+            same = f"<p>{marked(1, 4)}</p>"
+            for _ in range(r.randint(2, 12)):
+                out.insert(r.randint(0, len(out)), same)
         for kind in ("ad", "share", "side", "notice", "form", "comment", "nav"):
             if r.random() < 0.1:
                 out.insert(r.randint(0, len(out)), ("</p>" if messy else "") + self.junk(kind))
