@@ -31,6 +31,8 @@ BLOCK_IDS = 1 << 19
 #: ids in a shard, about
 SHARD_IDS = 1 << 26
 MAGIC = 0x314B4C42
+#: bytes of text that a worker encodes at a time; a longer text stands alone (up to 2 GB)
+TEXT_BYTES = 8 << 20
 #: pieces whose ids a worker keeps; beyond, those that only one batch has used are forgotten first
 KNOWN_WORDS = 600_000
 
@@ -138,10 +140,10 @@ class Encoder:
         sizes = np.append(self.stops[place + 1] - self.stops[place], 1).astype(np.int32)
         codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], len(values))
         size = sizes[codes]
-        stops = np.cumsum(size, dtype=np.int64)
-        where = np.repeat(begin[codes] - (stops - size).astype(np.int32), size)
+        stops = np.cumsum(size, dtype=np.int32)
+        where = np.repeat(begin[codes] - (stops - size), size)
         where += np.arange(len(where), dtype=np.int32)
-        per = np.diff(stops[first[1:] + np.arange(len(texts))], prepend=0)
+        per = np.diff(stops[first[1:] + np.arange(len(texts))].astype(np.int64), prepend=0)
         return np.append(self.ids, np.uint32(END_ID))[where], per
 
 
@@ -150,10 +152,11 @@ def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     data = found.text
     if not len(data):
         return pa.array([], pa.binary()), found.first
-    keep_case = np.concatenate([[0], np.cumsum((data >= 0x80) | (data == ord("<")))])
-    plain = keep_case[found.end] == keep_case[found.start]
-    fold = np.repeat(plain, found.end - found.start + 1) & (data >= 0x41) & (data <= 0x5A)
-    data = data + (fold * 32).astype(np.uint8)
+    plain = ~np.logical_or.reduceat((data >= 0x80) | (data == ord("<")), found.start)
+    fold = np.repeat(plain, found.end - found.start + 1)
+    fold &= data >= 0x41
+    fold &= data <= 0x5A
+    data = data + fold.view(np.uint8) * np.uint8(32)
     cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
     owner = np.searchsorted(found.end, cut, side="right")
     start = np.concatenate([found.start, cut])
@@ -178,7 +181,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
-        for batch in wordbytes.slices(batches, "text"):
+        for batch in wordbytes.slices(batches, "text", TEXT_BYTES):
             ids, per = _encoders[tokenizer].encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(per), _ragged(ids.astype("<u4"), per)], ["doc_id", "n_tokens", "ids"])
 
@@ -345,4 +348,5 @@ def store(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading the token files of all `documents` back gives, per document; see `write` for nulls and ties."""
     return store(table(spark, sf_dir, "documents"))
