@@ -33,8 +33,9 @@ RADIUS = 4
 BITS = 64
 #: fingerprints in a tile, about
 TILE = 8192
-#: with one fixed range a bucket holds 1/8192 of the fingerprints; beyond this many, two are fixed
-ONE_RANGE_UPTO = 1 << 26
+#: with one fixed range a bucket holds 1/8192 of the fingerprints; a range more is fixed for every so many times as many
+#: (two from 2^26 on, three from 2^39), so that buckets stay near a tile
+ONE_RANGE_UPTO, NEXT_RANGE = 1 << 26, 1 << 13
 _CHUNK = 1 << 16
 
 
@@ -153,7 +154,9 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int =
     their own, so a group of any size is spread over tasks of bounded memory.
     """
     if fixed is None:
-        fixed = 1 if prints.count() <= ONE_RANGE_UPTO else 2
+        fixed, upto, n = 1, ONE_RANGE_UPTO, prints.count()
+        while n > upto:
+            fixed, upto = fixed + 1, upto * NEXT_RANGE
     rows = prints.select("fp", F.explode(bucket_keys(F.col("fp"), radius, fixed)).alias("bucket"))
     ones = F.bit_count("fp").cast("int")
     classes = rows.groupBy("bucket", ones.alias("ones")).agg(F.count("*").alias("n"))
@@ -214,41 +217,38 @@ def components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, fixed: i
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`docs` without near-duplicates: of each class the row with the smallest doc_id stays.
 
-    A null doc_id counts as larger than any.  Where rows of the class share that doc_id, or have none,
-    one of them stays: the one with the least fingerprint, then the least text by hash.  A row without
-    doc_id and text is a copy of nothing but other such rows; one of them stays.
+    A null doc_id counts as larger than any.  Where rows of the class share that doc_id, or none has one,
+    the one with the least fingerprint stays, then the least text by hash.
 
-    An id that one row has is enough to find the row; only rows with other chosen ids get their
-    fingerprint once more.
+    An id that one row has is enough to find the row; only rows whose doc_id is null or shared get their
+    fingerprint once more, to tell their class.
     """
-    found = Scratch(docs.sparkSession, "keep-one").save(components(docs, radius, rooted=True), "classes")
-    ids, prints, rows_of, fp, blank, rank = fresh([*docs.columns, "doc_id", "text"], "chosen", "chosen_fp", "n_chosen", "fp", "blank", "rank")
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.save(components(docs, radius, rooted=True), "classes")
+    ids, prints, rows_of, fp, text, rank = fresh([*docs.columns, "doc_id", "text"], "chosen", "chosen_fp", "n_chosen", "fp", "read_text", "rank")
     of_class = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("fp")))
     chosen = found.groupBy("root").agg(F.min("component_id").alias(ids), of_class.alias(prints)).drop("root")
     sharing = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rows_of)).where(F.col(rows_of) > 1)
-    several = Scratch(docs.sparkSession, "keep-one").save(sharing.select(F.col("doc_id").alias(rows_of)), "several")
-    named = chosen.where(F.col(ids).isNotNull())
-    alone = named.join(several, F.col(ids) == F.col(rows_of), "left_anti").select(ids)
+    several = scratch.save(sharing.select(F.col("doc_id").alias(rows_of)), "several")
+    alone = chosen.where(F.col(ids).isNotNull()).join(several, F.col(ids) == F.col(rows_of), "left_anti").select(ids)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.join(alone, F.col("doc_id") == F.col(ids)).select(*columns)
-    nameless = found.where("doc_id is null").isEmpty()
-    if nameless and several.isEmpty():
+    if several.isEmpty() and found.where("doc_id is null").isEmpty():
         return kept
     doubtful = docs.where("doc_id is null").unionByName(docs.join(several, F.col("doc_id") == F.col(rows_of), "left_semi"))
-    doubtful = doubtful.withColumn(blank, F.col("text").cast("string"))
+    doubtful = doubtful.withColumn(text, F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wordbytes.slices(batches, blank):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints_of(batch.column(blank)).view(np.int64))], [*batch.schema.names, fp])
-
-    doubtful = doubtful.mapInArrow(run, doubtful.withColumn(fp, F.lit(0).cast("long")).schema)
-    doubtful = doubtful.withColumn(blank, F.col("doc_id").isNull() & F.col(blank).isNull())
-    of_row = F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(fp) == F.col(prints)) & ~F.col(blank)
-    picked = doubtful.join(chosen, of_row, "left").where(F.col(blank) | F.col(prints).isNotNull())
-    first = W.partitionBy("doc_id", blank, fp).orderBy(F.xxhash64("text"), F.xxhash64(*columns))
+        for batch in wordbytes.slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints_of(batch.column(text)).view(np.int64))], [*batch.schema.names, fp])
+
+    doubtful = doubtful.mapInArrow(run, doubtful.withColumn(fp, F.lit(0).cast("long")).schema).drop(text)
+    picked = doubtful.join(chosen, F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(fp) == F.col(prints)))
+    first = W.partitionBy("doc_id", fp).orderBy(F.xxhash64("text"), F.xxhash64(*columns))
     return kept.unionByName(picked.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of `documents`, whole texts; see `components`."""
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

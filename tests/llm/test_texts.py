@@ -98,7 +98,7 @@ def test_simhash_edge_cases(spark):
     # the null, the empty and the blank text share fingerprint zero; equal rows stay two rows
     assert sorted((str(r.doc_id), r.component_id) for r in found) == [("1", 1), ("2", 1), ("3", 3), ("3", 3), ("4", 4), ("5", 5), ("None", 1)]
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "None"]
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5"]  # the row without id and text is a copy of row 1
     assert simhash.components(docs.where("false")).count() == 0 and simhash.keep_one(docs.where("false")).count() == 0
 
 
@@ -113,6 +113,30 @@ def test_keep_one_without_ids(spark):
     assert kept.columns == docs.columns and sorted(((str(r.doc_id), r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_keep_one_against_brute_force(spark, seed):
+    """Texts of several classes under repeated and missing ids: by comparing all fingerprints, one row of each class."""
+    rng = random.Random(seed)
+    base = [" ".join(f"{n}{k}" for k in range(60)) for n in "abcde"]
+    texts = [*base, *(t + " more" for t in base), "", None, "\t \n"]
+    rows = [(rng.choice([None, *range(9)]), rng.choice(texts)) for _ in range(60)]
+    prints = simhash.fingerprints_of(pa.array([t for _, t in rows])).tolist()
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    want = []
+    for c in set(root):
+        mine = [k for k in range(len(rows)) if root[k] == c]
+        least = min((rows[k][0] is None, rows[k][0] or 0) for k in mine)
+        want.append((None if least[0] else least[1], c))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    place = {(i, t): root[k] for k, (i, t) in enumerate(rows)}
+    assert sorted((str(r.doc_id), place[r.doc_id, r.text]) for r in kept) == sorted((str(i), c) for i, c in want)
+
+
 def chat_digests(rows):
     talks = collections.defaultdict(list)
     for conv, turn, role, text in rows:
