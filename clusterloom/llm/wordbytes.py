@@ -6,6 +6,7 @@ can run on UTF-8 bytes without decoding them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,8 +34,17 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on, and what one stage took would count for the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a piece take about `most_bytes`; a longer text stands alone."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             stop = max(at + 1, int(np.searchsorted(upto, base + most_bytes, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
 
 
 def words(texts: pa.Array, lower: bool = False, between: np.ndarray = _BLANK) -> Words:
