@@ -144,6 +144,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdicts of every row of `documents`, whole texts; see `judge` for nulls and hosts."""
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

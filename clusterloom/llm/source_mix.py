@@ -94,6 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row of `documents`; see `plan_mix` for nulls and repeated ids."""
     planned = plan_mix(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -200,6 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every row of `documents`, whole texts: see `score` for nulls and empty texts, `fit_shares` for missing labels."""
     docs = table(spark, sf_dir, "documents")
     found = scored(docs, train(docs, table(spark, sf_dir, "labels")), "doc_id")
     return found.select(
