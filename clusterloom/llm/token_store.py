@@ -34,7 +34,7 @@ MAGIC = 0x314B4C42
 #: bytes of text that a worker encodes at a time; a longer text stands alone (up to 2 GB)
 TEXT_BYTES = 8 << 20
 #: pieces whose ids a worker keeps; beyond, those that only one batch has used are forgotten first
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -98,8 +98,9 @@ class Encoder:
         is more than a letter), the group is encoded piece by piece.
         """
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        alone = [k for k, t in enumerate(texts) if self.ends is None or not t.isalpha()]
-        whole = [k for k, t in enumerate(texts) if self.ends is not None and t.isalpha()]
+        alone, whole = [], []
+        for k, t in enumerate(texts):
+            (whole if self.ends is not None and t.isalpha() else alone).append(k)
         order, found, sizes = [], [self.ids], []
         for low in range(0, len(whole), 512):
             group = whole[low : low + 512]
@@ -115,8 +116,7 @@ class Encoder:
             order.append(k)
             found.append(np.array(x.ids, np.uint32))
             sizes.append([len(x.ids)])
-        for k in order:
-            self.places[pieces[k]] = len(self.places)
+        self.places.update(zip(map(pieces.__getitem__, order), range(len(self.places), len(self.places) + len(order)), strict=True))
         self.ids = np.concatenate(found)
         self.stops = np.concatenate([self.stops, np.cumsum(np.concatenate(sizes)) + self.stops[-1]])
         self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int32)])
