@@ -14,6 +14,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +132,12 @@ class Encoder:
         values = coded.dictionary.to_pylist()
         if len(self.places) + len(values) > self.most:
             self._forget()
-        if new := [v for v in values if v not in self.places]:
+        place = np.fromiter(map(self.places.get, values, repeat(-1)), np.int32, len(values))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = [values[k] for k in unknown.tolist()]
             self._learn(new)
-        place = np.fromiter(map(self.places.__getitem__, values), np.int32, len(values))
+            place[unknown] = np.fromiter(map(self.places.__getitem__, new), np.int32, len(new))
         self.uses[place] += 1
         # The end id is a piece of its own, put behind the pieces of each text.
         begin = np.append(self.stops[place], self.stops[-1]).astype(np.int32)
