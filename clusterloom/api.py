@@ -74,13 +74,14 @@ def cluster(source: DataFrame | str, params: ClusterParams, spark: SparkSession
     Rows without usable role columns are left out.  The result rows are kept for `download`.
     """
     params.check()
+    spark = source.sparkSession if isinstance(source, DataFrame) else spark or SparkSession.active()
+    scratch = Scratch(spark, "cluster")
     if isinstance(source, str):
-        rows = read_csv(spark or SparkSession.active(), source, multi_line)
+        rows = read_csv(spark, source, multi_line, scratch)
     else:
-        rows = source if "row_id" in source.columns else numbered(source)
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "cluster")
+        rows = source if "row_id" in source.columns else numbered(source, scratch=scratch)
     rows = scratch.save(rows, "rows")
+    scratch.keep_only("rows")
     seen = Observation()
     found = scratch.save(points(rows, params).observe(seen, F.count(F.lit(1)).alias("n")), "points")
     _log.info("%s points from %s", seen.get["n"], params)

@@ -11,7 +11,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterloom.functions.metrics import GRID_DIMENSIONS, Euclidean, Metric
@@ -21,17 +20,18 @@ from clusterloom.operators.components import connected_components
 from clusterloom.operators.joins import LAST_CELL, WIDER, cell, core_points, near_cells, plain, range_join
 from clusterloom.operators.project import to_plane
 from clusterloom.plans.scratch import Scratch
+from clusterloom.sources.points import numbered
 
 NOISE = -1
 
 
-def renumber(labelled: DataFrame, min_cluster_size: int) -> DataFrame:
+def renumber(labelled: DataFrame, min_cluster_size: int, scratch: Scratch | None = None) -> DataFrame:
     """(row_id, cluster_id) from (row_id, label), label null for noise: small clusters to noise, ids dense in order of label.
 
-    The window runs over one row per surviving cluster, never over points.
+    Clusters are numbered like any rows, by ranges of their labels (see `numbered`), so no task sees them all.
     """
     sizes = labelled.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster_size)
-    ids = sizes.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("int").alias("cluster_id"))
+    ids = numbered(sizes.select("label"), ["label"], scratch).select("label", F.col("row_id").cast("int").alias("cluster_id"))
     joined = labelled.join(ids, "label", "left")
     return joined.select("row_id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"))
 
@@ -122,7 +122,7 @@ def dbscan(
         labels = pair_labels(found, range_join(found, eps, columns, metric, time_eps), min_pts, scratch)
     labels = scratch.save(points.select("row_id").join(labels, "row_id", "left"), "labels")
     scratch.keep_only("labels")
-    return renumber(labels, min_cluster_size)
+    return renumber(labels, min_cluster_size, scratch)
 
 
 def st_dbscan(points: DataFrame, eps: float, min_pts: int, min_cluster_size: int, time_eps: int, **more) -> DataFrame:

@@ -78,6 +78,13 @@ def _dist_nd(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("u", "v", F.round(F.sqrt(metrics.squared_euclidean_arrays(F.col("u_e"), F.col("v_e"))), 6).alias("distance"))
 
 
+def _row_number_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """Orders from their lines, numbered behind the shuffle that made them: whether the numbers are dense, and whether a row is lost."""
+    orders = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    found = numbered(orders)
+    return found.agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.sum("lines").alias("lines"))
+
+
 def _geo_detect(spark: SparkSession, d: str) -> DataFrame:
     part = _read(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
     rows = [(name, project.looks_geo(t, ["x", "y"])) for name, t in (("events", events(spark, d)), ("part", part))]
@@ -135,6 +142,7 @@ def queries() -> dict[str, Query]:
     rounded = "round(distance, 6) AS distance"
     return {
         "row_number_points": lambda s, d: numbered(_read(s, d, "customer").select("c_custkey"), ["c_custkey"]),
+        "row_number_shuffled": _row_number_shuffled,
         "coords_array_xy": lambda s, d: events(s, d)
         .withColumn("c", fn.coordinates(F.col("x"), F.col("y")))
         .select("row_id", fn.coordinate(F.col("c"), 0).alias("x"), fn.coordinate(F.col("c"), 1).alias("y"), fn.coordinate(F.col("c"), 2).alias("z")),
@@ -228,6 +236,7 @@ def oracle_sql() -> dict[str, str]:
     texts = "SELECT event_id AS row_id, event_id % 7 = 0 AS bad, event_id % 5 = 0 AS late, user_id, value, ts FROM events"
     return {
         "row_number_points": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey FROM customer",
+        "row_number_shuffled": "SELECT count(DISTINCT l_orderkey) AS n, count(DISTINCT l_orderkey) AS ids, 0 AS first, count(DISTINCT l_orderkey) - 1 AS last, count(*) AS lines FROM lineitem",
         "coords_array_xy": f"SELECT row_id, x, y, 0.0::DOUBLE AS z FROM ({EVENTS})",
         "point_text": f"SELECT row_id, 'Point{{coord0=' || x::VARCHAR || ', coord1=' || floor(y)::VARCHAR || ', clusterId=-1}}' AS text FROM ({SUPPLIERS})",
         "geo_detect": f"SELECT 'events' AS name, abs(arg_min(x, row_id)) <= 180 AND abs(arg_min(y, row_id)) <= 90 AS geo FROM ({EVENTS}) "

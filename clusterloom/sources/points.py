@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterloom.functions.points import parse_millis, parse_number
@@ -12,39 +13,58 @@ from clusterloom.params import ClusterParams
 from clusterloom.plans.names import fresh
 from clusterloom.plans.scratch import Scratch
 
+#: monotonically_increasing_id holds the task above, and the row in it in so many bits (fixed value)
+TASK_BITS = 33
+#: tasks whose counts are summed together: 2^RUN_BITS
+RUN_BITS = 10
 
-def numbered(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+
+def numbered(df: DataFrame, order: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """`df` plus row_id from 0, dense; a column of that name is kept as _row_id.
 
-    With `order`, by those columns: the rows are sorted by ranges into the shared folder, so no task sees
-    them all.  Else in the order of partitions and rows, without a shuffle of rows.
-    """
-    if order:
-        sorted_rows = Scratch(df.sparkSession, "numbered").save(df.orderBy(*order), "rows")
-        return _in_place(sorted_rows, F.struct("_metadata.file_path", "_metadata.file_block_start"))
-    return _in_place(df, F.struct(F.spark_partition_id()))
+    With `order`, by those columns (rows that are equal there in any order): the rows are sorted by ranges,
+    so no task sees them all.  Else in the order of partitions and rows, without a shuffle of rows.
 
+    `df` is computed once: each task writes its rows to the shared folder with their place in it, and
+    numbers come from what was written.  Counting one run and numbering another would lose rows where
+    the two are cut into partitions differently, as behind a shuffle.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "numbered")
+    return _numbered(df.orderBy(*order) if order else df, [], scratch)
 
-def _in_place(df: DataFrame, group: Column) -> DataFrame:
-    """Number the rows group by group, in order of groups, each group being a run of rows of one partition.
 
-    The driver reads one row per group, its size and first place; rows then find their number through a
-    broadcast of as many rows.
-    """
-    of, place, offset, own = fresh(["row_id", *df.columns], "group", "place", "offset", "row_id")
+def _numbered(df: DataFrame, group: list[Column], scratch: Scratch) -> DataFrame:
+    """Number the rows task by task, or in the order of `group`: columns that have one value on a run of rows of one task."""
+    place, task, before, own, *keys = fresh(["row_id", *df.columns], "place", "task", "before", "row_id", *(f"g{k}" for k in range(len(group))))
     rest = {c: own if c.lower() == "row_id" else c for c in df.columns}
-    placed = df.select(*(F.col(f"`{c}`").alias(n) for c, n in rest.items()), group.alias(of), F.monotonically_increasing_id().alias(place))
-    groups = placed.groupBy(of).agg(F.min(place).alias("first"), F.count("*").alias("n")).orderBy(of).collect()
-    offsets, total = [], 0
-    for g in groups:
-        offsets.append((g[of], total - g["first"]))
-        total += g["n"]
-    kind = dict(placed.dtypes)[of]
-    found = placed.join(F.broadcast(df.sparkSession.createDataFrame(offsets, f"{of} {kind}, {offset} long")), of)
-    return found.select((F.col(place) + F.col(offset)).alias("row_id"), *(F.col(f"`{n}`") for n in rest.values()))
-
-
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    placed = df.select(*(F.col(f"`{c}`").alias(n) for c, n in rest.items()), F.monotonically_increasing_id().alias(place), *(g.alias(k) for g, k in zip(group, keys, strict=True)))
+    written = scratch.save(placed, "placed").withColumn(task, F.shiftright(place, TASK_BITS))
+    keys = keys or [task]
+    runs = written.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    if group:
+        runs = scratch.save(runs.orderBy(*keys).withColumn("at", F.monotonically_increasing_id()), "runs")
+        runs = running_total(runs, "at", F.shiftright("at", TASK_BITS), "n")
+    else:
+        runs = running_total(runs.withColumn("at", F.col(task)), "at", F.shiftright("at", RUN_BITS), "n")
+    runs = runs.select(*keys, (F.col("before") - F.col("first")).alias(before))
+    return written.join(runs, keys).select((F.col(place) + F.col(before)).alias("row_id"), *(F.col(f"`{n}`") for n in rest.values()))
+
+
+def running_total(counts: DataFrame, at: str, block: Column, n: str) -> DataFrame:
+    """`counts` plus before, the sum of `n` over all rows with a smaller `at`.
+
+    `block` cuts the rows into consecutive ranges of `at`, each summed by a task of its own; only the
+    blocks' totals meet in one task.
+    """
+    blocked = counts.withColumn("block", block)
+    inside = F.sum(n).over(W.partitionBy("block").orderBy(at).rowsBetween(W.unboundedPreceding, -1))
+    totals = blocked.groupBy("block").agg(F.sum(n).alias("total"))
+    totals = totals.select("block", F.sum("total").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("base"))
+    found = blocked.withColumn("inside", inside).join(totals, "block")
+    return found.select(*counts.columns, (F.coalesce("inside", F.lit(0)) + F.coalesce("base", F.lit(0))).alias("before"))
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """All columns as text, by the header row, plus row_id in the order of files and lines.
 
     A cell in quotes may hold line ends, so a file is read by one task; large files without such cells are
@@ -55,7 +75,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     if not read.columns:
         raise ValueError("File is empty")
     # A file, or the block of it that a task reads, is one run of rows.
-    return _in_place(read, F.struct("_metadata.file_path", "_metadata.file_block_start"))
+    return _numbered(read, [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")], scratch or Scratch(spark, "csv"))
 
 
 class Parsed(NamedTuple):
