@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clusterloom.llm import chat_format, decontaminate, host_rules, html_extract, ranked_groups, simhash, source_mix, subword_quality, token_store, toxic_compression, url_filter
+from clusterloom.llm import chat_format, decontaminate, hard_negatives, host_rules, html_extract, ranked_groups, simhash, source_mix, subword_quality, token_store, toxic_compression, url_filter
 
 
 def queries() -> dict:
@@ -19,12 +19,13 @@ def queries() -> dict:
         "op8_host_rules": host_rules.op8_host_rules,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op13_ranked_groups": ranked_groups.op13_ranked_groups,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_source_mix": source_mix.OP2_SQL, "op8_host_rules": host_rules.OP8_SQL, "op13_ranked_groups": ranked_groups.OP13_SQL}
+    found = {"op2_source_mix": source_mix.OP2_SQL, "op8_host_rules": host_rules.OP8_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL, "op13_ranked_groups": ranked_groups.OP13_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
