@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clusterloom.llm import chat_format, decontaminate, hard_negatives, host_rules, html_extract, ranked_groups, simhash, source_mix, subword_quality, token_store, toxic_compression, url_filter
+from clusterloom.llm import chat_format, decontaminate, hard_negatives, host_rules, html_extract, ranked_groups, simhash, source_mix, subword_quality, suffix_tree, token_store, toxic_compression, url_filter
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_suffix_tree": suffix_tree.op12_suffix_tree,
         "op13_ranked_groups": ranked_groups.op13_ranked_groups,
     }
 
