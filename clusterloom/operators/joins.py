@@ -147,22 +147,52 @@ def _first_width(placed: DataFrame, axes: list[str], widest: float, n: int, k: i
     return width
 
 
+def _places(points: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(row_id, `columns`, ids): one row per distinct place, named by its smallest row_id, with its k smallest row_ids.
+
+    Ranks up to k are cut off before the shuffle too, so a place that very many points share sends k rows a task.
+    """
+    first = W.partitionBy(*columns).orderBy("row_id")
+    few = points.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= k)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("__rank", "row_id"))), lambda x: x["row_id"])
+    return few.groupBy(*columns).agg(F.min("row_id").alias("row_id"), ids.alias("ids")).select("row_id", *columns, "ids")
+
+
 def knn_join(points: DataFrame, k: int, columns: list[str] | None = None, scratch: Scratch | None = None, metric: Metric | None = None) -> DataFrame:
     """(row_id, neighbor, distance, rank): the k nearest points of each, itself included, by (distance, id).
 
-    Exact, without comparing all pairs: the cells around a point hold every point within a cell's width.
-    Points whose k-th candidate lies within that width are done; the others, mostly outliers, go on with
-    wider cells, until a cell is as wide as the data.  If there are fewer than k points, all are given.
-    Points without finite coordinates have no neighbours and are none.
+    Exact, without comparing all pairs.  Points in one place have the same neighbours, so distinct places
+    are searched (see `_near_places`): the k nearest points lie in the k nearest places, and no more than
+    the k smallest ids of each can be among them.  Points then take over the list of their place, a join in
+    which AQE splits crowded places.  If there are fewer than k points, all are given.  Points
+    without finite coordinates have no neighbours and are none.
     """
     columns, metric = columns or ["x", "y"], metric or Euclidean()
     if metric.slack is None:
         raise ValueError("nearest neighbours need a metric that a grid can prune")
     scratch = scratch or Scratch(points.sparkSession, "knn")
-    places = metric.axes([F.col(c) for c in columns])[:GRID_DIMENSIONS]
-    axes = [f"__a{j}" for j in range(len(places))]
     kept = usable(points, columns).select("row_id", *columns)
-    placed = scratch.save(kept.select("*", *(x.alias(n) for x, n in zip(places, axes, strict=True))), "points")
+    places = scratch.save(_places(kept, columns, k), "places")
+    near = _near_places(places.drop("ids"), k, columns, scratch, metric)
+    each = near.join(places.select(F.col("row_id").alias("v"), F.explode("ids").alias("neighbor")), "v")
+    best = W.partitionBy("u").orderBy("distance", "neighbor")
+    ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    lists = ranked.groupBy("u").agg(F.collect_list(F.struct("neighbor", "distance", "rank")).alias("near"))
+    lists = places.select(F.col("row_id").alias("u"), *columns).join(lists, "u").drop("u")
+    found = kept.join(lists, columns).select("row_id", F.explode("near").alias("n"))
+    return found.select("row_id", "n.neighbor", "n.distance", "n.rank")
+
+
+def _near_places(places: DataFrame, k: int, columns: list[str], scratch: Scratch, metric: Metric) -> DataFrame:
+    """(u, v, distance) for the k nearest of each of `places` (row_id, `columns`; no two in one place), itself included.
+
+    The cells around a point hold every point within a cell's width.  Points whose k-th candidate lies
+    within that width are done; the others, mostly outliers, go on with wider cells, until a cell is as
+    wide as the data.
+    """
+    spots = metric.axes([F.col(c) for c in columns])[:GRID_DIMENSIONS]
+    axes = [f"__a{j}" for j in range(len(spots))]
+    placed = scratch.save(places.select("*", *(x.alias(n) for x, n in zip(spots, axes, strict=True))), "points")
     stats = placed.agg(F.count("*").alias("n"), *((F.max(c) - F.min(c)).alias(c) for c in axes)).first()
     widest = max([stats[c] or 0.0 for c in axes]) * WIDER + metric.slack or 1.0
     width = _first_width(placed, axes, widest, stats["n"], k)
@@ -188,11 +218,11 @@ def knn_join(points: DataFrame, k: int, columns: list[str] | None = None, scratc
         # A few outliers may look far: they meet FEW times the points at most.
         width *= 2 if left > FEW else 16
     if not parts:
-        return points.sparkSession.createDataFrame([], "row_id long, neighbor long, distance double, rank int")
+        return places.sparkSession.createDataFrame([], "u long, v long, distance double")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select(F.col("u").alias("row_id"), F.col("v").alias("neighbor"), "distance", "rank")
+    return out.select("u", "v", "distance")
 
 
 def core_distance(neighbors: DataFrame, k: int) -> DataFrame:

@@ -136,6 +136,29 @@ def test_nearest_neighbours(spark, k):
     assert got == want
 
 
+def test_neighbours_of_equal_points(spark):
+    """A million points in one place and a few elsewhere: k rows each, from k rows of the place; ties go by id."""
+    crowd = spark.range(1_000_000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    rest = spark.createDataFrame([(2_000_000, 1.0, 3.0), (2_000_001, 1.0, 1.0), (2_000_002, -0.0, 0.0), (2_000_003, 0.0, 0.0)], "id long, x double, y double")
+    given = crowd.unionByName(rest).withColumnRenamed("id", "row_id")
+    began = time.time()
+    found = knn_join(given, 3)
+    per = found.groupBy("row_id").agg(F.count("*").alias("n"), F.sum("neighbor").alias("ids"), F.max("distance").alias("far"))
+    crowded = per.where("row_id < 1000000").agg(F.count("*"), F.min("n"), F.max("n"), F.min("ids"), F.max("ids"), F.max("far")).first()
+    assert tuple(crowded) == (1_000_000, 3, 3, 3, 3, 0.0)  # everyone's neighbours are 0, 1 and 2
+    assert time.time() - began < 120
+    others = {r.row_id: [] for r in rest.withColumnRenamed("id", "row_id").collect()}
+    for r in found.where("row_id >= 2000000").orderBy("row_id", "rank").collect():
+        others[r.row_id].append(r.neighbor)
+    assert others == {2_000_000: [2_000_000, 0, 1], 2_000_001: [2_000_001, 0, 1], 2_000_002: [2_000_002, 2_000_003, 2_000_001], 2_000_003: [2_000_002, 2_000_003, 2_000_001]}
+
+
+def test_hierarchy_of_equal_points(spark):
+    """Crowds in one place go through core distances, tree and hierarchy."""
+    rows = [(0.0, 0.0)] * 400 + [(50.0, 0.0)] * 300 + [(25.0, 40.0)]
+    assert labels(hdbscan(points(spark, rows), 4, 5, geo=False)) == [0] * 400 + [1] * 300 + [0]  # the last one is as near to both
+
+
 @pytest.mark.parametrize("seed", [9, 10])
 def test_tree_both_ways(spark, seed):
     """One task, growing radii to the end, and their bounds from the start: the same tree, many ties included."""
