@@ -41,7 +41,7 @@ DEPTH = 2
 #: added to every count at the root, taken from every count at a state
 ADDED, DISCOUNT = 0.1, 0.5
 #: bytes of text in a chunk, about, and questions in a bucket
-CHUNK_BYTES, BUCKET_ASKS = 16 << 20, 1 << 19
+CHUNK_BYTES, BUCKET_ASKS = 6 << 20, 1 << 19
 #: a context that holds more than this share of a bucket's tokens is spread over buckets
 HOT_SHARE = 0.25
 FOLDS, HELD = 10, 0
@@ -59,10 +59,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of one length, the bytes of a place in the number together, compressed."""
     parts = [a.tobytes() if a.itemsize == 1 else np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level).compress(b"".join(parts))
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -80,16 +80,18 @@ def _steps(values: np.ndarray) -> np.ndarray:
 
 
 class Texts(NamedTuple):
-    """A chunk: `codes` are places in `words` (sorted hashes); document d has the tokens first[d] to first[d + 1] - 1."""
+    """A chunk: `codes` are places among its distinct words, which are in order of their hashes; document d has the
+    tokens first[d] to first[d + 1] - 1.
+    """
 
     codes: np.ndarray
-    words: np.ndarray
+    distinct: int
     first: np.ndarray
     train: np.ndarray
 
 
-def read_texts(texts: pa.Array, train: np.ndarray) -> Texts:
-    """Lower-cased words of each text and, behind them, its end, which is the empty word; null is an empty text."""
+def read_texts(texts: pa.Array, train: np.ndarray) -> tuple[Texts, np.ndarray]:
+    """Lower-cased words of each text and, behind them, its end, which is the empty word, and all distinct hashes; null is an empty text."""
     found = wordbytes.words(texts, lower=True)
     coded = wordbytes.as_array(found).dictionary_encode()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in [*coded.dictionary.to_pylist(), b""]), np.uint64, len(coded.dictionary) + 1)
@@ -98,11 +100,11 @@ def read_texts(texts: pa.Array, train: np.ndarray) -> Texts:
     first = found.first + np.arange(n_docs + 1)
     codes = np.full(n + n_docs, place[-1], np.int64)
     codes[np.arange(n) + np.repeat(np.arange(n_docs), np.diff(found.first))] = place[coded.indices.to_numpy(zero_copy_only=False)]
-    return Texts(codes, words, first, train)
+    return Texts(codes, len(words), first, train), words
 
 
-_CHUNK = "chunk long, docs long, tokens long, ids array<long>, sizes binary, train binary, codes binary, words binary"
-_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in ("sizes", "train", "codes", "words")])
+_CHUNK = "chunk long, docs long, tokens long, ids array<long>, sizes binary, train binary, codes binary, places binary, words binary"
+_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(pa.int64()))] + [(c, pa.binary()) for c in ("sizes", "train", "codes", "places", "words")])
 
 
 def _chunks(most_bytes: int):
@@ -110,12 +112,13 @@ def _chunks(most_bytes: int):
         number = TaskContext.get().partitionId() << 32
         for batch in wordbytes.slices(batches, "text", most_bytes):
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            found = read_texts(batch.column("text"), train)
+            found, words = read_texts(batch.column("text"), train)
             # Frequent words get small codes, which packs better.
-            rank = np.argsort(-np.bincount(found.codes, minlength=len(found.words)), kind="stable")
+            rank = np.argsort(-np.bincount(found.codes, minlength=len(words)), kind="stable")
             code = np.empty(len(rank), np.uint32)
             code[rank] = np.arange(len(rank))
-            row = (number, len(train), len(found.codes), batch.column("doc_id").to_pylist(), pack(np.diff(found.first)), pack(train.astype(np.uint8)), pack(code[found.codes]), pack(found.words[rank]))
+            packed = pack(np.diff(found.first)), pack(train.astype(np.uint8)), pack(code[found.codes], level=3), pack(rank.astype(np.uint32)), pack(_steps(words))
+            row = (number, len(train), len(found.codes), batch.column("doc_id").to_pylist(), *packed)
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CHUNK_SCHEMA, strict=True)], schema=_CHUNK_SCHEMA)
 
@@ -123,11 +126,8 @@ def _chunks(most_bytes: int):
 
 
 def _restored(row: dict) -> Texts:
-    (sizes,), (train,), (codes,), (words,) = unpack(row["sizes"], np.int64), unpack(row["train"], np.uint8), unpack(row["codes"], np.uint32), unpack(row["words"], np.uint64)
-    order = np.argsort(words)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return Texts(back[codes], words[order], np.concatenate([[0], np.cumsum(sizes)]), train.astype(bool))
+    (sizes,), (train,), (codes,), (places,) = unpack(row["sizes"], np.int64), unpack(row["train"], np.uint8), unpack(row["codes"], np.uint32), unpack(row["places"], np.uint32)
+    return Texts(places.astype(np.int64)[codes], len(places), np.concatenate([[0], np.cumsum(sizes)]), train.astype(bool))
 
 
 class Asked(NamedTuple):
@@ -159,26 +159,43 @@ class Numbers(NamedTuple):
         return float(np.log(max(self.tokens, 2)))
 
 
+def _top(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the upper bits, so hashes in order are in order of buckets too."""
+    bits = buckets.bit_length() - 1
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
 def bucket_of(ctx: np.ndarray, word: np.ndarray, total: np.ndarray, numbers: Numbers) -> np.ndarray:
-    spread = np.where(total > numbers.hot, mix(ctx ^ mix(word + np.uint64(1))), ctx)
-    return (spread & np.uint64(numbers.buckets - 1)).astype(np.int64)
+    return _top(np.where(total > numbers.hot, mix(ctx ^ mix(word + np.uint64(1))), ctx), numbers.buckets)
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    ranks = np.empty(len(values), np.int64)
+    ranks[np.argsort(values)] = np.arange(len(values))
+    return ranks
 
 
 def _questions(where: np.ndarray, item: np.ndarray, ctx_of: np.ndarray, total_of: np.ndarray, word: np.ndarray, word_ids: np.ndarray, likely: np.ndarray, learns: np.ndarray, numbers: Numbers) -> Asked:
-    """Distinct questions of the tokens `where`: `item` names their contexts (places in ctx_of, total_of), `word` the next word or -1."""
-    key = item * np.int64(len(word_ids) + 1) + word + 1
-    distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
+    """Distinct questions of the tokens `where`: `item` names their contexts (places in ctx_of, total_of), `word` the next word or -1.
+
+    They are in order of bucket, context and word id.
+    """
+    by_id = np.append(_ranks(word_ids) + 1, 0)
+    key = _ranks(ctx_of)[item] * np.int64(len(by_id)) + by_id[word]
+    order = np.argsort(key)
+    new = np.diff(key[order], prepend=-1) != 0
+    first = order[new]
     items, words = item[first], word[first]
     ctx, total = ctx_of[items], total_of[items]
-    ids = np.where(words >= 0, word_ids[words], 0).astype(np.uint64)
+    ids = np.where(words >= 0, np.append(word_ids, 0)[words], 0).astype(np.uint64)
     bucket = bucket_of(ctx, ids, total, numbers)
-    order = np.lexsort((ids, ctx, bucket))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
+    dealt = np.argsort(bucket.astype(np.uint16 if numbers.buckets <= 1 << 16 else np.uint32), kind="stable")
+    back = np.empty(len(dealt), np.int64)
+    back[dealt] = np.arange(len(dealt))
     places = np.full(len(learns), -1, np.int64)
-    places[where] = back[at]
-    n = np.bincount(back[at], weights=learns[where], minlength=len(distinct)).astype(np.uint32)
-    return Asked(places, ctx[order], ids[order], n, np.log(likely[first][order]).astype(np.float16), total[order].astype(np.uint64), bucket[order])
+    places[where[order]] = back[np.cumsum(new) - 1]
+    n = np.bincount(places[where], weights=learns[where], minlength=len(dealt)).astype(np.uint32)
+    return Asked(places, ctx[dealt], ids[dealt], n, np.log(likely[first][dealt]).astype(np.float16), total[dealt].astype(np.uint64), bucket[dealt])
 
 
 class Reading(NamedTuple):
@@ -209,9 +226,7 @@ def replay(texts: Texts, rows: list[dict], upto: int, numbers: Numbers, asks: bo
     place = np.arange(len(texts.codes)) - np.repeat(texts.first[:-1], np.diff(texts.first))
     mine = sorted((r for r in rows if r["level"] == 0), key=lambda r: r["bucket"])
     ids, totals = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in zip(*([unpack(r["counts"], np.uint64, np.uint64) for r in mine] or [[[], []]]), strict=True))
-    order = np.argsort(texts.words & np.uint64(numbers.buckets - 1), kind="stable")
-    word_ids, word_n = np.zeros(len(texts.words), np.uint64), np.zeros(len(texts.words), np.int64)
-    word_ids[order], word_n[order] = ids, totals
+    word_ids, word_n = ids.astype(np.uint64), totals.astype(np.int64)
     count = word_n[texts.codes]
     root = (count + ADDED) / (numbers.tokens + ADDED * (numbers.distinct + 1))
     now = Reading(count, root, root, np.ones(len(count), bool), None, None)
@@ -262,14 +277,29 @@ def _words_asked(numbers: Numbers):
             for row in batch.to_pylist():
                 texts = _restored(row)
                 learns = np.repeat(texts.train, np.diff(texts.first))
-                n = np.bincount(texts.codes, weights=learns, minlength=len(texts.words)).astype(np.uint64)
-                order = np.argsort(texts.words & np.uint64(numbers.buckets - 1), kind="stable")
-                words, n = texts.words[order], n[order]
-                yield from _cut(row["chunk"], (words & np.uint64(numbers.buckets - 1)).astype(np.int64), [words, n])
+                n = np.bincount(texts.codes, weights=learns, minlength=texts.distinct).astype(np.uint64)
+                words = np.cumsum(unpack(row["words"], np.uint64)[0], dtype=np.uint64)
+                yield from _cut(row["chunk"], _top(words, numbers.buckets), [words, n])
 
     return run
 
 
+def _inner(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Words as steps from the one before in the same context."""
+    same = np.zeros(len(ctx), bool)
+    same[1:] = ctx[1:] == ctx[:-1]
+    return np.where(same, _steps(word), word)
+
+
+def _outer(ctx: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """`_inner` undone."""
+    opens = np.ones(len(ctx), bool)
+    opens[1:] = ctx[1:] != ctx[:-1]
+    total = np.cumsum(steps, dtype=np.uint64)
+    start = np.maximum.accumulate(np.where(opens, np.arange(len(ctx)), 0))
+    return total - (total[start] - steps[start])
+
+
 def _cut(chunk: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """One row of packed questions for each bucket; the first column is in order in each and is packed as steps."""
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -286,7 +316,11 @@ def _gathered(found: pa.Table, kinds: list[type]) -> tuple[list[int], np.ndarray
     """Chunks, where their questions end, and the questions of all of them."""
     parts = [unpack(x.as_py(), *kinds) for x in found.column("asks")]
     sizes = [len(p[0]) for p in parts]
-    columns = [np.concatenate(c) for c in zip(*([np.cumsum(p[0], dtype=np.uint64), *p[1:]] for p in parts), strict=True)]
+    for p in parts:
+        p[0] = np.cumsum(p[0], dtype=np.uint64)
+        if len(p) > 2:
+            p[1] = _outer(p[0], p[1])
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     return found.column("chunk").to_pylist(), np.cumsum(sizes), columns
 
 
@@ -298,7 +332,9 @@ def _count_words(numbers: Numbers):
         chunks, stops, (words, n) = _gathered(found, [np.uint64, np.uint64])
         distinct, at = np.unique(words, return_inverse=True)
         total = np.bincount(at, weights=n, minlength=len(distinct)).astype(np.uint64)
-        ids = np.where(total >= 2, np.cumsum(total >= 2).astype(np.uint64) * np.uint64(numbers.buckets) + np.uint64(bucket), 0).astype(np.uint64)
+        # Frequent words get small ids, which pack better.
+        ids, often = np.zeros(len(total), np.uint64), np.argsort(~total, kind="stable")[: int((total >= 2).sum())]
+        ids[often] = np.arange(1, len(often) + 1, dtype=np.uint64) * np.uint64(numbers.buckets) + np.uint64(bucket)
         rows = [{"level": 0, "bucket": bucket, "chunk": c, "counts": pack(ids[at[a:b]], total[at[a:b]])} for c, a, b in zip(chunks, [0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
         return _table([*rows, {"level": -1, "bucket": bucket, "total": int(total.sum()), "spelled": int((total > 0).sum())}])
 
@@ -359,7 +395,7 @@ def _asking(level: int, numbers: Numbers):
         if left.num_rows:
             row = left.to_pylist()[0]
             _, asked = replay(_restored(row), right.to_pylist(), level, numbers)
-            out = list(_cut(row["chunk"], asked.bucket, [asked.ctx, asked.word, asked.n, asked.likely, asked.total]))
+            out = list(_cut(row["chunk"], asked.bucket, [asked.ctx, _inner(asked.ctx, asked.word), asked.n, asked.likely, asked.total]))
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("asks", pa.binary())]))
 
     return run
@@ -403,6 +439,7 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, scratch: Scratch |
     seen = answers.where("level = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("spelled"), F.lit(0))).first()
     numbers = numbers._replace(tokens=seen[0], distinct=seen[1])
     answers = answers.where("level = 0")
+    chunks = chunks.drop("words")
     for level in range(1, depth + 1):
         asks = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_asking(level, numbers), _ASKS)
         found = scratch.save(asks.groupBy("bucket").applyInArrow(_test_contexts(level, numbers), _ANSWERS), f"level{level}", "uncompressed")
