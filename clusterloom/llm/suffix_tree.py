@@ -284,15 +284,15 @@ def _words_asked(numbers: Numbers):
     return run
 
 
-def _inner(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Words as steps from the one before in the same context."""
+def _inner(bucket: np.ndarray, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Words as steps from the one before in the same bucket and context."""
     same = np.zeros(len(ctx), bool)
-    same[1:] = ctx[1:] == ctx[:-1]
+    same[1:] = (ctx[1:] == ctx[:-1]) & (bucket[1:] == bucket[:-1])
     return np.where(same, _steps(word), word)
 
 
 def _outer(ctx: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """`_inner` undone."""
+    """`_inner` undone, for one bucket."""
     opens = np.ones(len(ctx), bool)
     opens[1:] = ctx[1:] != ctx[:-1]
     total = np.cumsum(steps, dtype=np.uint64)
@@ -395,7 +395,7 @@ def _asking(level: int, numbers: Numbers):
         if left.num_rows:
             row = left.to_pylist()[0]
             _, asked = replay(_restored(row), right.to_pylist(), level, numbers)
-            out = list(_cut(row["chunk"], asked.bucket, [asked.ctx, _inner(asked.ctx, asked.word), asked.n, asked.likely, asked.total]))
+            out = list(_cut(row["chunk"], asked.bucket, [asked.ctx, _inner(asked.bucket, asked.ctx, asked.word), asked.n, asked.likely, asked.total]))
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("asks", pa.binary())]))
 
     return run
