@@ -36,8 +36,8 @@ from clusterloom.llm.labelled import fold
 from clusterloom.llm.tables import table
 from clusterloom.plans.scratch import Scratch
 
-#: words of the longest contexts
-DEPTH = 2
+#: words of the longest contexts, and how often one of two words or more has to occur
+DEPTH, LEAST = 2, 4
 #: added to every count at the root, taken from every count at a state
 ADDED, DISCOUNT = 0.1, 0.5
 #: bytes of text in a chunk, about, and questions in a bucket
@@ -137,7 +137,7 @@ class Asked(NamedTuple):
     ctx: np.ndarray
     word: np.ndarray
     n: np.ndarray
-    likely: np.ndarray
+    tenths: np.ndarray
     total: np.ndarray
     bucket: np.ndarray
 
@@ -165,8 +165,30 @@ def _top(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def bucket_of(ctx: np.ndarray, word: np.ndarray, total: np.ndarray, numbers: Numbers) -> np.ndarray:
-    return _top(np.where(total > numbers.hot, mix(ctx ^ mix(word + np.uint64(1))), ctx), numbers.buckets)
+def bucket_of(own: np.ndarray, ctx: np.ndarray, word: np.ndarray, total: np.ndarray, numbers: Numbers) -> np.ndarray:
+    """A context's `own` bucket; words behind one that is very frequent are spread over all."""
+    return np.where((total > numbers.hot) & (word > 0), _top(mix(mix(ctx) ^ word), numbers.buckets), own)
+
+
+def contexts(level: int, before: Asked | None, word_ids: np.ndarray, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """Names and own buckets of the contexts of a level: words, or the (context, word) of the level before.
+
+    Word ids hold their word's bucket.  Two words of 32-bit ids are named by both, so contexts that begin
+    alike lie together and pack well, unless so many do; other contexts are named by a hash.
+    """
+    if level == 1:
+        return word_ids, (word_ids & np.uint64(numbers.buckets - 1)).astype(np.int64)
+    named = mix(before.ctx * np.uint64(0x9E3779B97F4A7C15) + mix(before.word))
+    if level > 2:
+        return named, _top(named, numbers.buckets)
+    short = np.uint64(1 << 32)
+    name = np.where((before.ctx < short) & (before.word < short), before.ctx << np.uint64(32) | before.word, named)
+    return name, np.where(before.total > numbers.hot, _top(mix(name), numbers.buckets), (before.ctx & np.uint64(numbers.buckets - 1)).astype(np.int64))
+
+
+def in_tenths(p: np.ndarray) -> np.ndarray:
+    """-ln(p) in tenths."""
+    return np.minimum(np.round(-10 * np.log(p)), 255).astype(np.uint8)
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
@@ -175,10 +197,10 @@ def _ranks(values: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def _questions(where: np.ndarray, item: np.ndarray, ctx_of: np.ndarray, total_of: np.ndarray, word: np.ndarray, word_ids: np.ndarray, likely: np.ndarray, learns: np.ndarray, numbers: Numbers) -> Asked:
-    """Distinct questions of the tokens `where`: `item` names their contexts (places in ctx_of, total_of), `word` the next word or -1.
+def _questions(where: np.ndarray, item: np.ndarray, ctx_of: np.ndarray, own_of: np.ndarray, total_of: np.ndarray, word: np.ndarray, word_ids: np.ndarray, tenths: np.ndarray, learns: np.ndarray, numbers: Numbers) -> Asked:
+    """Distinct questions of the tokens `where`: `item` names their contexts (places in ctx_of, own_of, total_of), `word` the next word or -1.
 
-    They are in order of bucket, context and word id.
+    They are in order of bucket, context and word id.  Each context that is spread is also asked about itself.
     """
     by_id = np.append(_ranks(word_ids) + 1, 0)
     key = _ranks(ctx_of)[item] * np.int64(len(by_id)) + by_id[word]
@@ -186,16 +208,24 @@ def _questions(where: np.ndarray, item: np.ndarray, ctx_of: np.ndarray, total_of
     new = np.diff(key[order], prepend=-1) != 0
     first = order[new]
     items, words = item[first], word[first]
-    ctx, total = ctx_of[items], total_of[items]
+    ctx, own, total = ctx_of[items], own_of[items], total_of[items]
     ids = np.where(words >= 0, np.append(word_ids, 0)[words], 0).astype(np.uint64)
-    bucket = bucket_of(ctx, ids, total, numbers)
-    dealt = np.argsort(bucket.astype(np.uint16 if numbers.buckets <= 1 << 16 else np.uint32), kind="stable")
+    hot = total > numbers.hot
+    more, place = np.unique(ctx[hot], return_index=True)
+    missing = ~np.isin(more, ctx[hot & (ids == 0)])
+    more, place = more[missing], np.flatnonzero(hot)[place[missing]]
+    ctx, own, total, ids = np.append(ctx, more), np.append(own, own[place]), np.append(total, total[place]), np.append(ids, np.zeros(len(more), np.uint64))
+    likely = np.append(np.where(words >= 0, tenths[first], 0), np.zeros(len(more), np.uint8)).astype(np.uint8)
+    bucket = bucket_of(own, ctx, ids, total, numbers)
+    # The new ones are few; all others are in order of context and word already.
+    dealt = np.lexsort((ids, ctx, bucket)) if len(more) else np.argsort(bucket.astype(np.uint16 if numbers.buckets <= 1 << 16 else np.uint32), kind="stable")
     back = np.empty(len(dealt), np.int64)
     back[dealt] = np.arange(len(dealt))
     places = np.full(len(learns), -1, np.int64)
     places[where[order]] = back[np.cumsum(new) - 1]
     n = np.bincount(places[where], weights=learns[where], minlength=len(dealt)).astype(np.uint32)
-    return Asked(places, ctx[dealt], ids[dealt], n, np.log(likely[first][dealt]).astype(np.float16), total[dealt].astype(np.uint64), bucket[dealt])
+    n[ids[dealt] == 0] = 0
+    return Asked(places, ctx[dealt], ids[dealt], n, likely[dealt], total[dealt].astype(np.uint64), bucket[dealt])
 
 
 class Reading(NamedTuple):
@@ -209,15 +239,29 @@ class Reading(NamedTuple):
     counts: np.ndarray | None
 
 
-def _answers_of(rows: list[dict], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts in order of buckets, and the contexts that are states with what they leave to their suffix, by context."""
+def _runs(bucket: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Whether a question is the first on its context in its bucket."""
+    opens = np.ones(len(ctx), bool)
+    opens[1:] = (ctx[1:] != ctx[:-1]) | (bucket[1:] != bucket[:-1])
+    return opens
+
+
+def _answers_of(rows: list[dict], level: int, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each question its count, whether its context is a state, and what that leaves to its suffix."""
     mine = sorted((r for r in rows if r["level"] == level and r["counts"] is not None), key=lambda r: r["bucket"])
-    counts = [unpack(r["counts"], np.uint64)[0] for r in mine]
-    states = [unpack(r["states"], np.uint64, np.float64) for r in mine] + [[np.array([r["ctx"]], np.int64).view(np.uint64), np.array([r["mass"]])] for r in rows if r["level"] == level and r["counts"] is None]
-    none = [np.zeros(0, np.uint64), np.zeros(0)]
-    ctx, left = (np.concatenate(c) for c in zip(none, *states, strict=True))
-    ctx, first = np.unique(ctx, return_index=True)
-    return np.concatenate([none[0], *counts]), ctx, left[first]
+    counts = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["counts"], np.uint64)[0] for r in mine)])
+    none = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+    spelled, mass = (np.concatenate(c) for c in zip(none, *(unpack(r["states"], np.uint32, np.uint64) for r in mine), strict=True))
+    run = np.cumsum(_runs(asked.bucket, asked.ctx)) - 1
+    state, left = spelled[run] > 0, 1 - (mass[run] - DISCOUNT * spelled[run]) / np.maximum(asked.total, 1)
+    spread = {r["ctx"]: r["mass"] for r in rows if r["level"] == level and r["counts"] is None}
+    if spread:
+        names = np.sort(np.array(list(spread), np.int64).view(np.uint64))
+        lefts = np.array([spread[x] for x in names.view(np.int64).tolist()])
+        at = np.minimum(np.searchsorted(names, asked.ctx), len(names) - 1)
+        hit = names[at] == asked.ctx
+        state, left = state | hit, np.where(hit, lefts[at], left)
+    return counts, state, left
 
 
 def replay(texts: Texts, rows: list[dict], upto: int, numbers: Numbers, asks: bool = True) -> tuple[Reading, Asked | None]:
@@ -235,38 +279,38 @@ def replay(texts: Texts, rows: list[dict], upto: int, numbers: Numbers, asks: bo
         before = np.arange(len(count)) - 1
         if level == 1:
             fit = (place >= 1) & known[before]
-            item, ctx_of, total_of, follows = texts.codes[before], mix(word_ids), word_n, known
+            item, total_of, most = texts.codes[before], word_n, np.where(known, count, 0)
         else:
-            at, repeated = np.flatnonzero(now.asked.at >= 0), np.zeros(len(count), bool)
-            repeated[at] = ((now.counts >= 2) & (now.asked.word > 0))[now.asked.at[at]]
-            fit = (place >= level) & now.state & repeated[before]
-            item, follows = now.asked.at[before], repeated
-            ctx_of, total_of = mix(now.asked.ctx * np.uint64(0x9E3779B97F4A7C15) + mix(now.asked.word)), now.counts.astype(np.int64)
+            at, most = np.flatnonzero(now.asked.at >= 0), np.zeros(len(count), np.int64)
+            most[at] = np.where(now.asked.word > 0, now.counts, 0)[now.asked.at[at]]
+            fit = (place >= level) & now.state & (most[before] >= LEAST)
+            item, total_of = now.asked.at[before], now.counts.astype(np.int64)
         where = np.flatnonzero(fit)
-        word = np.where(follows, texts.codes, -1)
-        asked = _questions(where, item[where], ctx_of, total_of, word[where], word_ids, now.p[where], learns, numbers)
+        tenths, total = in_tenths(now.p[where]), total_of[item[where]].astype(float)
+        word = np.where(spelled_out(np.minimum(most[where], total), total, tenths, numbers), texts.codes[where], -1)
+        asked = _questions(where, item[where], *contexts(level, now.asked, word_ids, numbers), total_of, word, word_ids, tenths, learns, numbers)
         if level == upto:
             return now, asked
-        counts, states, left = _answers_of(rows, level)
-        found = np.searchsorted(states, asked.ctx)
-        found = np.where(found < len(states), found, 0)
-        is_state = states[found] == asked.ctx if len(states) else np.zeros(len(asked.ctx), bool)
+        counts, is_state, left = _answers_of(rows, level, asked)
         of = asked.at[where]
         state = np.zeros(len(count), bool)
         state[where] = is_state[of]
         p = now.p.copy()
         inside = where[is_state[of]]
         q = asked.at[inside]
-        spelled = spelled_out(counts[q].astype(float), asked.total[q].astype(float), asked.likely[q], asked.word[q], numbers)
-        p[inside] = np.where(spelled, (counts[q] - DISCOUNT) / asked.total[q], 0.0) + left[found[q]] * now.p[inside]
+        spelled = (asked.word[q] > 0) & spelled_out(counts[q].astype(float), asked.total[q].astype(float), asked.tenths[q], numbers)
+        p[inside] = np.where(spelled, (counts[q] - DISCOUNT) / asked.total[q], 0.0) + left[q] * now.p[inside]
         now = Reading(count, root, p, state, asked, counts)
     return now, None
 
 
-def spelled_out(c: np.ndarray, n: np.ndarray, likely: np.ndarray, word: np.ndarray, numbers: Numbers) -> np.ndarray:
-    """Whether a word with `c` of the context's `n` occurrences gains more than its price over its probability in the suffix."""
+def spelled_out(c: np.ndarray, n: np.ndarray, tenths: np.ndarray, numbers: Numbers) -> np.ndarray:
+    """Whether a word with `c` of the context's `n` occurrences gains more than its price over its probability in the suffix.
+
+    Where that holds for a count it holds for larger ones, so a bound of the count gives a bound here.
+    """
     with np.errstate(divide="ignore", invalid="ignore"):
-        return (word > 0) & (c >= 2) & (c * (np.log(c / n) - likely.astype(float)) > numbers.price)
+        return (c >= 2) & (c * (np.log(c / n) + tenths / 10.0) > numbers.price)
 
 
 def _words_asked(numbers: Numbers):
@@ -341,7 +385,7 @@ def _count_words(numbers: Numbers):
     return run
 
 
-_LEVEL = [np.uint64, np.uint64, np.uint32, np.float16, np.uint64]
+_LEVEL = [np.uint64, np.uint64, np.uint32, np.uint8, np.uint64]
 
 
 def _test_contexts(level: int, numbers: Numbers):
@@ -349,7 +393,7 @@ def _test_contexts(level: int, numbers: Numbers):
 
     def run(key: tuple, found: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        chunks, stops, (ctx, word, n, likely, total) = _gathered(found, _LEVEL)
+        chunks, stops, (ctx, word, n, tenths, total) = _gathered(found, _LEVEL)
         order = np.lexsort((word, ctx))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(ctx[order]) != 0) | (np.diff(word[order]) != 0)
@@ -357,24 +401,24 @@ def _test_contexts(level: int, numbers: Numbers):
         gram[order] = np.cumsum(new) - 1
         first = order[new]
         c = np.bincount(gram, weights=n, minlength=len(first))
-        g_ctx, g_word, g_n, g_likely = ctx[first], word[first], total[first].astype(float), likely[first]
-        spelled = spelled_out(c, g_n, g_likely, g_word, numbers)
+        g_ctx, g_word, g_n, g_tenths = ctx[first], word[first], total[first].astype(float), tenths[first]
+        spelled = (g_word > 0) & spelled_out(c, g_n, g_tenths, numbers)
         opens = np.flatnonzero(np.diff(g_ctx, prepend=~g_ctx[0]))
         of = np.cumsum(np.diff(g_ctx, prepend=~g_ctx[0]) != 0) - 1
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(spelled, c * (np.log(c / g_n) - g_likely.astype(float)) - numbers.price, 0.0)
+            gain = np.where(spelled, c * (np.log(c / g_n) + g_tenths / 10.0) - numbers.price, 0.0)
         sums = lambda x: np.bincount(of, weights=np.where(spelled, x, 0.0), minlength=len(opens))
-        gain, mass, likely_mass, k = sums(gain), sums(c), sums(np.exp(g_likely.astype(float))), sums(1.0)
+        gain, mass, likely_mass, k = sums(gain), sums(c), sums(np.exp(g_tenths / -10.0)), sums(1.0)
         names, totals = g_ctx[opens], g_n[opens]
         hot = totals > numbers.hot
         state = ~hot & (k > 0) & (gain + rest_gain(totals, mass, likely_mass) > 0)
-        left = 1 - (mass - DISCOUNT * k) / totals
+        told_k, told_mass = np.where(state, k, 0).astype(np.uint32), np.where(state, mass, 0).astype(np.uint64)
         rows = []
         for chunk, a, b in zip(chunks, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-            mine = np.unique(of[gram[a:b]])
-            kept = mine[state[mine]]
-            rows.append({"level": level, "bucket": bucket, "chunk": chunk, "counts": pack(c[gram[a:b]].astype(np.uint64)), "states": pack(names[kept], left[kept])})
-            rows += [{"level": level, "chunk": chunk, "ctx": x} for x in names[mine[hot[mine]]].view(np.int64).tolist()]
+            mine = of[gram[a:b]][_runs(np.zeros(b - a), ctx[a:b])]
+            rows.append({"level": level, "bucket": bucket, "chunk": chunk, "counts": pack(c[gram[a:b]].astype(np.uint64)), "states": pack(told_k[mine], told_mass[mine])})
+            itself = ctx[a:b][(word[a:b] == 0) & (total[a:b] > numbers.hot)]
+            rows += [{"level": level, "chunk": chunk, "ctx": x} for x in itself.view(np.int64).tolist()]
         for x in np.flatnonzero(hot & (k > 0)).tolist():
             rows.append({"level": level, "ctx": int(names[x : x + 1].view(np.int64)[0]), "gain": float(gain[x]), "mass": float(mass[x]), "likely": float(likely_mass[x]), "spelled": int(k[x]), "total": int(totals[x])})
         return _table(rows)
@@ -395,7 +439,7 @@ def _asking(level: int, numbers: Numbers):
         if left.num_rows:
             row = left.to_pylist()[0]
             _, asked = replay(_restored(row), right.to_pylist(), level, numbers)
-            out = list(_cut(row["chunk"], asked.bucket, [asked.ctx, _inner(asked.bucket, asked.ctx, asked.word), asked.n, asked.likely, asked.total]))
+            out = list(_cut(row["chunk"], asked.bucket, [asked.ctx, _inner(asked.bucket, asked.ctx, asked.word), asked.n, asked.tenths, asked.total]))
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("asks", pa.binary())]))
 
     return run
@@ -454,7 +498,7 @@ def _spread_states(found: DataFrame, level: int) -> DataFrame:
     gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / F.col("total") / F.greatest(1 - F.col("likely"), F.lit(1e-12)))).otherwise(0.0)
     left = 1 - (F.col("mass") - DISCOUNT * F.col("spelled")) / F.col("total")
     states = sums.where(gain > 0).select("ctx", left.alias("mass"))
-    asking = found.where("counts is null and chunk is not null").select("chunk", "ctx").distinct()
+    asking = found.where("counts is null and chunk is not null").select("chunk", "ctx")
     rows = asking.join(states, "ctx").withColumn("level", F.lit(level))
     kinds = dict(x.split() for x in _ANSWERS.split(", "))
     return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in _ANSWER_NAMES))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clusterloom.llm import suffix_tree
-from clusterloom.llm.suffix_tree import ADDED, DISCOUNT, pack, score, unpack
+from clusterloom.llm.suffix_tree import ADDED, DISCOUNT, LEAST, pack, score, unpack
 
 SCHEMA = "doc_id long, text string, train boolean"
 
@@ -33,24 +33,27 @@ class Plain:
                 self.grams[size].update(tuple(d[i : i + size]) for i in range(len(d) - size + 1))
         self.n, self.v = sum(self.grams[1].values()), len(self.grams[1])
         price = math.log(max(self.n, 2))
-        self.states, self.asked = {}, {()}
+        self.states, self.asked = {}, set()
         for size in range(1, depth + 1):
             follow = defaultdict(dict)
             for g, c in self.grams[size + 1].items():
                 follow[g[:-1]][g[-1]] = c
             for s, n in self.grams[size].items():
-                # A context counts if its suffix is a state and its first words were counted on the level before.
-                fit = n >= 2 and (size == 1 or s[1:] in self.states and s[:-1] in self.asked)
-                if not fit:
+                # A longer context has a state as its suffix, and its last word might be spelled out behind its first ones.
+                if n < (2 if size == 1 else LEAST) or size > 1 and (s[1:] not in self.states or s not in self.asked):
                     continue
-                self.asked.add(s)
                 spelled, gain, likely = {}, 0.0, 0.0
                 for w, c in follow[s].items():
-                    p = float(np.log(np.array([self.p(s[1:], w)])).astype(np.float16)[0])
-                    if c >= 2 and c * (math.log(c / n) - p) > price:
+                    tenths = min(255.0, float(np.round(-10 * np.log(self.p(s[1:], w)))))
+                    most = min(n, self.grams[size][(*s[1:], w)] if size == 1 or (*s[1:], w) in self.asked else 0)
+                    pays = lambda c: c >= 2 and c * (math.log(c / n) + tenths / 10) > price  # noqa: B023, E731
+                    assert not pays(c) or pays(most)
+                    if pays(most):
+                        self.asked.add((*s, w))
+                    if pays(c):
                         spelled[w] = c
-                        gain += c * (math.log(c / n) - p) - price
-                        likely += math.exp(p)
+                        gain += c * (math.log(c / n) + tenths / 10) - price
+                        likely += math.exp(-tenths / 10)
                 rest = n - sum(spelled.values())
                 gain += rest * math.log(rest / n / max(1 - likely, 1e-12)) if rest else 0.0
                 if spelled and gain > 0:
