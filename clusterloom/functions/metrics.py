@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,14 +111,27 @@ class Haversine:
 class PythonMetric:
     """A distance given as a function of two lists of numpy columns, run over Arrow batches.
 
-    Nothing is known of it that could prune, so a join by it compares all pairs: for up to `most_points`
-    points, which the caller answers for.
+    With `triangle` it is symmetric and obeys the triangle inequality, so distances to pivots prune a join
+    (see `operators.pivots`).  Else nothing is known of it, and a join compares all pairs: of up to
+    `most_points` points, which the caller answers for.
     """
 
     squared, slack = False, None
 
-    def __init__(self, function: Callable, most_points: int = 20_000):
-        self.function, self.most_points = function, most_points
+    def __init__(self, function: Callable, most_points: int = 20_000, triangle: bool = False):
+        self.function, self.most_points, self.triangle = function, most_points, triangle
+
+    def to_each(self, a: list[Column], others: list[tuple[float, ...]]) -> Column:
+        """Distances to a few fixed points, as an array."""
+        function = self.function
+
+        @F.pandas_udf("array<double>")
+        def call(*columns: pd.Series) -> pd.Series:
+            values = [c.to_numpy(float) for c in columns]
+            found = [np.broadcast_to(function(values, [np.full(len(values[0]), x) for x in p]), len(values[0])) for p in others]
+            return pd.Series(list(np.stack(found, axis=1).astype(float)))
+
+        return call(*a)
 
     def distance(self, a: list[Column], b: list[Column]) -> Column:
         function, n = self.function, len(a)

@@ -21,8 +21,8 @@ from clusterloom.plans.scratch import Scratch
 
 #: pairs of boxes with up to so many pairs of points are compared point by point
 FEW_PAIRS = 256
-#: parts into which a box is cut on each axis
-CUT = 4
+#: parts into which a box is cut on each axis, and on how many axes if there are more: its widest
+CUT, CUT_AXES = 4, 4
 #: share by which bounds are widened against rounding
 LOOSE = 1e-9
 
@@ -128,7 +128,10 @@ def least_edges(
         whole = boxes.join(wanted, "box").select("box", *(f"{s}_{c}" for c in limits for s in ("lo", "hi")))
         names = [f"__p{k}" for k in range(len(limits))]
         share = [(F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) for c in limits]
-        parts = [F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.floor(x * CUT)).otherwise(0).alias(n) for c, x, n in zip(limits, share, names, strict=True)]
+        extent = [(F.col(f"hi_{c}") - F.col(f"lo_{c}")) * (radius / time_eps if c == "t" and time_eps else 1.0) for c in limits]
+        least = F.sort_array(F.array(*extent), asc=False)[min(CUT_AXES, len(limits)) - 1]
+        wide = [(e > 0) & (e >= least) for e in extent]
+        parts = [F.when(cut, F.floor(x * CUT)).otherwise(0).alias(n) for cut, x, n in zip(wide, share, names, strict=True)]
         cut = scratch.save(boxed.drop("first").join(whole, "box").select(F.col("box").alias("of"), *kept, *parts), "cut")
         boxes = scratch.save(cut.groupBy("of", "label", *names).agg(*_box(limits)), "boxes")
         boxed = cut.join(boxes.select("of", *names, "box", "first"), ["of", *names]).select("box", "first", *kept)

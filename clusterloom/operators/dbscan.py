@@ -50,19 +50,29 @@ def pair_labels(points: DataFrame, pairs: DataFrame, min_pts: int, scratch: Scra
     return named.unionByName(border.select(F.col("u").alias("row_id"), "label"))
 
 
+def by_spread(points: DataFrame, axes: list[str]) -> list[str]:
+    """More axes than a grid cuts in order of how far they spread the points, widest first; else as they are."""
+    if len(axes) <= GRID_DIMENSIONS:
+        return axes
+    wide = points.agg(*(F.stddev_pop(c).alias(c) for c in axes)).first()
+    return sorted(axes, key=lambda c: -(wide[c] if wide[c] is not None and wide[c] == wide[c] else 0.0))
+
+
 def cell_labels(points: DataFrame, eps: float, min_pts: int, columns: list[str], metric: Metric, time_eps: int | None, scratch: Scratch) -> DataFrame:
     """As `pair_labels`, without a table of neighbour pairs.
 
     Points of one small cell are all neighbours of each other.  So a cell of min_pts points is core
     without looking further, and the core points of a cell are one class.  Only points of cells with fewer
     count their neighbours; what they meet grows with min_pts and not with the square of a crowd.
-    Classes are linked by `least_edges`, which compares their boundaries only.
+    Classes are linked by `least_edges`, which compares their boundaries only.  With many dimensions
+    cells are cut by all axes, and who is near is looked up by the few that spread the points most.
     """
     timed = ["t"] if time_eps is not None else []
     places = metric.axes([F.col(c) for c in columns])
     axes = [f"a{k}" for k in range(len(places))]
     side = metric.straight(eps) / len(axes) ** 0.5 * (2 - WIDER) - 2 * metric.slack
     given = points.select("row_id", *columns, *timed, *(x.alias(n) for x, n in zip(places, axes, strict=True)))
+    axes = by_spread(given, axes)
     far = reduce(lambda p, q: p | q, [F.abs(F.col(c) / side) >= LAST_CELL for c in axes])  # cells there may be larger: each such point alone
     numbers = [cell(F.col(c), side).alias(f"n{k}") for k, c in enumerate(axes)]
     numbers += [F.floor(F.col("t") / F.lit(time_eps)).alias("nt") for _ in timed]
@@ -74,7 +84,7 @@ def cell_labels(points: DataFrame, eps: float, min_pts: int, columns: list[str],
         kept = ["row_id", *columns, *axes, *timed]
         left = some.select(*(F.col(c).alias(f"u_{c}") for c in kept))
         right = others.select(*(F.col(c).alias(f"v_{c}") for c in (*kept, *keep)))
-        ways = [[cell(F.col(f"{s}_{c}"), eps * WIDER + metric.slack) for c in axes] + [F.floor(F.col(f"{s}_t") / F.lit(time_eps)) for _ in timed] for s in "uv"]
+        ways = [[cell(F.col(f"{s}_{c}"), eps * WIDER + metric.slack) for c in axes[:GRID_DIMENSIONS]] + [F.floor(F.col(f"{s}_t") / F.lit(time_eps)) for _ in timed] for s in "uv"]
         a, b = ([F.col(f"{s}_{c}") for c in columns] for s in "uv")
         close = metric.comparable(a, b) <= F.lit(metric.threshold(eps))
         if time_eps is not None:
@@ -101,8 +111,7 @@ def dbscan(
 
     With a metric of your own points are not projected.  A row with a null, NaN or infinite coordinate, or
     without a time where one is needed, is noise; row_ids are to be unique.  An empty table gives an empty
-    result.  Points of more than three dimensions, and metrics that no grid fits, go through a table of
-    all neighbour pairs.
+    result.  Metrics that no grid fits go through a table of all neighbour pairs.
     """
     if not eps > 0:
         raise ValueError("eps must be positive")
@@ -116,7 +125,7 @@ def dbscan(
     given, columns = plain(points, columns, ["t"] if time_eps is not None else [])
     found = given if metric else to_plane(given, columns, geo)
     metric = metric or Euclidean()
-    if metric.slack is not None and len(columns) <= GRID_DIMENSIONS and metric.straight(eps) > 1e3 * metric.slack:
+    if metric.slack is not None and metric.straight(eps) > 1e3 * metric.slack:
         labels = cell_labels(found, eps, min_pts, columns, metric, time_eps, scratch)
     else:
         labels = pair_labels(found, range_join(found, eps, columns, metric, time_eps), min_pts, scratch)

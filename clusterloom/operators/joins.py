@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions.metrics import GRID_DIMENSIONS, Euclidean, Metric
 from clusterloom.functions.points import within_time
+from clusterloom.operators.pivots import pivot_pairs
 from clusterloom.plans.scratch import Scratch
 
 #: cells are numbered up to this far from zero; what lies beyond shares the last one
@@ -81,7 +82,8 @@ def range_join(
     A grid turns the distance into an equi-join: cells are a hair wider than the radius, one side goes to
     its cell and half of the cells around it, the other to its own, and the exact test is the residual.
     So every pair meets once, and AQE splits the reading of cells with very many points.  A metric of
-    your own compares all pairs, of a bounded number of points (ValueError beyond it).
+    your own is pruned by pivots if it obeys the triangle inequality; else it compares all pairs, of a
+    bounded number of points (ValueError beyond it).
     """
     columns, metric, keep = columns or ["x", "y"], metric or Euclidean(), keep or []
     extra = [*keep, *(["t"] if time_eps is not None and "t" not in keep else [])]
@@ -91,7 +93,9 @@ def range_join(
     close = metric.comparable(a, b) <= F.lit(metric.threshold(eps))
     if time_eps is not None:
         close = close & within_time(F.col("u_t"), F.col("v_t"), time_eps)
-    if metric.slack is None:
+    if getattr(metric, "triangle", False):
+        joined = pivot_pairs(sides, columns, metric, eps).where(close)
+    elif metric.slack is None:
         most = getattr(metric, "most_points", 0)
         if points.limit(most + 1).count() > most:
             raise ValueError(f"more than {most} points for a metric that compares all pairs")

@@ -9,6 +9,8 @@ from clusterloom.functions.metrics import Euclidean, Haversine, Metric
 
 #: kilometres per degree of latitude (fixed value)
 KM_PER_DEGREE = 111.32
+#: decimal places of a latitude in the mean
+EXACT = 18
 
 
 def looks_geo(points: DataFrame, columns: list[str]) -> bool:
@@ -27,11 +29,15 @@ def auto_metric(points: DataFrame, columns: list[str]) -> Metric:
 def project_km(points: DataFrame, lng: str = "x", lat: str = "y") -> DataFrame:
     """`points` with both columns replaced by kilometres on a plane around the mean latitude of all rows.
 
-    The mean is one number, read by the driver, so the projection itself stays a narrow expression.
+    The mean is one number, read by the driver, so the projection itself stays a narrow expression.  Latitudes
+    are added up as decimals of EXACT places, so it is the same to the last bit however rows are
+    partitioned; only where one is too large for that, doubles are added in any order.
     """
-    mean = points.agg(F.avg(lat)).first()[0]
-    if mean is None:
+    exact = F.col(lat).cast("double").try_cast(f"decimal(38,{EXACT})")
+    stats = points.agg(F.try_sum(exact).alias("sum"), F.count(exact).alias("exact"), F.count(lat).alias("n"), F.avg(lat).alias("mean")).first()
+    if stats["mean"] is None:
         return points
+    mean = float(stats["sum"]) / stats["n"] if stats["exact"] == stats["n"] and stats["sum"] is not None else stats["mean"]
     scale = F.lit(KM_PER_DEGREE) * F.cos(F.radians(F.lit(mean)))
     return points.withColumn(lng, F.col(lng) * scale).withColumn(lat, F.col(lat) * KM_PER_DEGREE)
 

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from clusterloom.operators.dbscan import NOISE
 from clusterloom.plans.names import fresh
+from clusterloom.plans.scratch import Scratch
+from clusterloom.sources.points import numbered
 
+#: row_ids in a list of `member_chunks`
+CHUNK = 10_000
 POINT = "struct<coordinates:array<double>,extraData:map<string,string>,x:double,y:double>"
 
 
@@ -32,11 +36,25 @@ def size_filter(labels: DataFrame, min_cluster_size: int) -> DataFrame:
 def cluster_members(labels: DataFrame) -> DataFrame:
     """(cluster_id, members): the row_ids of each cluster in order, noise left out.
 
-    A list is one value, so a cluster has to fit in a task here; `labels` has the same without that limit.
+    A list is one value, so a cluster has to fit in a task here; `member_chunks` has no such limit.
     """
     return labels.where(F.col("cluster_id") != NOISE).groupBy("cluster_id").agg(F.sort_array(F.collect_list("row_id")).alias("members"))
 
 
+def member_chunks(labels: DataFrame, size: int = CHUNK, noise: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(cluster_id, chunk, members): the row_ids of each cluster in order, `size` in a list, lists from 0; with `noise` those of noise too.
+
+    Rows are sorted by ranges of (cluster_id, row_id) and numbered there, so a crowded cluster is spread over
+    tasks and no list is longer than `size`.  A place in a cluster is a row's number less its cluster's first.
+    """
+    given = labels if noise else labels.where(F.col("cluster_id") != NOISE)
+    (own,) = fresh(["row_id", "cluster_id"], "member")
+    found = numbered(given.select("cluster_id", F.col("row_id").alias(own)), ["cluster_id", own], scratch)
+    first = found.groupBy("cluster_id").agg(F.min("row_id").alias("first"))
+    placed = found.join(first, "cluster_id").withColumn("chunk", F.floor((F.col("row_id") - F.col("first")) / size))
+    return placed.groupBy("cluster_id", "chunk").agg(F.sort_array(F.collect_list(own)).alias("members"))
+
+
 def noise_points(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("cluster_id") == NOISE).select("row_id")
 
@@ -72,10 +90,10 @@ def response(rows: DataFrame, labels: DataFrame, x: str = "x", y: str = "y", dow
     point = F.struct(coords.alias("coordinates"), extra_data(known).alias("extraData"), coords[0].alias("x"), coords[1].alias("y"))
     each = known.select("row_id", F.col("clusterId").cast("int").alias("cluster_id"), point.alias("p"))
 
-    # Maps cannot be ordered, so points are sorted by row_id alone.
-    by_id = F.map_from_entries(F.collect_list(F.struct("row_id", "p")))
-    order = F.sort_array(F.collect_list("row_id"))
-    grouped = each.groupBy("cluster_id").agg(F.transform(order, lambda i: F.element_at(by_id, i)).alias("points"), F.count("*").alias("n"))
+    # Maps cannot be ordered, so points are compared by row_id alone.
+    by_id = lambda a, b: F.when(a["row_id"] < b["row_id"], -1).when(a["row_id"] > b["row_id"], 1).otherwise(0)
+    grouped = each.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("row_id", "p")), by_id).alias("members"), F.count("*").alias("n"))
+    grouped = grouped.select("cluster_id", "n", F.transform("members", lambda m: m["p"]).alias("points"))
     real = F.col("cluster_id") != NOISE
     total = grouped.agg(
         F.lit(download_id or str(uuid.uuid4())).alias("downloadId"),
@@ -96,7 +114,7 @@ def to_json(document: DataFrame) -> DataFrame:
 class ResultCache:
     """Results by a random id, for a later download; kept as tables in the shared folder until dropped."""
 
-    def __init__(self, scratch):
+    def __init__(self, scratch: Scratch):
         self.scratch = scratch
         self.known: dict[str, DataFrame] = {}
 

@@ -53,6 +53,7 @@ SUPPLIERS = "SELECT s_suppkey AS row_id, s_nationkey::DOUBLE AS x, s_acctbal / 1
 EVENTS = "SELECT event_id AS row_id, 116.0::DOUBLE + user_id / 100.0::DOUBLE AS x, 39.0::DOUBLE + value / 500.0::DOUBLE AS y, epoch_us(ts) // 1000 AS t FROM events"
 EVENTS_KM = f"SELECT row_id, x * (111.32::DOUBLE * cos(radians((SELECT avg(y) FROM ({EVENTS}))))) AS x, y * 111.32::DOUBLE AS y, t FROM ({EVENTS})"
 SQUARED = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+APART = "(abs(a.x - b.x) + abs(a.y - b.y))"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +135,24 @@ def _plain_labels(spark: SparkSession, d: str) -> DataFrame:
     return dbscan(customers(spark, d), *PLAIN, geo=False)
 
 
+#: dimensions, radius, least neighbours and least size for embeddings
+MANY = (8, 0.22, 3, 4)
+
+
+def _dbscan_nd(spark: SparkSession, d: str) -> DataFrame:
+    axes = [f"e{k}" for k in range(MANY[0])]
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(axes)))
+    return dbscan(rows, *MANY[1:], columns=axes, geo=False)
+
+
+def _blocks_apart(a: list, b: list):
+    """A metric of a user's own: along the axes."""
+    return abs(a[0] - b[0]) + abs(a[1] - b[1])
+
+
+_OWN = metrics.PythonMetric(_blocks_apart, triangle=True)
+
+
 def _knn(spark: SparkSession, d: str) -> DataFrame:
     return joins.knn_join(suppliers(spark, d), 5)
 
@@ -158,6 +177,8 @@ def queries() -> dict[str, Query]:
         "time_window": lambda s, d: events(s, d).select("row_id", *(x.alias(n) for x, n in zip(fn.time_window(F.col("t"), DAY), ("low", "high"), strict=True))),
         "range_join": lambda s, d: joins.range_join(customers(s, d), PLAIN[0]).selectExpr("u", "v", rounded),
         "range_join_haversine": lambda s, d: joins.range_join(suppliers(s, d), 300.0, metric=metrics.Haversine()).selectExpr("u", "v", rounded),
+        "metric_range_join": lambda s, d: joins.range_join(customers(s, d), PLAIN[0], metric=_OWN).selectExpr("u", "v", rounded),
+        "metric_dbscan_labels": lambda s, d: dbscan(customers(s, d), *PLAIN, metric=_OWN),
         "neighbor_count": lambda s, d: joins.neighbor_count(joins.range_join(customers(s, d), PLAIN[0])),
         "core_points": lambda s, d: joins.core_points(joins.range_join(customers(s, d), PLAIN[0]), PLAIN[1]),
         "st_range_join": lambda s, d: joins.range_join(project.project_km(events(s, d)), TIMED[0], time_eps=DAY).select("u", "v"),
@@ -170,6 +191,7 @@ def queries() -> dict[str, Query]:
         "stability": lambda s, d: _dendrogram(s, d).where("stable").select("node", "size", "own", "best"),
         "connected_components": lambda s, d: connected_components(joins.range_join(customers(s, d), 0.5).where("u < v").select("u", "v")),
         "dbscan_labels": _plain_labels,
+        "dbscan_nd_labels": _dbscan_nd,
         "dbscan_geo_labels": lambda s, d: dbscan(events(s, d), *GEO),
         "stdbscan_labels": lambda s, d: st_dbscan(events(s, d), *TIMED, time_eps=DAY),
         "hdbscan_labels": lambda s, d: hdbscan(suppliers(s, d), 2, 3, geo=False),
@@ -180,18 +202,19 @@ def queries() -> dict[str, Query]:
         "cluster_summary": lambda s, d: result.summary(_plain_labels(s, d)),
         "cluster_sizes": lambda s, d: result.cluster_sizes(_plain_labels(s, d)),
         "cluster_members": lambda s, d: result.cluster_members(_plain_labels(s, d)),
+        "cluster_member_chunks": lambda s, d: result.member_chunks(_plain_labels(s, d), 7, noise=True),
         "noise_points": lambda s, d: result.noise_points(_plain_labels(s, d)),
         "download_rows": lambda s, d: result.download_rows(_read(s, d, "customer").select(F.col("c_custkey").alias("row_id"), "c_name", "c_nationkey"), _plain_labels(s, d)),
         "response_json": lambda s, d: result.to_json(result.response(suppliers(s, d), hdbscan(suppliers(s, d), 2, 3, geo=False), download_id="result")),
     }
 
 
-def _labels_sql(source: str, eps: float, min_pts: int, least: int, time_eps: int | None = None) -> str:
+def _labels_sql(source: str, eps: float, min_pts: int, least: int, time_eps: int | None = None, near: str = "") -> str:
     """CTEs p, pairs, core, lab, named, sized and out(row_id, cluster_id) of a fixed-radius clustering."""
     timed = f" AND abs(a.t - b.t) <= {time_eps}" if time_eps else ""
     return f"""
 WITH RECURSIVE p AS MATERIALIZED ({source}),
-pairs AS MATERIALIZED (SELECT a.row_id AS u, b.row_id AS v FROM p a JOIN p b ON a.y BETWEEN b.y - {eps * 1.001} AND b.y + {eps * 1.001} AND {SQUARED} <= {eps * eps}::DOUBLE{timed}),
+pairs AS MATERIALIZED (SELECT a.row_id AS u, b.row_id AS v FROM p a JOIN p b ON a.y BETWEEN b.y - {eps * 1.001} AND b.y + {eps * 1.001} AND {near or f"{SQUARED} <= {eps * eps}::DOUBLE"}{timed}),
 core AS MATERIALIZED (SELECT u AS id FROM pairs GROUP BY u HAVING count(*) >= {min_pts}),
 edges AS MATERIALIZED (SELECT u, v FROM pairs WHERE u IN (SELECT id FROM core) AND v IN (SELECT id FROM core) AND u <> v),
 lab(id, label) USING KEY (id) AS (
@@ -251,6 +274,8 @@ def oracle_sql() -> dict[str, str]:
         "time_window": f"SELECT row_id, t - {DAY} AS low, t + {DAY} AS high FROM ({EVENTS})",
         "range_join": f"SELECT u, v, round(distance, 6) AS distance FROM ({near})",
         "range_join_haversine": f"SELECT a.row_id AS u, b.row_id AS v, round({_HAVERSINE}, 6) AS distance FROM ({SUPPLIERS}) a, ({SUPPLIERS}) b WHERE {_HAVERSINE} <= 300",
+        "metric_range_join": f"SELECT a.row_id AS u, b.row_id AS v, round({APART}, 6) AS distance FROM ({CUSTOMERS}) a JOIN ({CUSTOMERS}) b ON {APART} <= {PLAIN[0]}::DOUBLE",
+        "metric_dbscan_labels": _labels_sql(CUSTOMERS, *PLAIN, near=f"{APART} <= {PLAIN[0]}::DOUBLE") + "SELECT row_id, cluster_id FROM out",
         "neighbor_count": f"SELECT u AS row_id, count(*) AS n_neighbors FROM ({near}) GROUP BY u",
         "core_points": f"SELECT u AS row_id FROM ({near}) GROUP BY u HAVING count(*) >= {PLAIN[1]}",
         "st_range_join": f"WITH p AS MATERIALIZED ({EVENTS_KM}) SELECT a.row_id AS u, b.row_id AS v FROM p a JOIN p b ON a.t BETWEEN b.t - {DAY} AND b.t + {DAY} AND {SQUARED} <= {TIMED[0] ** 2}::DOUBLE",
@@ -301,11 +326,20 @@ SELECT id AS node, label AS component FROM lab""",
         + ", large AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id DESC) - 1 AS id FROM out WHERE cluster_id >= 0 GROUP BY cluster_id HAVING count(*) >= 20) "
         "SELECT row_id, coalesce(id, -1)::INTEGER AS cluster_id FROM out LEFT JOIN large USING (cluster_id)",
         "csv_round_trip": plain + "SELECT c.c_custkey AS key, c.c_name, o.cluster_id::VARCHAR AS \"clusterId\" FROM customer c JOIN out o ON o.row_id = c.c_custkey",
+        "dbscan_nd_labels": _labels_sql(
+            f"SELECT vec_id AS row_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, list_transform(embedding[1:{MANY[0]}], lambda v: v::DOUBLE) AS e FROM embeddings",
+            *MANY[1:],
+            near=f"list_distance(a.e, b.e) <= {MANY[1]}::DOUBLE",
+        )
+        + "SELECT row_id, cluster_id FROM out",
         "dbscan_geo_labels": _labels_sql(EVENTS_KM, *GEO) + "SELECT row_id, cluster_id FROM out",
         "stdbscan_labels": _labels_sql(EVENTS_KM, *TIMED, DAY) + "SELECT row_id, cluster_id FROM out",
         "cluster_summary": plain + "SELECT count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS total_clusters, count(*) AS total_points, count(*) FILTER (cluster_id = -1) AS noise_points FROM out",
         "cluster_sizes": plain + "SELECT cluster_id, count(*) AS n_points FROM out WHERE cluster_id <> -1 GROUP BY cluster_id",
         "cluster_members": plain + "SELECT cluster_id, list(row_id ORDER BY row_id) AS members FROM out WHERE cluster_id <> -1 GROUP BY cluster_id",
+        "cluster_member_chunks": plain
+        + ", placed AS (SELECT *, (row_number() OVER (PARTITION BY cluster_id ORDER BY row_id) - 1) // 7 AS chunk FROM out) "
+        "SELECT cluster_id, chunk, list(row_id ORDER BY row_id) AS members FROM placed GROUP BY cluster_id, chunk",
         "noise_points": plain + "SELECT row_id FROM out WHERE cluster_id = -1",
         "download_rows": plain + "SELECT c.c_custkey AS row_id, c.c_name, c.c_nationkey::VARCHAR AS c_nationkey, o.cluster_id::VARCHAR AS clusterId FROM customer c JOIN out o ON o.row_id = c.c_custkey",
     }

@@ -301,3 +301,69 @@ def test_components(spark):
     assert {r.node: r.component for r in connected_components(frame, one_task=0).collect()} == got
     assert connected_components(frame.where("false")).count() == 0
     assert connected_components(frame.where(F.col("u") == F.col("v"))).count() == 0
+
+
+def test_mean_does_not_depend_on_partitions(spark):
+    """Latitudes whose sum depends on the order of addition: the projection is the same to the last bit."""
+    from clusterloom.operators.project import project_km
+
+    rng = random.Random(6)
+    rows = [(rng.uniform(-180, 180), rng.uniform(-1, 1) * 10.0 ** rng.randrange(-12, 2)) for _ in range(3000)]
+    found = [sorted(map(tuple, project_km(points(spark, rows).repartition(n)).collect())) for n in (1, 7, 64)]
+    assert found[0] == found[1] == found[2]
+    assert project_km(points(spark, [(1.0, 1e300), (2.0, -1e300)])).count() == 2
+
+
+def test_member_chunks(spark):
+    """A cluster with nearly all rows: lists of bounded size, in order, nothing lost."""
+    from clusterloom.operators.result import member_chunks
+
+    labels = spark.range(2500).selectExpr("id * 3 as row_id", "int(if(id % 10 = 0, -1, if(id % 97 = 1, 1, 0))) as cluster_id").repartition(5)
+    want = {}
+    for r in labels.orderBy("row_id").collect():
+        want.setdefault(r.cluster_id, []).append(r.row_id)
+    for noise in (False, True):
+        got = {}
+        for r in member_chunks(labels, 100, noise).orderBy("cluster_id", "chunk").collect():
+            assert len(r.members) <= 100 and r.chunk == len(got.setdefault(r.cluster_id, [])) // 100
+            got[r.cluster_id] += r.members
+        assert got == {c: m for c, m in want.items() if noise or c >= 0}
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.3, 2.0])
+def test_own_metric_by_pivots(spark, eps):
+    """Exact against brute force for metrics that no grid fits, equal points included, with more points than all pairs allow."""
+    import numpy as np
+
+    rng = random.Random(11)
+    rows = [(rng.gauss(0, 2), rng.gauss(0, 2)) for _ in range(150)] + [(1.0, 1.0)] * 20 + [(1e6, 0.0)]
+    largest = lambda a, b: np.maximum(np.abs(a[0] - b[0]), np.abs(a[1] - b[1]))
+    jumps = lambda a, b: np.where((a[0] == b[0]) & (a[1] == b[1]), 0.0, 1.0 + np.minimum(np.abs(a[0] - b[0]), 1.0))
+    for function in (largest, jumps):
+        metric = PythonMetric(function, most_points=10, triangle=True)
+        joined = range_join(points(spark, rows), eps, metric=metric)
+        got = sorted((r.u, r.v) for r in joined.collect())
+        apart = lambda a, b: float(function([np.float64(x) for x in a], [np.float64(x) for x in b]))  # noqa: B023, E731
+        assert got == [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if apart(a, b) <= eps]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert range_join(points(spark, []), 1.0, metric=metric).count() == 0
+
+
+def test_many_dimensions(spark):
+    """Six dimensions, three of them alike for all points, against the sequential rules; crowds that touch are cut, not paired."""
+    rng = random.Random(12)
+    centres = [[rng.uniform(0, 6) for _ in range(3)] for _ in range(4)]
+    rows = [(1.0, *(c + rng.gauss(0, 0.5) for c in rng.choice(centres)), 2.0, 3.0) for _ in range(110)]
+    rows += [(1.0, 9.0, 9.0, 9.0, 2.0, 3.0)] * 15 + [(1.0, 9.0, 9.0, 9.9, 2.0, 3.0)] * 15
+    names = [f"d{k}" for k in range(6)]
+    p = points(spark, rows, *names)
+    near = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) <= 1.0
+    assert labels(dbscan(p, 1.0, 5, 4, names, geo=False)) == brute(rows, near, 5, 4)
+    import numpy as np
+
+    made = np.random.default_rng(1)
+    two = np.concatenate([made.uniform(0, 1, (3000, 5)) * 0.5, made.uniform(0, 1, (3000, 5)) * 0.5 + [0.8, 0, 0, 0, 0], [[9.0] * 5]])
+    crowd = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(two)], "row_id long, " + ", ".join(f"d{k} double" for k in range(5)))
+    found = {r.cluster_id: r["count"] for r in dbscan(crowd, 0.6, 4, 2, names[:5], geo=False).groupBy("cluster_id").count().collect()}
+    assert found == {0: 6000, -1: 1}

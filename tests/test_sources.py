@@ -226,3 +226,14 @@ def test_running_total(spark):
         assert row.before == total
         total += row.n
     assert len(found) == 500
+
+
+def test_large_document(spark):
+    """One cluster of 200,000 points: the document is sorted, not searched point by point."""
+    import time
+
+    rows = spark.range(200_000).select(F.col("id").alias("row_id"), (F.col("id") % 1000 * 1.0).alias("x"), F.lit(1.0).alias("y"), F.col("id").cast("string").alias("name"))
+    began = time.time()
+    found = result.response(rows.repartition(7), rows.select("row_id", F.lit(0).alias("cluster_id"))).select("totalPoints", F.transform("clusters", lambda c: F.transform(c["points"], lambda p: p["extraData"]["name"])).alias("names")).first()
+    assert time.time() - began < 60
+    assert found.totalPoints == 200_000 and found.names[0] == [str(k) for k in range(200_000)]
