@@ -41,7 +41,7 @@ DEPTH, LEAST = 2, 4
 #: added to every count at the root, taken from every count at a state
 ADDED, DISCOUNT = 0.1, 0.5
 #: bytes of text in a chunk, about, and questions in a bucket
-CHUNK_BYTES, BUCKET_ASKS = 6 << 20, 1 << 19
+CHUNK_BYTES, BUCKET_ASKS = 6 << 20, 1 << 21
 #: a context that holds more than this share of a bucket's tokens is spread over buckets
 HOT_SHARE = 0.25
 FOLDS, HELD = 10, 0
