@@ -17,15 +17,20 @@ from clusterloom.plans.scratch import Scratch
 from clusterloom.sources.points import numbered, points, read_csv, write_csv
 
 _log = logging.getLogger(__name__)
-_caches: dict[int, result.ResultCache] = {}
 
 
 class ClusterResult(NamedTuple):
-    """`rows` are the usable input rows with clusterId; `labels` (row_id, cluster_id)."""
+    """`rows` are the usable input rows; `labels` (row_id, cluster_id).  Both read tables that `drop` deletes; what can
+    be downloaded is kept.
+    """
 
     rows: DataFrame
     labels: DataFrame
     download_id: str
+    scratch: Scratch
+
+    def drop(self) -> None:
+        self.scratch.drop_all()
 
     def summary(self) -> DataFrame:
         return result.summary(self.labels)
@@ -34,21 +39,14 @@ class ClusterResult(NamedTuple):
         return result.response(self.rows, self.labels, params.lng_field, params.lat_field, self.download_id)
 
 
-def labels_of(found: DataFrame, params: ClusterParams) -> DataFrame:
-    """(row_id, cluster_id) of points (row_id, x, y, t)."""
+def labels_of(found: DataFrame, params: ClusterParams, scratch: Scratch | None = None) -> DataFrame:
+    """(row_id, cluster_id) of points (row_id, x, y, t); the tables that it reads belong to `scratch` if given."""
     params.check()
     if params.kind == "hdbscan":
-        return hdbscan(found, params.points_needed, params.min_cluster_size, geo=params.geo, tie_break=params.tie_break)
+        return hdbscan(found, params.points_needed, params.min_cluster_size, geo=params.geo, tie_break=params.tie_break, scratch=scratch)
     if params.kind == "stdbscan":
-        return st_dbscan(found, params.eps, params.points_needed, params.min_cluster_size, params.time_eps, geo=params.geo)
-    return dbscan(found, params.eps, params.points_needed, params.min_cluster_size, geo=params.geo)
-
-
-def _cache(spark: SparkSession) -> result.ResultCache:
-    key = id(spark)
-    if key not in _caches:
-        _caches[key] = result.ResultCache(Scratch(spark, "results"))
-    return _caches[key]
+        return st_dbscan(found, params.eps, params.points_needed, params.min_cluster_size, params.time_eps, geo=params.geo, scratch=scratch)
+    return dbscan(found, params.eps, params.points_needed, params.min_cluster_size, geo=params.geo, scratch=scratch)
 
 
 def answer(call: Callable[[], object]) -> tuple[int, object]:
@@ -88,19 +86,23 @@ def cluster(source: DataFrame | str, params: ClusterParams, spark: SparkSession
     seen = Observation()
     noise = F.count_if(F.col("cluster_id") == result.NOISE).alias("noise")
     last = F.max("cluster_id").alias("last")
-    labels = scratch.save(labels_of(found, params).observe(seen, last, noise), "labels")
+    labels = scratch.save(labels_of(found, params, scratch).observe(seen, last, noise), "labels")
     _log.info("%s clusters, %s points of noise", (seen.get["last"] if seen.get["last"] is not None else -1) + 1, seen.get["noise"])
     kept = rows.join(labels.select("row_id"), "row_id", "left_semi")
-    key = _cache(spark).put(result.attach(kept, labels))
+    key = result.ResultCache(spark).put(result.attach(kept, labels))
     _log.info("result %s", key)
-    return ClusterResult(kept, labels, key)
+    scratch.keep_only("rows", "labels")
+    return ClusterResult(kept, labels, key, scratch)
+
 
+def download(spark: SparkSession, download_id: str, path: str | None = None, one_file: bool = True, max_age: float | None = None) -> DataFrame:
+    """The rows of an earlier result, of this or another driver, written to `path` as CSV if given (see `write_csv`).
 
-def download(spark: SparkSession, download_id: str, path: str | None = None) -> DataFrame:
-    """The rows of an earlier result, written to `path` as CSV if given; KeyError for an unknown id."""
-    rows = _cache(spark).get(download_id)
+    KeyError for an unknown id, and for a result older than `max_age` seconds.
+    """
+    rows = result.ResultCache(spark, max_age).get(download_id)
     if rows is None:
         raise KeyError(download_id)
     if path:
-        write_csv(rows, path)
+        write_csv(rows, path, one_file)
     return rows

@@ -70,7 +70,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, one_task: int = CHUNK) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
     `edges` has columns u and v of type bigint; direction, repetition and loops do not matter (a
@@ -81,9 +81,9 @@ def connected_components(edges: DataFrame, one_task: int = CHUNK) -> DataFrame:
     task of that bounded size contracts them all.  Else large-star and small-star steps alternate until
     the edge table no longer changes; each is one aggregation with map-side combine and one equi-join
     that AQE can split where a hub is hot, so no node's neighbours meet in one task.  Every step's result
-    is written to the shared folder.
+    is written to the shared folder; the last of them, which the result reads, belongs to `scratch` if given.
     """
-    scratch = Scratch(edges.sparkSession, "components")
+    scratch = scratch.inner("components") if scratch else Scratch(edges.sparkSession, "components")
     linked = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     now = scratch.save(linked.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     mark = _fingerprint(now)

@@ -42,7 +42,7 @@ def pair_labels(points: DataFrame, pairs: DataFrame, min_pts: int, scratch: Scra
     core = scratch.save(core_points(pairs, min_pts), "core")
     mine = pairs.join(core.withColumnRenamed("row_id", "v"), "v", "left_semi")  # pairs with a core neighbour
     between = mine.join(core.withColumnRenamed("row_id", "u"), "u", "left_semi").where("u < v")
-    found = connected_components(between)
+    found = connected_components(between, scratch=scratch)
     named = core.join(found.withColumnRenamed("node", "row_id"), "row_id", "left")
     named = scratch.save(named.select("row_id", F.coalesce("component", "row_id").alias("label")), "named")
     border = mine.join(core.withColumnRenamed("row_id", "u"), "u", "left_anti")
@@ -98,20 +98,20 @@ def cell_labels(points: DataFrame, eps: float, min_pts: int, columns: list[str],
     core = core.join(core.groupBy(*keys).agg(F.min("row_id").alias("label")), keys)
     core = scratch.save(core.select("row_id", "label", F.lit(0.0).alias("core"), *columns, *axes, *timed), "core")
     links = least_edges(core, eps, columns, axes, metric, scratch, time_eps=time_eps)
-    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "label")
+    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch=scratch).withColumnRenamed("node", "label")
     named = scratch.save(core.join(found, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "named")
     border = neighbours(known.where("not is_core and near > 1"), named, "label").groupBy(F.col("u_row_id").alias("row_id")).agg(F.min("v_label").alias("label"))
     return named.select("row_id", "label").unionByName(border)
 
 
 def dbscan(
-    points: DataFrame, eps: float, min_pts: int, min_cluster_size: int = 1, columns: list[str] | None = None, geo: bool | str = "auto", metric: Metric | None = None, time_eps: int | None = None
+    points: DataFrame, eps: float, min_pts: int, min_cluster_size: int = 1, columns: list[str] | None = None, geo: bool | str = "auto", metric: Metric | None = None, time_eps: int | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """(row_id, cluster_id), -1 for noise; points have row_id and `columns` (x, y by default), and t for `time_eps`.
 
     With a metric of your own points are not projected.  A row with a null, NaN or infinite coordinate, or
     without a time where one is needed, is noise; row_ids are to be unique.  An empty table gives an empty
-    result.  Metrics that no grid fits go through a table of all neighbour pairs.
+    result.  The tables that it reads belong to `scratch` if given.  Metrics that no grid fits go through a table of all neighbour pairs.
     """
     if not eps > 0:
         raise ValueError("eps must be positive")
@@ -121,7 +121,7 @@ def dbscan(
         raise ValueError("minClusterSize must be at least 1")
     if time_eps is not None and time_eps <= 0:
         raise ValueError("timeEps must be positive")
-    scratch = Scratch(points.sparkSession, "dbscan")
+    scratch = scratch.inner("dbscan") if scratch else Scratch(points.sparkSession, "dbscan")
     given, columns = plain(points, columns, ["t"] if time_eps is not None else [])
     found = given if metric else to_plane(given, columns, geo)
     metric = metric or Euclidean()

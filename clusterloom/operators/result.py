@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.operators.dbscan import NOISE
 from clusterloom.plans.names import fresh
-from clusterloom.plans.scratch import Scratch
+from clusterloom.plans.scratch import Scratch, shared_dir
 from clusterloom.sources.points import numbered
 
 #: row_ids in a list of `member_chunks`
@@ -112,20 +113,45 @@ def to_json(document: DataFrame) -> DataFrame:
 
 
 class ResultCache:
-    """Results by a random id, for a later download; kept as tables in the shared folder until dropped."""
+    """Results by a random id, for a later download: tables in a folder of the shared folder, which is the list of what
+    there is.  So another driver with the same spark.checkpoint.dir finds them, and a driver keeps none in memory.
 
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
-        self.known: dict[str, DataFrame] = {}
+    A result that is not whole (its writer was lost) is none.  `max_age` in seconds makes older ones unknown;
+    `evict` deletes them.
+    """
+
+    def __init__(self, spark: SparkSession, max_age: float | None = None):
+        self.spark, self.max_age, self.root = spark, max_age, f"{shared_dir(spark)}/results"
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, rows: DataFrame) -> str:
         key = str(uuid.uuid4())
-        self.known[key] = self.scratch.save(rows, key)
+        rows.write.parquet(f"{self.root}/{key}")
         return key
 
+    def _age(self, key: str) -> float | None:
+        try:
+            uuid.UUID(key)
+        except ValueError:
+            return None
+        done = self._path(f"{self.root}/{key}/_SUCCESS")
+        return time.time() - self._files.getFileStatus(done).getModificationTime() / 1000 if self._files.exists(done) else None
+
     def get(self, key: str) -> DataFrame | None:
-        return self.known.get(key)
+        age = self._age(key)
+        return None if age is None or self.max_age is not None and age > self.max_age else self.spark.read.parquet(f"{self.root}/{key}")
 
     def drop(self, key: str) -> None:
-        if self.known.pop(key, None) is not None:
-            self.scratch.drop(key)
+        if self._age(key) is not None:
+            self._files.delete(self._path(f"{self.root}/{key}"), True)
+
+    def evict(self, max_age: float) -> list[str]:
+        """Delete the results that are older, and say which."""
+        if not self._files.exists(self._path(self.root)):
+            return []
+        keys = [f.getPath().getName() for f in self._files.listStatus(self._path(self.root))]
+        old = [k for k in keys if (age := self._age(k)) is not None and age > max_age]
+        for key in old:
+            self.drop(key)
+        return old

@@ -40,6 +40,14 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._step = 0
         self._paths: dict[str, str] = {}
+        self._inner: list[Scratch] = []
+
+    def inner(self, label: str) -> Scratch:
+        """A scratch of one step of the run, in a folder below; it goes with this one's `keep_only` and `drop_all`."""
+        found = Scratch(self.spark, label)
+        found.root = f"{self.root}/{found.root.rsplit('/', 1)[1]}"
+        self._inner.append(found)
+        return found
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,10 +67,18 @@ class Scratch:
             self._delete(path)
 
     def keep_only(self, *names: str) -> None:
-        """Drop all tables but these, once nothing else is read any more."""
+        """Drop all tables but these, those of inner scratches too, once nothing else is read any more."""
+        for step in self._inner:
+            step.drop_all()
+        self._inner = []
         for name in [n for n in self._paths if n not in names]:
             self.drop(name)
 
+    def drop_all(self) -> None:
+        """Delete the folder, once no result that reads it is used any more."""
+        self._delete(self.root)
+        self._paths, self._inner = {}, []
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -7,11 +7,12 @@ same, events by user and value as longitude and latitude with their time.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.api import cluster, download
+from clusterloom.api import answer, cluster, download
 from clusterloom.functions import metrics
 from clusterloom.functions import points as fn
 from clusterloom.operators import hierarchy, joins, mst, project, result
@@ -114,6 +115,27 @@ def _mst_large(spark: SparkSession, d: str) -> DataFrame:
     return mst.mst(cored, ["x", "y"], scratch=scratch, dense_points=0).select("u", "v", F.round("w", 6).alias("w"))
 
 
+def _reject_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows are no points, and why, where a role column is missing or rows end before it."""
+    texts = _text_rows(spark, d)
+    cut = texts.withColumn("lat", F.when(F.col("row_id") % 3 > 0, F.col("lat")))
+    plain = ClusterParams(eps=1, min_pts=1)
+    cases = {"no lng": (texts.drop("lng"), plain), "no time": (texts.drop("timestamp"), _CSV), "other name": (texts.withColumnRenamed("lat", "LAT"), plain), "short": (cut, plain)}
+    found = [rejects(rows, params).groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(name).alias("case"), "reason", "n") for name, (rows, params) in cases.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _service_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What a service would answer: status, and the message or the number of points."""
+    rows = customers(spark, d).withColumnsRenamed({"x": "lng", "y": "lat"})
+    fine = {"eps": PLAIN[0], "min_pts": PLAIN[1], "min_cluster_size": PLAIN[2], "geo": False}
+    cases = {"fine": {}, "eps": {"eps": 0.0}, "minPts": {"min_pts": 0}, "size": {"min_cluster_size": 0}, "timeEps": {"algorithm": "StDbscan"}}
+    calls = {name: lambda c=case: cluster(rows, ClusterParams(**fine | c)).labels.count() for name, case in cases.items()}
+    calls["unknown"] = lambda: download(spark, "00000000-0000-0000-0000-000000000000")
+    found = [(name, status, said["error"] if isinstance(said, dict) else str(said)) for name, call in calls.items() for status, said in [answer(call)]]
+    return spark.createDataFrame(found, "case string, status int, message string")
+
+
 def _csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Customers written as CSV, clustered from the files in one call, downloaded as CSV and read again."""
     scratch = Scratch(spark, "csv")
@@ -174,11 +196,14 @@ def queries() -> dict[str, Query]:
         "dist_nd": _dist_nd,
         "parse_points": lambda s, d: points(_text_rows(s, d), _CSV),
         "parse_rejects": lambda s, d: rejects(_text_rows(s, d), _CSV),
+        "reject_counts": _reject_counts,
+        "service_answers": _service_answers,
         "time_window": lambda s, d: events(s, d).select("row_id", *(x.alias(n) for x, n in zip(fn.time_window(F.col("t"), DAY), ("low", "high"), strict=True))),
         "range_join": lambda s, d: joins.range_join(customers(s, d), PLAIN[0]).selectExpr("u", "v", rounded),
         "range_join_haversine": lambda s, d: joins.range_join(suppliers(s, d), 300.0, metric=metrics.Haversine()).selectExpr("u", "v", rounded),
         "metric_range_join": lambda s, d: joins.range_join(customers(s, d), PLAIN[0], metric=_OWN).selectExpr("u", "v", rounded),
         "metric_dbscan_labels": lambda s, d: dbscan(customers(s, d), *PLAIN, metric=_OWN),
+        "auto_metric_join": lambda s, d: joins.range_join(suppliers(s, d), 300.0, metric=project.auto_metric(suppliers(s, d), ["x", "y"])).selectExpr("u", "v", rounded),
         "neighbor_count": lambda s, d: joins.neighbor_count(joins.range_join(customers(s, d), PLAIN[0])),
         "core_points": lambda s, d: joins.core_points(joins.range_join(customers(s, d), PLAIN[0]), PLAIN[1]),
         "st_range_join": lambda s, d: joins.range_join(project.project_km(events(s, d)), TIMED[0], time_eps=DAY).select("u", "v"),
@@ -195,6 +220,7 @@ def queries() -> dict[str, Query]:
         "dbscan_geo_labels": lambda s, d: dbscan(events(s, d), *GEO),
         "stdbscan_labels": lambda s, d: st_dbscan(events(s, d), *TIMED, time_eps=DAY),
         "hdbscan_labels": lambda s, d: hdbscan(suppliers(s, d), 2, 3, geo=False),
+        "hdbscan_few_points": lambda s, d: hdbscan(suppliers(s, d), 1_000_000, 3, geo=False),
         "hdbscan_prim_labels": lambda s, d: hdbscan(suppliers(s, d), 2, 3, geo=False, tie_break="prim"),
         "size_filter": lambda s, d: result.size_filter(_plain_labels(s, d), 20),
         "renumber": lambda s, d: renumber(_plain_labels(s, d).select("row_id", F.when(F.col("cluster_id") >= 0, 1000 - F.col("cluster_id")).cast("long").alias("label")), 20),
@@ -271,6 +297,17 @@ def oracle_sql() -> dict[str, str]:
         "dist_nd": "SELECT a.vec_id AS u, b.vec_id AS v, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id",
         "parse_points": f"SELECT row_id, user_id::DOUBLE AS x, value AS y, epoch_us(date_trunc('second', ts)) // 1000 AS t FROM ({texts}) WHERE NOT bad AND NOT late",
         "parse_rejects": f"SELECT row_id, CASE WHEN bad THEN 'no coordinates' ELSE 'no time' END AS reason FROM ({texts}) WHERE bad OR late",
+        "reject_counts": """
+SELECT 'no lng' AS "case", 'no column lng' AS reason, count(*) AS n FROM events
+UNION ALL SELECT 'no time', CASE WHEN event_id % 7 = 0 THEN 'no coordinates' ELSE 'no column timestamp' END AS reason, count(*) FROM events GROUP BY reason
+UNION ALL SELECT 'other name', 'no column lat', count(*) FROM events
+UNION ALL SELECT 'short', 'no coordinates', count(*) FROM events WHERE event_id % 7 = 0 OR event_id % 3 = 0""",
+        "service_answers": """
+SELECT 'fine' AS "case", 200 AS status, count(*)::VARCHAR AS message FROM customer
+UNION ALL VALUES ('eps', 400, 'eps must be positive'), ('minPts', 400, 'minPts must be at least 1'), ('size', 400, 'minClusterSize must be at least 1'),
+  ('timeEps', 400, 'timeEps must be positive'), ('unknown', 404, 'Result not found')""",
+        "auto_metric_join": f"SELECT a.row_id AS u, b.row_id AS v, round({_HAVERSINE}, 6) AS distance FROM ({SUPPLIERS}) a, ({SUPPLIERS}) b WHERE {_HAVERSINE} <= 300",
+        "hdbscan_few_points": "SELECT s_suppkey AS row_id, -1 AS cluster_id FROM supplier",
         "time_window": f"SELECT row_id, t - {DAY} AS low, t + {DAY} AS high FROM ({EVENTS})",
         "range_join": f"SELECT u, v, round(distance, 6) AS distance FROM ({near})",
         "range_join_haversine": f"SELECT a.row_id AS u, b.row_id AS v, round({_HAVERSINE}, 6) AS distance FROM ({SUPPLIERS}) a, ({SUPPLIERS}) b WHERE {_HAVERSINE} <= 300",

@@ -237,3 +237,56 @@ def test_large_document(spark):
     found = result.response(rows.repartition(7), rows.select("row_id", F.lit(0).alias("cluster_id"))).select("totalPoints", F.transform("clusters", lambda c: F.transform(c["points"], lambda p: p["extraData"]["name"])).alias("names")).first()
     assert time.time() - began < 60
     assert found.totalPoints == 200_000 and found.names[0] == [str(k) for k in range(200_000)]
+
+
+def _folders(spark):
+    import os
+
+    root = shared_dir(spark).removeprefix("file://")
+    return {os.path.join(d, x) for d, names, _ in os.walk(root) for x in names}
+
+
+@pytest.mark.parametrize("algorithm", ["dbscan", "hdbscan"])
+def test_no_folder_left(spark, algorithm):
+    """What a clustering wrote goes, but for the tables of its result; with `drop` those go too, and the download stays."""
+    rows = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 3 * 100 + 500.0).alias("lng"), (F.col("id") * 0.01).alias("lat"))
+    before = _folders(spark)
+    found = cluster(rows, ClusterParams(algorithm=algorithm, eps=1.0, min_pts=2, min_cluster_size=2, geo=False))
+    new = {x.rsplit("/", 1)[1].split("-")[0] for x in _folders(spark) - before}
+    assert new <= {"cluster", "rows", "labels", "results", found.download_id.split("-")[0]}
+    assert found.labels.count() == 60
+    found.drop()
+    new = {x.rsplit("/", 1)[1] for x in _folders(spark) - before}
+    assert new - {"results"} == {found.download_id}
+    assert download(spark, found.download_id).count() == 60
+
+
+def test_results_outlive_their_driver(spark, tmp_path):
+    """Another driver finds a result by its id; results expire, are evicted, and half-written ones are none."""
+    import os
+    import subprocess
+    import time
+
+    rows = spark.range(30).select(F.col("id").alias("row_id"), (F.col("id") * 0.1 + 500.0).alias("lng"), F.lit(1.0).alias("lat"))
+    key = cluster(rows, ClusterParams(eps=1.0, min_pts=2, geo=False)).download_id
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {spark.conf.get("spark.checkpoint.dir")!r}).getOrCreate()
+from clusterloom.api import download
+print("ROWS", download(spark, {key!r}).where("clusterId = '0'").count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200, env=os.environ | {"PYTHONPATH": root})
+    assert "ROWS 30" in said.stdout, said.stderr[-500:]
+    cache = result.ResultCache(spark)
+    time.sleep(1.1)
+    assert cache.get(key).count() == 30 and result.ResultCache(spark, max_age=1.0).get(key) is None
+    with pytest.raises(KeyError):
+        download(spark, key, max_age=1.0)
+    half = cache.put(rows)
+    os.remove(f"{cache.root.removeprefix('file://')}/{half}/_SUCCESS")
+    assert cache.get(half) is None and cache.get("../rows") is None
+    assert cache.evict(3600.0) == [] and key in cache.evict(0.5) and cache.get(key) is None
+    other = cache.put(rows)
+    cache.drop(other)
+    assert cache.get(other) is None
