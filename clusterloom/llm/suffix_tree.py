@@ -7,8 +7,10 @@ empty context.  A token's probability comes from the longest state that ends bef
 The divergence test weighs evidence against description: a word is spelled out in a context if
 c * ln((c / n) / p) exceeds ln(N), with c its count there, n the context's, p its probability in the
 suffix and N all training tokens; the context is retained if the spelled-out words and all others as
-one class gain more than ln(N) for each word spelled out.  So whatever was seen once never counts.
-Distributions are smoothed by absolute discounting: a spelled-out word has (c - d) / n, and the mass that
+one class gain more than ln(N) for each word spelled out.  So whatever was seen once never counts, and
+words whose counts rule out such a gain are not asked about.  In tests -ln(p) is rounded to a tenth.  A
+context of several words also occurs LEAST times, and its counts let its last word be spelled out behind its
+first ones.  Distributions are smoothed by absolute discounting: a spelled-out word has (c - d) / n, and the mass that
 is left is spread as in the suffix, for all words.  The root is additive.  Each of them sums to one.
 
 Texts are cut into chunks of bounded size that are kept as word codes.  For every level, a chunk asks
