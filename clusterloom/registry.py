@@ -204,8 +204,8 @@ def queries() -> dict[str, Query]:
         "metric_range_join": lambda s, d: joins.range_join(customers(s, d), PLAIN[0], metric=_OWN).selectExpr("u", "v", rounded),
         "metric_dbscan_labels": lambda s, d: dbscan(customers(s, d), *PLAIN, metric=_OWN),
         "auto_metric_join": lambda s, d: joins.range_join(suppliers(s, d), 300.0, metric=project.auto_metric(suppliers(s, d), ["x", "y"])).selectExpr("u", "v", rounded),
-        "neighbor_count": lambda s, d: joins.neighbor_count(joins.range_join(customers(s, d), PLAIN[0])),
-        "core_points": lambda s, d: joins.core_points(joins.range_join(customers(s, d), PLAIN[0]), PLAIN[1]),
+        "neighbor_count": lambda s, d: joins.near_counts(customers(s, d), PLAIN[0]),
+        "core_points": lambda s, d: joins.near_counts(customers(s, d), PLAIN[0]).where(F.col("n_neighbors") >= PLAIN[1]).select("row_id"),
         "st_range_join": lambda s, d: joins.range_join(project.project_km(events(s, d)), TIMED[0], time_eps=DAY).select("u", "v"),
         "knn_join": lambda s, d: _knn(s, d).selectExpr("row_id", "neighbor", "rank", rounded),
         "core_distance": lambda s, d: joins.core_distance(_knn(s, d), 5).select("row_id", F.round("core", 6).alias("core"), F.round(fn.density(F.col("core")), 6).alias("density")),
@@ -214,7 +214,7 @@ def queries() -> dict[str, Query]:
         "mst_edges_large": _mst_large,
         "dendrogram": _dendrogram,
         "stability": lambda s, d: _dendrogram(s, d).where("stable").select("node", "size", "own", "best"),
-        "connected_components": lambda s, d: connected_components(joins.range_join(customers(s, d), 0.5).where("u < v").select("u", "v")),
+        "connected_components": lambda s, d: connected_components(joins.near_links(customers(s, d), 0.5)),
         "dbscan_labels": _plain_labels,
         "dbscan_nd_labels": _dbscan_nd,
         "dbscan_geo_labels": lambda s, d: dbscan(events(s, d), *GEO),
