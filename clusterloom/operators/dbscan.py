@@ -17,7 +17,7 @@ from clusterloom.functions.metrics import GRID_DIMENSIONS, Euclidean, Metric
 from clusterloom.functions.points import within_time
 from clusterloom.operators.closest import least_edges
 from clusterloom.operators.components import connected_components
-from clusterloom.operators.joins import LAST_CELL, WIDER, cell, core_points, near_cells, plain, range_join
+from clusterloom.operators.joins import LAST_CELL, WIDER, cell, fit_for, gathered, near_cells, near_pairs, plain, spread_out
 from clusterloom.operators.project import to_plane
 from clusterloom.plans.scratch import Scratch
 from clusterloom.sources.points import numbered
@@ -36,10 +36,15 @@ def renumber(labelled: DataFrame, min_cluster_size: int, scratch: Scratch | None
     return joined.select("row_id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"))
 
 
-def pair_labels(points: DataFrame, pairs: DataFrame, min_pts: int, scratch: Scratch) -> DataFrame:
-    """(row_id, label) from the neighbour pairs (u, v), before any size filter; points that are noise are left out."""
-    pairs = scratch.save(pairs.select("u", "v"), "pairs")
-    core = scratch.save(core_points(pairs, min_pts), "core")
+def pair_labels(places: DataFrame, eps: float, min_pts: int, columns: list[str], metric: Metric, time_eps: int | None, scratch: Scratch) -> DataFrame:
+    """(row_id, label) of `places` (see `gathered`) from their neighbour pairs, before any size filter; those that are noise are left out."""
+    met = near_pairs(places, eps, columns, metric, time_eps, ["copies"])
+    ends = [F.struct(F.col(f"{p}_row_id").alias("u"), F.col(f"{q}_row_id").alias("v"), F.col(f"{q}_copies").alias("copies")) for p, q in (("u", "v"), ("v", "u"))]
+    both = F.when(F.col("u_row_id") == F.col("v_row_id"), F.array(ends[0])).otherwise(F.array(*ends))
+    pairs = scratch.save(met.select(F.explode(both).alias("p")).select("p.*"), "pairs")
+    counted = pairs.groupBy(F.col("u").alias("row_id")).agg(F.sum("copies").alias("near"))
+    core = scratch.save(counted.where(F.col("near") >= min_pts).select("row_id"), "core")
+    pairs = pairs.drop("copies")
     mine = pairs.join(core.withColumnRenamed("row_id", "v"), "v", "left_semi")  # pairs with a core neighbour
     between = mine.join(core.withColumnRenamed("row_id", "u"), "u", "left_semi").where("u < v")
     found = connected_components(between, scratch=scratch)
@@ -58,8 +63,8 @@ def by_spread(points: DataFrame, axes: list[str]) -> list[str]:
     return sorted(axes, key=lambda c: -(wide[c] if wide[c] is not None and wide[c] == wide[c] else 0.0))
 
 
-def cell_labels(points: DataFrame, eps: float, min_pts: int, columns: list[str], metric: Metric, time_eps: int | None, scratch: Scratch) -> DataFrame:
-    """As `pair_labels`, without a table of neighbour pairs.
+def cell_labels(places: DataFrame, eps: float, min_pts: int, columns: list[str], metric: Metric, time_eps: int | None, scratch: Scratch) -> DataFrame:
+    """As `pair_labels`, without a table of neighbour pairs of places.
 
     Points of one small cell are all neighbours of each other.  So a cell of min_pts points is core
     without looking further, and the core points of a cell are one class.  Only points of cells with fewer
@@ -68,17 +73,17 @@ def cell_labels(points: DataFrame, eps: float, min_pts: int, columns: list[str],
     cells are cut by all axes, and who is near is looked up by the few that spread the points most.
     """
     timed = ["t"] if time_eps is not None else []
-    places = metric.axes([F.col(c) for c in columns])
-    axes = [f"a{k}" for k in range(len(places))]
+    spots = metric.axes([F.col(c) for c in columns])
+    axes = [f"a{k}" for k in range(len(spots))]
     side = metric.straight(eps) / len(axes) ** 0.5 * (2 - WIDER) - 2 * metric.slack
-    given = points.select("row_id", *columns, *timed, *(x.alias(n) for x, n in zip(places, axes, strict=True)))
+    given = places.select("row_id", *columns, *timed, "copies", *(x.alias(n) for x, n in zip(spots, axes, strict=True)))
     axes = by_spread(given, axes)
     far = reduce(lambda p, q: p | q, [F.abs(F.col(c) / side) >= LAST_CELL for c in axes])  # cells there may be larger: each such point alone
     numbers = [cell(F.col(c), side).alias(f"n{k}") for k, c in enumerate(axes)]
     numbers += [F.floor(F.col("t") / F.lit(time_eps)).alias("nt") for _ in timed]
     placed = given.select("*", *numbers, far.alias("far"), F.when(far, F.col("row_id")).otherwise(F.lit(0)).alias("lone"))
     keys = [c for c in placed.columns if c not in given.columns]
-    placed = scratch.save(placed.join(placed.groupBy(*keys).agg(F.count("*").alias("n")), keys), "placed")
+    placed = scratch.save(placed.join(placed.groupBy(*keys).agg(F.sum("copies").alias("n")), keys), "placed")
 
     def neighbours(some: DataFrame, others: DataFrame, *keep: str) -> DataFrame:
         kept = ["row_id", *columns, *axes, *timed]
@@ -92,7 +97,7 @@ def cell_labels(points: DataFrame, eps: float, min_pts: int, columns: list[str],
         return near_cells(left, right, *ways, half=False).where(close)
 
     sparse = placed.where(F.col("n") < min_pts)
-    counted = neighbours(sparse, placed).groupBy(F.col("u_row_id").alias("row_id")).agg(F.count("*").alias("near"))
+    counted = neighbours(sparse, placed, "copies").groupBy(F.col("u_row_id").alias("row_id")).agg(F.sum("v_copies").alias("near"))
     known = scratch.save(placed.join(counted, "row_id", "left").withColumn("is_core", (F.col("n") >= min_pts) | (F.coalesce("near", F.lit(0)) >= min_pts)), "known")
     core = known.where("is_core")
     core = core.join(core.groupBy(*keys).agg(F.min("row_id").alias("label")), keys)
@@ -111,7 +116,8 @@ def dbscan(
 
     With a metric of your own points are not projected.  A row with a null, NaN or infinite coordinate, or
     without a time where one is needed, is noise; row_ids are to be unique.  An empty table gives an empty
-    result.  The tables that it reads belong to `scratch` if given.  Metrics that no grid fits go through a table of all neighbour pairs.
+    result.  The tables that it reads belong to `scratch` if given.  Equal points
+    are clustered as one place.  Metrics that no grid fits go through a table of all neighbour pairs of places.
     """
     if not eps > 0:
         raise ValueError("eps must be positive")
@@ -125,10 +131,12 @@ def dbscan(
     given, columns = plain(points, columns, ["t"] if time_eps is not None else [])
     found = given if metric else to_plane(given, columns, geo)
     metric = metric or Euclidean()
-    if metric.slack is not None and metric.straight(eps) > 1e3 * metric.slack:
-        labels = cell_labels(found, eps, min_pts, columns, metric, time_eps, scratch)
-    else:
-        labels = pair_labels(found, range_join(found, eps, columns, metric, time_eps), min_pts, scratch)
+    found = fit_for(found, columns, metric)
+    of = [*columns, *(["t"] if time_eps is not None else [])]
+    places = scratch.save(gathered(found, of), "places")
+    grid = metric.slack is not None and metric.straight(eps) > 1e3 * metric.slack
+    labels = (cell_labels if grid else pair_labels)(places, eps, min_pts, columns, metric, time_eps, scratch)
+    labels = spread_out(found, labels, of)
     labels = scratch.save(points.select("row_id").join(labels, "row_id", "left"), "labels")
     scratch.keep_only("labels")
     return renumber(labels, min_cluster_size, scratch)
