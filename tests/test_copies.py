@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from clusterloom.functions.metrics import PythonMetric
 from clusterloom.operators.components import connected_components
 from clusterloom.operators.dbscan import dbscan, st_dbscan
 from clusterloom.operators.joins import COPIES, core_points, near_counts, near_links, neighbor_count, range_join
+from clusterloom.operators.mst import dense_prim, mst, with_core
+from clusterloom.plans.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +58,21 @@ def test_clusters_of_copies(spark):
     assert sizes(dbscan(crowd, 1.0, 4, 2, metric=own)) == [(-1, 1), (0, 20_000), (1, 20_000), (2, 20_001)]
     assert sizes(st_dbscan(crowd, 1.0, 4, 2, 5, geo=False)) == [(-1, 2), (0, 20_000), (1, 20_000), (2, 20_000)]
     assert time.time() - began < 120
+
+
+def test_tree_of_copies(spark):
+    """Crowds in one place hang on their smallest point, whichever way the tree is found; a tree in order of insertion costs places, not points."""
+    rng = random.Random(5)
+    rows = [(float(rng.randrange(4)), float(rng.randrange(4))) for _ in range(70)] + [(9.0, 9.0), (9.0, 9.5), (30.0, 1.0)]
+    scratch = Scratch(spark, "test")
+    few = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_id long, x double, y double")
+    cored = with_core(few, 3, ["x", "y"], scratch)
+    plan = sorted(dense_prim(*(np.array([r[c] for r in cored.orderBy("row_id").collect()]) if c != "xy" else np.array(rows) for c in ("row_id", "xy", "core"))))
+    want = sorted((min(u, v), max(u, v), w) for u, v, w in plan)
+    assert want == sorted(map(tuple, mst(cored, ["x", "y"]).collect())) == sorted(map(tuple, mst(cored, ["x", "y"], dense_points=0).collect()))
+    crowd = spark.range(60_000).select(F.col("id").alias("row_id"), (F.col("id") % 30 * 1.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("core"))
+    began = time.time()
+    for tie_break in ("prim", "canonical"):
+        found = mst(crowd, ["x", "y"], tie_break)
+        assert sorted(map(tuple, found.groupBy("w").count().collect())) == [(0.0, 59_970), (1.5, 29)]
+    assert time.time() - began < 60  # 60,000 points against each other take some minutes
