@@ -188,6 +188,7 @@ def train(judged: DataFrame) -> Model:
     picked = urls.where(F.col("held") | F.col("bad").isin([c for c, n in held.items() if not n])).select("u", "bad")
     rated = picked.mapInArrow(_rated(shared, lambda part: part.column("u").to_pylist()), "u string, bad int, ratio double")
     found = {r["bad"]: r for r in rated.groupBy("bad").agg(F.avg("ratio").alias("mean"), F.percentile_approx("ratio", 1 - MOST_LOST, 1_000_000).alias("high")).collect()}
+    shared.destroy(blocking=True)  # its copies on disk go before the judging model's come
     return model._replace(threshold=float(max(found[0]["high"], min(0.0, (found[0]["mean"] + found[1]["mean"]) / 2))))
 
 
