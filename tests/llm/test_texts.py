@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 from test_selection import odd_documents
 from tokenizers import Tokenizer
 
@@ -178,6 +180,48 @@ def test_chat_examples(spark):
     assert chat_format.read_back(chat_format.examples(turns.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize(("part", "ends"), [(1 << 14, 256), (90, 256), (1, 1), (400, 2)])
+def test_chat_examples_are_written_whole(spark, part, ends):
+    """Every example holds all turns before its reply, however a conversation is cut into parts, and is read back whole."""
+    rng = random.Random(7)
+    rows = [(conv, turn, rng.choice(["user", "assistant", "assistant\n", "tool"]), "".join(rng.choice("<|\\\n\u00e9\U0001f600ab") for _ in range(rng.randrange(25)))) for conv in (1, 2, None) for turn in range(30)]
+    rows += [(3, 0, "user", "u"), (3, 1, "user", "v"), (4, 0, "assistant", ""), (5, 0, "assistant", "a"), *((5, k, "user", "w" * 40) for k in range(1, 9))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {}
+    for conv in {r[0] for r in rows}:
+        said = sorted(r for r in rows if r[0] == conv) if conv is not None else sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+        whole = ""
+        for _, _, role, text in said:
+            turn, begin = chat_format.render(role, text)
+            whole += turn
+            if role == "assistant":
+                want[conv, sum(k[0] == conv for k in want)] = (whole, len(whole) - len(turn) + begin, len(whole) - len(chat_format.END) - 1)
+    found = chat_format.examples(turns, part=part, ends=ends).cache()
+    got = collections.defaultdict(list)
+    for r in found.where("example is not null").orderBy("part").collect():
+        got[r.conv_id, r.example].append(r)
+    assert {k: ("".join(r.text for r in v), v[0].loss_start, v[0].loss_end) for k, v in got.items()} == want
+    assert {(r.conv_id, r.example): (r.text, r.loss_start, r.loss_end) for r in chat_format.full_examples(found).collect()} == want
+    digests = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.read_back(found).collect()}
+    assert digests == chat_digests(rows)
+    most = max(k for c, k in want if c == 1)
+    changed = F.when((F.col("conv_id") == 1) & (F.col("example") == most) & (F.col("part") == 0), F.concat(F.lit("<|im_stArt|>"), F.substring("text", 13, 1 << 20))).otherwise(F.col("text"))
+    with pytest.raises(PythonException, match="conversation 1: "):
+        chat_format.read_back(found.withColumn("text", changed)).collect()
+    found.unpersist()
+
+
+def test_chat_query_writes_whole_examples(spark, sf, monkeypatch):
+    """The query writes every example's text in full: on the tables, more characters than the turns have."""
+    saved = {}
+    plain = chat_format.Scratch.save
+    monkeypatch.setattr(chat_format.Scratch, "save", lambda self, df, name, *more: saved.setdefault(name, plain(self, df, name, *more)))
+    formatted = sum(r.formatted_chars for r in chat_format.op3_chat_format(spark, sf).collect())
+    upto = saved["examples"].where("example is not null").agg(F.sum(F.length("text")).alias("chars"), F.count_distinct("conv_id", "example").alias("n")).first()
+    replies = table(spark, sf, "conversations").where("role = 'assistant'").count() + 1
+    assert upto.n == replies and upto.chars > formatted
+
+
 @pytest.mark.parametrize(("n", "limit"), [(1, 16), (2, 16), (300, 9), (5000, 13), (70000, 16)])
 def test_huffman(n, limit):
     rng = np.random.default_rng(n)
