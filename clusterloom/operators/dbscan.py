@@ -19,6 +19,7 @@ from clusterloom.operators.closest import least_edges
 from clusterloom.operators.components import connected_components
 from clusterloom.operators.joins import LAST_CELL, WIDER, cell, fit_for, gathered, near_cells, near_pairs, plain, spread_out
 from clusterloom.operators.project import to_plane
+from clusterloom.operators.tiles import tile_labels
 from clusterloom.plans.scratch import Scratch
 from clusterloom.sources.points import numbered
 
@@ -135,7 +136,8 @@ def dbscan(
     of = [*columns, *(["t"] if time_eps is not None else [])]
     places = scratch.save(gathered(found, of), "places")
     grid = metric.slack is not None and metric.straight(eps) > 1e3 * metric.slack
-    labels = (cell_labels if grid else pair_labels)(places, eps, min_pts, columns, metric, time_eps, scratch)
+    tiled = isinstance(metric, Euclidean) and time_eps is not None
+    labels = (tile_labels if tiled else cell_labels if grid else pair_labels)(places, eps, min_pts, columns, metric, time_eps, scratch)
     labels = spread_out(found, labels, of)
     labels = scratch.save(points.select("row_id").join(labels, "row_id", "left"), "labels")
     scratch.keep_only("labels")
