@@ -136,7 +136,7 @@ def dbscan(
     of = [*columns, *(["t"] if time_eps is not None else [])]
     places = scratch.save(gathered(found, of), "places")
     grid = metric.slack is not None and metric.straight(eps) > 1e3 * metric.slack
-    tiled = isinstance(metric, Euclidean) and (time_eps is not None or len(columns) > GRID_DIMENSIONS)
+    tiled = getattr(metric, "triangle", False) or isinstance(metric, Euclidean) and (time_eps is not None or len(columns) > GRID_DIMENSIONS)
     labels = (tile_labels if tiled else cell_labels if grid else pair_labels)(places, eps, min_pts, columns, metric, time_eps, scratch)
     labels = spread_out(found, labels, of)
     labels = scratch.save(points.select("row_id").join(labels, "row_id", "left"), "labels")

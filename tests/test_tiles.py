@@ -32,7 +32,7 @@ def test_tiles_equal_pairs(spark, case, monkeypatch):
         assert sorted(map(tuple, tiles.tile_labels(places, 1.0, 4, columns, metric, time_eps, Scratch(spark, "tiles"), tile).collect())) == want
 
 
-@pytest.mark.parametrize("dims,more", [(2, {"time_eps": 50}), (6, {})])
+@pytest.mark.parametrize("dims,more", [(2, {"metric": OWN}), (2, {"time_eps": 50}), (6, {})])
 def test_no_table_of_pairs(spark, dims, more, monkeypatch):
     """Distinct points with some hundred neighbours each: no table written on the way has more rows than there are points."""
     rng = random.Random(4)
