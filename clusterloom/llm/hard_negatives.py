@@ -9,11 +9,14 @@
 
 Tiles are of fixed size whatever the number of rows, no key has more than one tile, and a label or vector
 that very many rows share is no key at all.  The anchors are a query set: all of them meet all rows, in
-blocks, and no other pair is ever made.
+blocks, and no other pair is ever made.  As scores grow with anchors times rows, anchors go in waves of a
+bounded number of scores; what a wave wrote and shuffled is deleted before the next one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,11 +26,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterloom.llm.tables import table
-from clusterloom.plans.scratch import Scratch
+from clusterloom.plans.scratch import Scratch, settings, shuffles_freed
 from clusterloom.sources.points import numbered
 
 #: anchors and rows of a tile, anchors of the slabs in which tiles are shuffled, dimensions of a chunk
 ANCHORS, ROWS, SLAB, DIMENSIONS = 1024, 2048, 128, 32
+#: scores of a wave, about; a slab of anchors meets all rows in any case
+SCORES = 1 << 27
+#: blocks that a task is handed at once
+BLOCKS = 16
 
 _NEAR = "array<struct<anchor:long,anchor_id:long,anchor_label:long,at:int,id:long,row:long,score:long>>"
 
@@ -60,24 +67,37 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def squeezed(scores: np.ndarray) -> bytes:
+    """int64 numbers without the bytes that small ones do not need: their bytes by place, compressed."""
+    folded = (scores << 1) ^ (scores >> 63)
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(folded.reshape(-1, 1).view(np.uint8).T).tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    folded = np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
+    return (folded >> np.uint64(1)).view(np.int64) ^ -(folded & np.uint64(1)).view(np.int64)
+
+
+_META = ("rows", "ids", "labels")
 _PARTIAL = pa.schema([(c, pa.int64()) for c in ("i", "j", "s")] + [("chunk", pa.int32())] + [(c, pa.binary()) for c in ("data", "a_rows", "a_ids", "a_labels", "b_rows", "b_ids", "b_labels")])
 
 
 def _multiplied(slab: int):
-    """Blocks of one place to the slabs of their partial tile; those of the first chunk also carry what the rows are."""
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _PARTIAL.empty_table()
-        a, b = left.to_pylist()[0], right.to_pylist()[0]
-        tile = product(*(np.frombuffer(x["data"], np.int64).reshape(x["n"], -1) for x in (a, b)))
-        out = []
-        for s in range(0, a["n"], slab):
-            row = {"i": a["block"], "j": b["block"], "s": s // slab, "chunk": a["chunk"], "data": tile[s : s + slab].tobytes()}
-            if not a["chunk"]:
-                row |= {f"a_{c}": a[c][s * 8 : (s + slab) * 8] for c in ("rows", "ids", "labels")} | {f"b_{c}": b[c] for c in ("rows", "ids", "labels")}
-            out.append(row)
-        return pa.Table.from_pylist(out, _PARTIAL)
+    """Blocks of one chunk, two a row (a_.., b_..), to the slabs of their partial tile; those of the first chunk also carry what the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                tile = product(*(np.frombuffer(r[f"{x}_data"], np.int64).reshape(r[f"{x}_n"], -1) for x in "ab"))
+                out = []
+                for s in range(0, len(tile), slab):
+                    row = {"i": r["i"], "j": r["j"], "s": s // slab, "chunk": r["chunk"], "data": squeezed(tile[s : s + slab].reshape(-1))}
+                    if not r["chunk"]:
+                        row |= {f"a_{c}": r[f"a_{c}"][s * 8 : (s + slab) * 8] for c in _META} | {f"b_{c}": r[f"b_{c}"] for c in _META}
+                    out.append(row)
+                yield from pa.Table.from_pylist(out, _PARTIAL).to_batches()
 
     return run
 
@@ -99,7 +119,7 @@ def _added(positives: int):
     schema = schema.append(pa.field("near", near_type))
 
     def run(key: tuple, parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in parts.column("data"))
+        total = sum(unsqueezed(x.as_py()) for x in parts.column("data"))
         first = next(r for r in parts.drop_columns(["data"]).to_pylist() if not r["chunk"])
         rows, ids, labels = ({s: np.frombuffer(first[f"{s}_{c}"], np.int64) for s in "ab"} for c in ("rows", "ids", "labels"))
         tile = total.reshape(len(rows["a"]), len(rows["b"]))
@@ -108,7 +128,7 @@ def _added(positives: int):
             same = np.flatnonzero((labels["b"] == labels["a"][at]) & (rows["b"] != rows["a"][at]))
             for x in same[_best(tile[at, same], ids["b"][same], rows["b"][same], positives)].tolist():
                 near.append({"anchor": int(rows["a"][at]), "anchor_id": int(ids["a"][at]), "anchor_label": int(labels["a"][at]), "at": at, "id": int(ids["b"][x]), "row": int(rows["b"][x]), "score": int(tile[at, x])})
-        row = {c: first[c] for c in schema.names if c not in ("data", "near")} | {"data": zstandard.ZstdCompressor(1).compress(total.tobytes()), "near": near}
+        row = {c: first[c] for c in schema.names if c not in ("data", "near")} | {"data": squeezed(total), "near": near}
         return pa.Table.from_pylist([row], schema)
 
     return run
@@ -118,27 +138,35 @@ _FOUND = pa.schema([(c, pa.int64()) for c in ("anchor", "anchor_id", "positive",
 
 
 def _windowed(negatives: int, low: int, high: int):
-    """The best rows of other labels in the window of each pair of anchor and positive of one slab."""
+    """The best rows of other labels in the window of each pair of anchor and positive of each slab."""
 
-    def run(key: tuple, found: pa.Table) -> pa.Table:
-        slab = found.to_pylist()[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield one(batch.slice(k, 1).to_pylist()[0])
+
+    def one(slab: dict) -> pa.RecordBatch:
         rows, ids, labels = (np.frombuffer(slab[f"b_{c}"], np.int64) for c in ("rows", "ids", "labels"))
-        tile = np.frombuffer(zstandard.ZstdDecompressor().decompress(slab["data"]), np.int64).reshape(-1, len(rows))
-        out, ordered = [], {}
-        for p in slab["pairs"]:
+        tile = unsqueezed(slab["data"]).reshape(-1, len(rows))
+        out, ordered, wide = [], {}, {}
+        windows = [(-(-low * p["score"] // 100), high * p["score"] // 100) for p in slab["pairs"]]
+        for p, (least, most) in zip(slab["pairs"], windows, strict=True):
+            if least <= most:
+                was = wide.get(p["at"], (least, most))
+                wide[p["at"]] = min(least, was[0]), max(most, was[1])
+        for p, (least, most) in zip(slab["pairs"], windows, strict=True):
             at = p["at"]
-            if at not in ordered:
-                other = np.flatnonzero(labels != p["anchor_label"])
+            if least > most:
+                continue
+            if at not in ordered:  # only rows in some window of this anchor are put in order
+                other = np.flatnonzero((labels != p["anchor_label"]) & (tile[at] >= wide[at][0]) & (tile[at] <= wide[at][1]))
                 other = other[np.lexsort((rows[other], ids[other], ~tile[at, other]))]
                 ordered[at] = other, ~tile[at, other]
             other, falling = ordered[at]
-            most, least = high * p["score"] // 100, -(-low * p["score"] // 100)
-            if least > most:
-                continue
             start, stop = np.searchsorted(falling, ~most), np.searchsorted(falling, ~least, side="right")
             for x in other[start : min(stop, start + negatives)].tolist():
                 out.append((p["anchor"], p["anchor_id"], p["row"], p["id"], p["score"], int(rows[x]), int(ids[x]), int(tile[at, x])))
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(_FOUND), schema=_FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(_FOUND), schema=_FOUND)
 
     return run
 
@@ -162,26 +190,39 @@ def hard_negatives(vectors: DataFrame, positives: int = 5, negatives: int = 3, l
     own = numbered(rows.where("anchor"), scratch=Scratch(vectors.sparkSession, "anchors")).withColumnRenamed("row_id", "number")
     size = rows.agg(F.count("*").alias("n"), F.count_if("anchor").alias("m"), F.max(F.size("vector")).alias("d")).first()
     chunks = max(1, -(-(size["d"] or 0) // DIMENSIONS))
-    left = scratch.save(_blocks(own, "number", ANCHORS, chunks), "left")
-    right = scratch.save(_blocks(rows, "row", ROWS, chunks), "right")
-    along = [F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-size[c] // s) - 1)).cast("long"))) for c, s in (("n", ROWS), ("m", ANCHORS))]
-    a = left.withColumn("other", along[0]).groupBy(F.col("block").alias("i"), F.col("other").alias("j"), "chunk")
-    b = right.withColumn("other", along[1]).groupBy(F.col("other").alias("i"), F.col("block").alias("j"), "chunk")
-    names = "i long, j long, s long"
-    partial = a.cogroup(b).applyInArrow(_multiplied(SLAB), f"{names}, chunk int, data binary, a_rows binary, a_ids binary, a_labels binary, b_rows binary, b_ids binary, b_labels binary")
-    slabs = partial.groupBy("i", "j", "s").applyInArrow(_added(positives), f"{names}, data binary, a_rows binary, a_labels binary, b_rows binary, b_ids binary, b_labels binary, near {_NEAR}")
-    slabs = scratch.save(slabs, "slabs")
-
-    near = slabs.select("i", "s", F.explode("near").alias("p")).select("i", "s", "p.*")
-    order = W.partitionBy("anchor").orderBy(F.col("score").desc(), "id", "row")
-    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= positives).drop("rank")
-    pairs = near.groupBy("i", "s").agg(F.collect_list(F.struct(*(c for c in near.columns if c not in ("i", "s")))).alias("pairs"))  # SLAB * positives at most
-    pairs = pairs.withColumn("j", along[0])
-    found = slabs.drop("near", "a_rows", "a_labels").join(pairs, ["i", "j", "s"]).groupBy("i", "j", "s")
-    found = found.applyInArrow(_windowed(negatives, low, high), ", ".join(f"{c} long" for c in _FOUND.names))
-    order = W.partitionBy("anchor", "positive").orderBy(F.col("negative_score").desc(), "negative_id", "negative")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
-    return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    spark = vectors.sparkSession
+    wave = max(SLAB, SCORES // max(1, size["n"]) // SLAB * SLAB)
+    block = min(ANCHORS, wave)
+    left = scratch.save(_blocks(own, "number", block, chunks), "left")
+    met = -(-size["n"] // ROWS) * chunks
+    tasks = max(1, min(met, max(-(-met // BLOCKS), 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))))
+    right = scratch.save(_blocks(rows, "row", ROWS, chunks).repartition(tasks, "block", "chunk"), "right")
+    packed = ("n", *_META, "data")
+    b = right.select("chunk", F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in packed))
+    types = "i long, j long, s long"
+    out = scratch.path("found")
+    schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
+    spark.createDataFrame([], schema).write.parquet(out)
+    for first in range(0, -(-size["m"] // block), max(1, wave // block)):
+        a = left.where(F.col("block").between(first, first + max(1, wave // block) - 1)).select("chunk", F.col("block").alias("i"), *(F.col(c).alias(f"a_{c}") for c in packed))
+        # A wave's anchors are a bounded table, so rows need no shuffle to meet them.
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BLOCKS)):
+            partial = b.join(F.broadcast(a), "chunk").mapInArrow(_multiplied(SLAB), f"{types}, chunk int, data binary, a_rows binary, a_ids binary, a_labels binary, b_rows binary, b_ids binary, b_labels binary")
+            slabs = partial.groupBy("i", "j", "s").applyInArrow(_added(positives), f"{types}, data binary, a_rows binary, a_labels binary, b_rows binary, b_ids binary, b_labels binary, near {_NEAR}")
+            slabs = scratch.save(slabs, "slabs")
+        near = slabs.select("i", "s", F.explode("near").alias("p")).select("i", "s", "p.*")
+        order = W.partitionBy("anchor").orderBy(F.col("score").desc(), "id", "row")
+        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= positives).drop("rank")
+        pairs = near.groupBy("i", "s").agg(F.collect_list(F.struct(*(c for c in near.columns if c not in ("i", "s")))).alias("pairs"))  # SLAB * positives at most
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BLOCKS)), shuffles_freed(spark):
+            found = slabs.drop("near", "a_rows", "a_labels").join(F.broadcast(pairs), ["i", "s"])
+            found = found.mapInArrow(_windowed(negatives, low, high), ", ".join(f"{c} long" for c in _FOUND.names))
+            order = W.partitionBy("anchor", "positive").orderBy(F.col("negative_score").desc(), "negative_id", "negative")
+            ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
+            ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").write.mode("append").parquet(out)
+    for name in ("slabs", "left", "right"):
+        scratch.drop(name)
+    return spark.read.schema(schema).parquet(out)
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,28 @@ def test_op11_broken_vectors(spark, sf, tmp_path):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/d/embeddings.parquet'")
     found = hard_negatives.op11_hard_negatives(spark, str(tmp_path / "d"))
     assert sorted(tuple(r) for r in found.collect()) == sorted(con.sql(hard_negatives.OP11_SQL).fetchall())
+
+
+def test_waves_bound_what_is_on_disk(spark, monkeypatch):
+    """Whatever anchors and rows there are, no table of scores holds more than a wave of them."""
+    for name, value in (("ANCHORS", 4), ("ROWS", 8), ("SLAB", 2), ("DIMENSIONS", 2), ("SCORES", 300)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = random.Random(6)
+    made = [(k, k % 3, [rng.randint(-9, 9) for _ in range(5)], k % 4 == 0) for k in range(70)]
+    sizes, save = [], hard_negatives.Scratch.save
+
+    def counted(self, df, name, *args):
+        found = save(self, df, name, *args)
+        if name == "slabs":
+            sizes.append(sum(len(r.a_rows) * len(r.b_rows) // 64 for r in found.select("a_rows", "b_rows").collect()))
+        return found
+
+    monkeypatch.setattr(hard_negatives.Scratch, "save", counted)
+    found = hard_negatives.hard_negatives(spark.createDataFrame(made, SCHEMA), 4, 3, 50, 95)
+    assert sorted(tuple(r) for r in found.collect()) == brute(made, 4, 3, 50, 95)
+    assert sum(sizes) == 18 * 70 and max(sizes) <= 300
+
+
+def test_squeezed_scores():
+    values = np.array([0, -1, 1, 255, -256, 1 << 40, -(1 << 63), (1 << 63) - 1])
+    assert hard_negatives.unsqueezed(hard_negatives.squeezed(values)).tolist() == values.tolist()
