@@ -1,8 +1,10 @@
 """Clusters by tiles: the same as from all pairs, without tables that grow with the pairs."""
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from clusterloom.functions.metrics import Euclidean, PythonMetric
 from clusterloom.operators import tiles
@@ -51,6 +53,22 @@ def test_no_table_of_pairs(spark, dims, more, monkeypatch):
     assert labels.count() == len(rows) and max(sizes.values()) <= len(rows), sizes
 
 
+@pytest.mark.parametrize("metric", [Euclidean(), OWN])
+def test_pairs_in_tiles(spark, metric, monkeypatch):
+    """All pairs, of copies too, whichever tiles their ends lie in and however few pairs leave a task at once."""
+    monkeypatch.setattr(tiles, "PAIRS", 300)
+    monkeypatch.setattr(tiles, "CELLS", 2000)
+    rng = random.Random(9)
+    rows = [(float(rng.randrange(9)), rng.uniform(0, 9)) for _ in range(220)] + [(rng.uniform(0, 9), 3.0) for _ in range(30)] * 3
+    far = (lambda a, b: abs(a[0] - b[0]) + abs(a[1] - b[1])) if metric is OWN else (lambda a, b: math.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2))
+    want = sorted((i, j, far(a, b)) for i, a in enumerate(rows) for j, b in enumerate(rows) if far(a, b) <= 1.5)
+    given = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_id long, x double, y double")
+    chunks = given.groupBy("x", "y").agg(F.min("row_id").alias("row_id"), F.collect_list("row_id").alias("ids"))
+    for tile in (30, 5000):
+        found = tiles.tile_pairs(chunks, 1.5, ["x", "y"], metric, None, Scratch(spark, "pairs"), tile)
+        assert sorted(map(tuple, found.collect())) == want
+
+
 def test_saving_leaves_no_shuffle_files(spark):
     status = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
     shuffled = lambda: sum("shuffle" in f.getName() and f.getName().endswith(".data") for f in _files(status))
